@@ -5,11 +5,50 @@ Each query applies its operator, with production parameters, to its whole table,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicework.llm.packing import pack_documents
 from sluicework.llm.quality import quality_rules
+from sluicework.llm.secrets import digest, secret_spans
 from sluicework.llm.text import table
+from sluicework.llm.token_counts import token_counts
+from sluicework.llm.token_files import read_token_files, write_token_files
+from sluicework.scratch import Scratch
+
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+
+    def count(spans: str, test) -> Column:
+        return F.size(F.filter(spans, test)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count("base", lambda s, k=k: s["kind"] == k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
+        digest(F.col("spans")).alias("spans"),
+        count("spans", lambda s: s["live"]).alias("n_live"),
+        count("spans", lambda s: ~s["live"]).alias("n_copied"),
+    )
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op6").path("files")
+    write_token_files(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, path)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_quality_rules,)}
+    return {f.__name__: f for f in (op2_packing, op3_secret_scan, op6_token_files, op7_token_counts, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
