@@ -9,12 +9,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicework.llm.languages import identify_language, learn_languages
+from sluicework.llm.licenses import license_scan
 from sluicework.llm.packing import pack_documents
 from sluicework.llm.quality import quality_rules
 from sluicework.llm.secrets import digest, secret_spans
 from sluicework.llm.text import table
 from sluicework.llm.token_counts import token_counts
 from sluicework.llm.token_files import read_token_files, write_token_files
+from sluicework.llm.urls import judge_urls
 from sluicework.scratch import Scratch
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +44,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    judged = judge_urls(table(spark, sf_dir, "pages"), labels)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.col("mined_rule").isNotNull().alias("mined"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    model = learn_languages(docs.filter(~F.col("held_out")))
+    return identify_language(docs, model, keep=("doc_id", "held_out"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "op6").path("files")
     write_token_files(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, path)
@@ -51,13 +66,29 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    base = F.transform("places", lambda p: p["label"])
+    block = F.transform(F.filter("blocks", lambda b: b["best"]), lambda b: b["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.transform("places", lambda p: p["start"])).alias("first_word"),
+        F.array_max(F.transform("places", lambda p: p["start"])).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, block))), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))).alias("score"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("lost_share", 6).alias("lost_share"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op3_secret_scan, op6_token_files, op7_token_counts, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_packing, op3_secret_scan, op4_url_filter, op5_language_id, op6_token_files, op7_token_counts, op8_license_scan, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
