@@ -28,16 +28,15 @@ def whole_tokens(path: str) -> frozenset[str]:
 
 @lru_cache(maxsize=4)
 def _counts(path: str) -> ChunkMemo:
-    """Chunk to number of tokens; proved pre-tokens are there from the start."""
+    """Chunk to number of tokens: proved pre-tokens count at once, the others are merged."""
     proved = whole_tokens(path)
-    memo = ChunkMemo(lambda chunks: [1 if c in proved else n for c, n in zip(chunks, _merged(path, proved, chunks), strict=True)])
-    return memo
 
+    def count(chunks: list[str]) -> list[int]:
+        rest = [c for c in chunks if c not in proved]
+        merged = dict(zip(rest, map(len, encode_all(path, rest)), strict=True))
+        return [merged.get(c, 1) for c in chunks]
 
-def _merged(path: str, proved: frozenset[str], chunks: list[str]) -> list[int]:
-    rest = [c for c in chunks if c not in proved]
-    merged = dict(zip(rest, map(len, encode_all(path, rest)), strict=True))
-    return [merged.get(c, 1) for c in chunks]
+    return ChunkMemo(count, lower=True)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

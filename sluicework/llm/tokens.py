@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks that a task remembers, and characters of text that it looks at together; both bound its memory.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 500_000
 RUN_CHARS = 4_000_000
 
 
@@ -81,23 +81,69 @@ def in_runs(texts: Iterable[str | None], limit: int = RUN_CHARS) -> Iterator[lis
         yield run
 
 
+class Memo:
+    """A dictionary of bounded size in two generations: a full one becomes the old one, whose entries come back on use."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that are not known; all others are young afterwards."""
+        rest = [c for c in wanted if c not in self.young]
+        if len(self.young) + len(rest) > self.limit:
+            self.old, self.young = self.young, {}
+            rest = list(wanted)
+        if not self.old:
+            return rest
+        get, out = self.old.get, []
+        for c in rest:
+            if (v := get(c)) is None:
+                out.append(c)
+            else:
+                self.young[c] = v
+        return out
+
+
+#: Letters and digits, perhaps after a space, and ASCII punctuation behind them: a pre-token ends where it begins. The
+#: apostrophe is left out, as some rules join it to what follows.
+_TAILED = re.compile(r"( ?[^\W_]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class ChunkMemo:
-    """Chunk to value, for a whole worker; emptied when it would grow beyond its bound."""
+    """Chunk to value, for a whole worker.
+
+    A chunk of a word and punctuation has the value of the word plus that of the punctuation, so that words are encoded once
+    whatever stands behind them; under a lower-casing tokenizer, in whatever case. Sigma stays as it is: its small form
+    depends on its place, for Python only.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = MEMO_CHUNKS) -> None:
-        self.encode, self.limit, self.known = encode, limit, {}
+    def __init__(self, encode: Callable[[list[str]], list], lower: bool, limit: int = MEMO_CHUNKS) -> None:
+        self.encode, self.lower = encode, lower
+        self.chunks, self.parts = Memo(limit), Memo(limit)
+
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        if self.lower and chunk.isalpha():
+            return (chunk.lower() if "Σ" not in chunk else chunk,)
+        found = _TAILED.fullmatch(chunk)
+        if found is None:
+            return (chunk,)
+        word, tail = found.groups()
+        if self.lower and "Σ" not in word:
+            word = word.lower()
+        return (word, tail) if tail else (word,)
 
     def values(self, lists: list[list[str]]) -> Callable[[str], object]:
         """A lookup that knows every chunk of ``lists``."""
-        wanted = set().union(*lists)
-        fresh = [c for c in wanted if c not in self.known]
-        if len(self.known) + len(fresh) > self.limit:
-            self.known = {}
-            fresh = list(wanted)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            self.known.update(zip(part, self.encode(part), strict=True))
-        return self.known.__getitem__
+        fresh = self.chunks.missing(set().union(*lists))
+        split = [self._parts(c) for c in fresh]
+        unknown = self.parts.missing({p for x in split for p in x})
+        for at in range(0, len(unknown), 20_000):
+            some = unknown[at : at + 20_000]
+            self.parts.young.update(zip(some, self.encode(some), strict=True))
+        get, put = self.parts.young, self.chunks.young
+        for chunk, x in zip(fresh, split, strict=True):
+            put[chunk] = get[x[0]] if len(x) == 1 else get[x[0]] + get[x[1]]
+        return put.__getitem__
 
 
 def _packed(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -115,13 +161,13 @@ def _packed(path: str) -> Callable[[list[str]], list[bytes]]:
 
 @lru_cache(maxsize=4)
 def _word_memo(path: str) -> ChunkMemo:
-    return ChunkMemo(_packed(path))
+    return ChunkMemo(_packed(path), lower=True)
 
 
 @lru_cache(maxsize=4)
 def _byte_memo(path: str) -> tuple[ChunkMemo, tuple[str, ...]]:
     specials = tuple(t.content for t in load_tokenizer(path).get_added_tokens_decoder().values())
-    return ChunkMemo(_packed(path)), specials
+    return ChunkMemo(_packed(path), lower=False), specials
 
 
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
