@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sluicework.llm.decontaminate import find_contamination
 from sluicework.llm.languages import identify_language, learn_languages
 from sluicework.llm.licenses import license_scan
+from sluicework.llm.near_dup import near_duplicates
 from sluicework.llm.packing import pack_documents
 from sluicework.llm.quality import quality_rules
 from sluicework.llm.secrets import digest, secret_spans
@@ -25,6 +26,11 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -93,7 +99,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op3_secret_scan, op4_url_filter, op5_language_id, op6_token_files, op7_token_counts, op8_license_scan, op9_quality_rules, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_packing, op3_secret_scan, op4_url_filter, op5_language_id, op6_token_files, op7_token_counts, op8_license_scan, op9_quality_rules, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
