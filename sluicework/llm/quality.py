@@ -104,6 +104,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50,
     own = [F.col(c) for c in docs.columns if c not in added]
     q = docs.select(
         *own,
+        F.col(text_col).isNotNull().alias("_given"),
         split_words(text).alias("_words"),
         F.split(text, "\n").alias("_lines"),
         text.rlike(f"[{SYMBOLS}{DIVIDERS}!]").alias("_marked"),
@@ -119,6 +120,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50,
     stays = F.filter("_lines", lambda x, i: ~F.get(F.col("_flags"), i))
     q = q.select(
         *own,
+        "_given",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -131,4 +133,6 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50,
     q = q.withColumn("lost_share", F.when(F.col("_all") > 0, 1 - F.col("_stay") / F.col("_all")).otherwise(F.lit(0.0)))
     q = q.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
     q = q.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost))
-    return q.withColumn("cleaned_text", F.when(F.col(text_col).isNotNull(), F.col("_left"))).select(*own, *added)
+    q = q.withColumn("cleaned_text", F.when(F.col("_given"), F.col("_left")))
+    # a generator, which filters on the verdict do not pass: below it they would repeat all the work above, many times over
+    return q.select(*own, F.inline(F.array(F.struct(*added))))

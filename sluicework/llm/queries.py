@@ -41,9 +41,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(spans: str, test) -> Column:
         return F.size(F.filter(spans, test)).cast("long")
 
+    def of_kind(kind: str):
+        return lambda s: s["kind"] == kind
+
     return found.select(
         "doc_id",
-        *[count("base", lambda s, k=k: s["kind"] == k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        *[count("base", of_kind(k)).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
         digest(F.col("spans")).alias("spans"),
         count("spans", lambda s: s["live"]).alias("n_live"),

@@ -146,28 +146,48 @@ class ChunkMemo:
         return put.__getitem__
 
 
-def _packed(path: str) -> Callable[[list[str]], list[bytes]]:
+def encode_words(path: str, words: list[str], glue: str) -> list[bytes] | None:
+    """Ids of words of letters only, which are one pre-token each, from one call on all of them; None if they were not.
+
+    One call is a third cheaper than one for each. Blanks between the words must be dropped by the tokenizer, or belong to
+    the words.
+    """
+    found = load_tokenizer(path).encode(glue.join(words), add_special_tokens=False)
+    number = np.array(found.word_ids, np.int64)
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+    if len(first) != len(words):
+        return None
+    flat = np.array(found.ids, "<u4").tobytes()
+    ends = [*(4 * first[1:]).tolist(), len(flat)]
+    return [flat[a:b] for a, b in zip((4 * first).tolist(), ends, strict=True)]
+
+
+def _packed(path: str, spaced: bool) -> Callable[[list[str]], list[bytes]]:
+    def each(chunks: list[str]) -> list[bytes]:
+        return [np.array(ids, "<u4").tobytes() for ids in encode_all(path, chunks)]
+
     def encode(chunks: list[str]) -> list[bytes]:
-        rows = encode_all(path, chunks)
-        flat = np.fromiter((i for r in rows for i in r), dtype="<u4", count=sum(map(len, rows))).tobytes()
-        out, at = [], 0
-        for r in rows:
-            out.append(flat[at : at + 4 * len(r)])
-            at += 4 * len(r)
-        return out
+        words = [c for c in chunks if c[:1] == " " and c[1:].isalpha()] if spaced else [c for c in chunks if c.isalpha()]
+        known: dict[str, bytes] = {}
+        for at in range(0, len(words), 2_000):
+            some = words[at : at + 2_000]
+            known.update(zip(some, encode_words(path, some, "" if spaced else " ") or each(some), strict=True))
+        rest = [c for c in chunks if c not in known]
+        known.update(zip(rest, each(rest), strict=True))
+        return [known[c] for c in chunks]
 
     return encode
 
 
 @lru_cache(maxsize=4)
 def _word_memo(path: str) -> ChunkMemo:
-    return ChunkMemo(_packed(path), lower=True)
+    return ChunkMemo(_packed(path, False), lower=True)
 
 
 @lru_cache(maxsize=4)
 def _byte_memo(path: str) -> tuple[ChunkMemo, tuple[str, ...]]:
     specials = tuple(t.content for t in load_tokenizer(path).get_added_tokens_decoder().values())
-    return ChunkMemo(_packed(path), lower=False), specials
+    return ChunkMemo(_packed(path, True), lower=False), specials
 
 
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
