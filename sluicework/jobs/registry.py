@@ -1,4 +1,8 @@
 """All queries over the reference's own operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from sluicework.jobs import governed, outputs, scoring
+
+QUERIES: dict = {f.__name__: f for module in (scoring, outputs, governed) for f in module.QUERIES}
+ORACLE: dict[str, str] = {**scoring.ORACLE, **outputs.ORACLE, **governed.ORACLE}
