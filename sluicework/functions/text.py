@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +25,8 @@ def has_phrase(normal: Column, phrase: str) -> Column:
 
 
 def has_any(normal: Column, phrases: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [has_phrase(normal, p) for p in phrases], F.lit(False))
+    """Whether normalised text holds one of several normalised phrases; one pattern for all."""
+    return F.concat(F.lit(" "), normal, F.lit(" ")).rlike(f" (?:{'|'.join(phrases)}) ")
 
 
 def reason_snippet(text: Column, length: int = 200) -> Column:

@@ -54,11 +54,11 @@ def parse_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", normalised(_spark(EVIDENCE)).alias("normal"))
     status = F.expr("case when doc_id % 11 = 0 then 'invalid_schema' else 'valid' end")
     flags = F.when(F.col("n_chars") % 6 == 0, F.array(F.lit("protected_attribute_risk"))).otherwise(F.array().cast("array<string>"))
     label = (F.col("n_chars") % 3).cast("string")
-    return docs.select("doc_id", label.alias("label"), triggers.triggers(status, flags, label, F.col("doc_id") % 5 == 0, _spark(KIND), _spark(EVIDENCE)).alias("found"))
+    return docs.select("doc_id", label.alias("label"), triggers.triggers(status, flags, label, F.col("doc_id") % 5 == 0, _spark(KIND), F.col("normal")).alias("found"))
 
 
 def risk_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:

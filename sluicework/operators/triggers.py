@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.functions.text import has_any, has_phrase, normalised
+from sluicework.functions.text import has_any
 
 #: The triggers in canonical order, and the cue lists (normalised).
 TRIGGERS = (
@@ -86,19 +84,22 @@ DECISIVE = ("stated_text_fact", "objective_visible_evidence", "elimination")
 
 def grounded(normal: Column) -> Column:
     """Whether some concrete visual cue stands without a negation of its own or of the whole."""
-    hidden = has_any(normal, GLOBAL_NEGATIONS)
+    padded = F.concat(F.lit(" "), normal, F.lit(" "))
     weak = has_any(normal, ("no", "not", "without"))
 
-    def positive(cue: str) -> Column:
-        negated = has_any(normal, [f"{n} {cue}" for n in NEGATIONS]) | (weak & has_phrase(normal, f"or {cue} is visible"))
-        return has_phrase(normal, cue) & ~negated
+    def positive(cue: Column) -> Column:
+        def holds(before: str, after: str) -> Column:
+            return F.contains(padded, F.concat(F.lit(before), cue, F.lit(after)))
+
+        negated = F.exists(F.array(*[F.lit(f" {n} ") for n in NEGATIONS]), lambda n: F.contains(padded, F.concat(n, cue, F.lit(" "))))
+        return holds(" ", " ") & ~negated & ~(weak & holds(" or ", " is visible "))
 
-    return ~hidden & reduce(lambda a, b: a | b, [positive(c) for c in VISUAL_CUES])
+    return ~has_any(normal, GLOBAL_NEGATIONS) & F.exists(F.array(*[F.lit(c) for c in VISUAL_CUES]), positive)
 
 
-def triggers(status: Column, flags: Column, label: Column, uncertain: Column, evidence_type: Column, evidence: Column) -> Column:
-    """Array of the triggers of a parsed answer, in canonical order; an invalid parse has that trigger alone."""
-    normal = normalised(F.coalesce(evidence, F.lit("")))
+def triggers(status: Column, flags: Column, label: Column, uncertain: Column, evidence_type: Column, normal: Column) -> Column:
+    """Array of the triggers of a parsed answer, in canonical order; an invalid parse has that trigger alone. ``normal`` is the
+    evidence in normalised form, as a column of its own, since many tests read it."""
     person, unsure = label.isin(*PERSONS), F.coalesce(uncertain, F.lit(False))
     tests = {
         "low_confidence": person & unsure,
