@@ -1 +1,54 @@
 """DuckDB SQL of the queries that SQL can express, by name."""
+
+from sluicework.llm.licenses import PHRASES, TEMPLATES
+from sluicework.llm.quality import BOILERPLATE, DIVIDERS, SYMBOLS
+
+_BLANKS = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]"
+
+
+def _count(text: str, kept: str) -> str:
+    return f"(length({text}) - length(regexp_replace({text}, '[{kept}]', '', 'g')))"
+
+
+_FAILS = f"""({_count("x", SYMBOLS + "!")} >= 4 and 2 * {_count("x", SYMBOLS + "!")} >= len(string_split_regex(trim(x), '{_BLANKS}')))
+ or (length(x) < 25 and regexp_matches(x, '{_WORD}') and not regexp_matches(x, '\\p{{P}}[\\x20\\x09-\\x0D]*$'))
+ or ({_count("x", DIVIDERS)} >= 3 and 4 * {_count("x", DIVIDERS)} >= len(string_split_regex(trim(x), '{_BLANKS}')))
+ or {" or ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)}"""
+
+op9_quality_rules = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select *, list_filter(string_split_regex(t, '{_BLANKS}'), lambda x: x <> '') as words, string_split(t, chr(10)) as lines from d),
+p as (select r, words, unnest(range(len(words) - 2)) as i from w where len(words) >= 3),
+g as (select r, i, words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] as g from p),
+twice as (select r, i from (select r, i, count(*) over (partition by r, g) as n from g) where n > 1),
+inside as (select r, count(distinct i) as n from (select r, i from twice union all select r, i + 1 from twice union all select r, i + 2 from twice) group by r),
+l as (select *, list_filter(lines, lambda x: regexp_matches(x, '{_WORD}')) as wordy, list_filter(lines, lambda x: not ({_FAILS})) as stays from w),
+m as (select r, doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars, cast({_count("t", SYMBOLS)} as bigint) as n_symbols,
+  cast(len(wordy) - len(list_distinct(wordy)) as bigint) as n_dup_lines, length(array_to_string(lines, '')) as every, length(array_to_string(stays, '')) as stay from l),
+j as (select m.*, cast(coalesce(n, 0) as bigint) as n_repeat_words, case when every > 0 then 1 - cast(stay as double) / every else 0.0 end as lost from m left join inside on m.r = inside.r),
+k as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from j)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost <= 0.5 as kept, round(lost, 6) as lost_share from k"""
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_TEMPLATES = ", ".join(f"('{k}', list_distinct(string_split('{v}', ' ')))" for k, v in TEMPLATES.items())
+_PHRASES = ", ".join(f"('{v}', string_split('{k}', ' '))" for k, v in PHRASES.items())
+
+op8_license_scan = f"""
+with d as (select row_number() over () as r, doc_id, {_LOW} as t from documents),
+w as (select r, doc_id, regexp_extract_all(t, '{_TOKEN}') as words from d),
+phrases(label, p) as (values {_PHRASES}),
+spots as (select r, words, unnest(range(len(words))) as i from w where len(words) > 0),
+places as (select r, i, label from spots join phrases on words[i + 1] = p[1] and list_slice(words, i + 1, i + len(p)) = p),
+base as (select r, count(*) as n, min(i) as f, max(i) as l, string_agg(distinct label, ',' order by label) as labels from places group by r),
+lines as (select r, unnest(string_split(t, chr(10))) as x, unnest(range(len(string_split(t, chr(10))))) as k from d),
+blocks as (select r, k, list_distinct(regexp_extract_all(x, '{_TOKEN}')) as b from lines),
+templates(label, s) as (values {_TEMPLATES}),
+held as (select r, k, regexp_replace(label, '-long$', '') as label, len(s) as size, len(list_intersect(b, s)) as both_ from blocks join templates on len(list_intersect(b, s)) >= ceil(0.8 * len(s) - 1e-9)),
+ranked as (select *, cast(both_ as double) / size as c, rank() over (partition by r, k order by cast(both_ as double) / size desc, size desc) as best from held),
+method as (select r, max(c) as c from ranked group by r),
+every as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from places union all select r, label from ranked where best = 1) group by r)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n, 0) as n_base, f as first_word, l as last_word, coalesce(base.labels, '') as base_labels, coalesce(every.labels, '') as labels,
+case when n > 0 then 1.0 else coalesce(c, 0.0) end as score
+from w left join base on w.r = base.r left join every on w.r = every.r left join method on w.r = method.r"""
