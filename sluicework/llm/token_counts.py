@@ -12,17 +12,31 @@ from pyspark.sql import functions as F
 from sluicework.llm.tokens import ChunkMemo, encode_all, in_runs, load_tokenizer, word_chunks
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 as itself, the rest from 256 up."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printable)
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 @lru_cache(maxsize=4)
-def whole_tokens(path: str) -> frozenset[str]:
-    """The vocabulary strings of which it is proved that, as a text of their own, they encode as that one token.
+def whole_tokens(path: str, end: str = "</w>") -> frozenset[str]:
+    """The texts of vocabulary entries of which it is proved that, as a text of their own, they encode as that one token.
 
-    Every vocabulary entry is decoded and encoded again; only entries that come back as their own single id, and that the
-    pre-tokenizer leaves in one piece, are kept. Merging never looks beyond a pre-token, so such a pre-token counts as one
+    Every entry that ends a word is written as text and encoded; it is kept if its own single id comes back and the
+    pre-tokenizer leaves the text in one piece. Merging never looks beyond a pre-token, so such a pre-token counts as one
     token wherever it stands.
     """
-    tok = load_tokenizer(path)
-    ids = sorted(tok.get_vocab(with_added_tokens=False).values())
-    texts = [t.strip() for t in tok.decode_batch([[i] for i in ids], skip_special_tokens=False)]
+    tok, letters = load_tokenizer(path), byte_letters()
+    texts, ids = [], []
+    for entry, i in tok.get_vocab(with_added_tokens=False).items():
+        word = entry.removesuffix(end)
+        if word and entry.endswith(end) and letters.keys() >= set(word):
+            try:
+                texts.append(bytes(letters[c] for c in word).decode())
+                ids.append(i)
+            except UnicodeDecodeError:
+                pass
     return frozenset(t for i, t, e in zip(ids, texts, encode_all(path, texts), strict=True) if e == [i] and len(tok.pre_tokenizer.pre_tokenize_str(t)) == 1)
 
 

@@ -130,6 +130,8 @@ class ChunkMemo:
         word, tail = found.groups()
         if self.lower and "Σ" not in word:
             word = word.lower()
+            if not word.isalnum():  # a mark came out of a letter, which may join what follows
+                return (chunk,)
         return (word, tail) if tail else (word,)
 
     def values(self, lists: list[list[str]]) -> Callable[[str], object]:
