@@ -152,7 +152,7 @@ def find_contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    rare: float = 1e-8,
+    rare: float = 1e-7,
     least_share: float = 0.5,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
@@ -197,7 +197,7 @@ def drop_contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    rare: float = 1e-8,
+    rare: float = 1e-7,
     least_share: float = 0.5,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:

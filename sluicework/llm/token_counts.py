@@ -50,7 +50,7 @@ def _counts(path: str) -> ChunkMemo:
         merged = dict(zip(rest, map(len, encode_all(path, rest)), strict=True))
         return [merged.get(c, 1) for c in chunks]
 
-    return ChunkMemo(count, lower=True)
+    return ChunkMemo(count)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

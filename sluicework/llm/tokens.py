@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks that a task remembers, and characters of text that it looks at together; both bound its memory.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 700_000
 RUN_CHARS = 4_000_000
 
 
@@ -37,18 +37,28 @@ def encode_all(path: str, chunks: list[str]) -> list[list[int]]:
 
 #: Characters that Python's split() takes as blanks and the tokenizers do not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: A full stop or comma next to other punctuation, with which it would be one pre-token.
+_RUN = re.compile(r"[.,](?:(?![^\W_]|\s|$)|(?<=[^\w\s][.,])|(?<=_[.,]))")
+#: The same, or behind a blank, which some rules join to it.
+_RUN_OR_BLANK = re.compile(r"[.,](?:(?![^\W_]|\s|$)|(?<=[\W_][.,]))")
 
 
 def word_chunks(text: str) -> list[str]:
-    """For tokenizers that drop white space and whose pre-tokens hold none: the runs between blanks.
+    """For lower-casing tokenizers that drop white space: the words between blanks, stops and commas on their own.
 
-    A text with one of the control characters that only Python takes for a blank stays whole.
+    A text with one of the control characters that only Python takes for a blank stays whole. Sigma and the dotted I keep
+    their case: their small forms depend on their place, or hold a mark that joins what follows.
     """
-    return text.split() if _SEPARATORS.search(text) is None else [text]
+    if _SEPARATORS.search(text) is not None:
+        return [text]
+    if "Σ" not in text and "İ" not in text:
+        text = text.lower()
+    if _RUN.search(text) is None:
+        text = text.replace(".", " . ").replace(",", " , ")
+    return text.split()
 
 
-_BLANK = r"\t-\r \x85\xa0  -     　"
-_ODD_BLANKS = re.compile(f"[\x01\x1c-\x1f]|[{_BLANK}][{_BLANK}]|[^\\S \n]")
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BYTE_CHUNK = re.compile(f"[{_BLANK}]+(?![^{_BLANK}])| ?[^{_BLANK}]+|[{_BLANK}]")
 
 
@@ -61,9 +71,12 @@ def byte_chunks(text: str, specials: tuple[str, ...]) -> list[str]:
     """
     if any(s in text for s in specials):
         return [text]
-    if _ODD_BLANKS.search(text) is None and not text.endswith((" ", "\n")):
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").strip("\x01").split("\x01") if text else []
-    return _BYTE_CHUNK.findall(text)
+    if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\x01" in text:
+        return _BYTE_CHUNK.findall(text)
+    cut = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
+    if _RUN_OR_BLANK.search(text) is None:
+        cut = cut.replace(".", "\x01.\x01").replace(",", "\x01,\x01")
+    return cut.split("\x01")
 
 
 def in_runs(texts: Iterable[str | None], limit: int = RUN_CHARS) -> Iterator[list[str]]:
@@ -81,71 +94,29 @@ def in_runs(texts: Iterable[str | None], limit: int = RUN_CHARS) -> Iterator[lis
         yield run
 
 
-class Memo:
-    """A dictionary of bounded size in two generations: a full one becomes the old one, whose entries come back on use."""
-
-    def __init__(self, limit: int) -> None:
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def missing(self, wanted: set[str]) -> list[str]:
-        """Those of ``wanted`` that are not known; all others are young afterwards."""
-        rest = [c for c in wanted if c not in self.young]
-        if len(self.young) + len(rest) > self.limit:
-            self.old, self.young = self.young, {}
-            rest = list(wanted)
-        if not self.old:
-            return rest
-        get, out = self.old.get, []
-        for c in rest:
-            if (v := get(c)) is None:
-                out.append(c)
-            else:
-                self.young[c] = v
-        return out
-
-
-#: Letters and digits, perhaps after a space, and ASCII punctuation behind them: a pre-token ends where it begins. The
-#: apostrophe is left out, as some rules join it to what follows.
-_TAILED = re.compile(r"( ?[^\W_]+)([!-&(-/:-@\[-`{-~]*)")
-
-
 class ChunkMemo:
-    """Chunk to value, for a whole worker.
-
-    A chunk of a word and punctuation has the value of the word plus that of the punctuation, so that words are encoded once
-    whatever stands behind them; under a lower-casing tokenizer, in whatever case. Sigma stays as it is: its small form
-    depends on its place, for Python only.
-    """
+    """Chunk to value, for a whole worker, of bounded size in two generations: a full one becomes the old one, whose entries
+    come back on use."""
 
-    def __init__(self, encode: Callable[[list[str]], list], lower: bool, limit: int = MEMO_CHUNKS) -> None:
-        self.encode, self.lower = encode, lower
-        self.chunks, self.parts = Memo(limit), Memo(limit)
-
-    def _parts(self, chunk: str) -> tuple[str, ...]:
-        if self.lower and chunk.isalpha():
-            return (chunk.lower() if "Σ" not in chunk else chunk,)
-        found = _TAILED.fullmatch(chunk)
-        if found is None:
-            return (chunk,)
-        word, tail = found.groups()
-        if self.lower and "Σ" not in word:
-            word = word.lower()
-            if not word.isalnum():  # a mark came out of a letter, which may join what follows
-                return (chunk,)
-        return (word, tail) if tail else (word,)
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = MEMO_CHUNKS) -> None:
+        self.encode, self.limit = encode, limit
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
     def values(self, lists: list[list[str]]) -> Callable[[str], object]:
         """A lookup that knows every chunk of ``lists``."""
-        fresh = self.chunks.missing(set().union(*lists))
-        split = [self._parts(c) for c in fresh]
-        unknown = self.parts.missing({p for x in split for p in x})
-        for at in range(0, len(unknown), 20_000):
-            some = unknown[at : at + 20_000]
-            self.parts.young.update(zip(some, self.encode(some), strict=True))
-        get, put = self.parts.young, self.chunks.young
-        for chunk, x in zip(fresh, split, strict=True):
-            put[chunk] = get[x[0]] if len(x) == 1 else get[x[0]] + get[x[1]]
-        return put.__getitem__
+        wanted = set().union(*lists)
+        rest = wanted.difference(self.young)
+        if len(self.young) + len(rest) > self.limit:
+            self.old, self.young = self.young, {}
+            rest = wanted
+        back = rest.intersection(self.old)
+        self.young.update((c, self.old[c]) for c in back)
+        fresh = list(rest - back) if back else list(rest)
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
+            self.young.update(zip(some, self.encode(some), strict=True))
+        return self.young.__getitem__
 
 
 def encode_words(path: str, words: list[str], glue: str) -> list[bytes] | None:
@@ -183,13 +154,13 @@ def _packed(path: str, spaced: bool) -> Callable[[list[str]], list[bytes]]:
 
 @lru_cache(maxsize=4)
 def _word_memo(path: str) -> ChunkMemo:
-    return ChunkMemo(_packed(path, False), lower=True)
+    return ChunkMemo(_packed(path, False))
 
 
 @lru_cache(maxsize=4)
 def _byte_memo(path: str) -> tuple[ChunkMemo, tuple[str, ...]]:
     specials = tuple(t.content for t in load_tokenizer(path).get_added_tokens_decoder().values())
-    return ChunkMemo(_packed(path, True), lower=False), specials
+    return ChunkMemo(_packed(path, True)), specials
 
 
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
