@@ -37,6 +37,7 @@ def encode_all(path: str, chunks: list[str]) -> list[list[int]]:
 
 #: Characters that Python's split() takes as blanks and the tokenizers do not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_CASE_SENSITIVE = re.compile("[\u0300-\u036fΣİ]")
 #: A full stop or comma next to other punctuation, with which it would be one pre-token.
 _RUN = re.compile(r"[.,](?:(?![^\W_]|\s|$)|(?<=[^\w\s][.,])|(?<=_[.,]))")
 #: The same, or behind a blank, which some rules join to it.
@@ -46,13 +47,14 @@ _RUN_OR_BLANK = re.compile(r"[.,](?:(?![^\W_]|\s|$)|(?<=[\W_][.,]))")
 def word_chunks(text: str) -> list[str]:
     """For lower-casing tokenizers that drop white space: the words between blanks, stops and commas on their own.
 
-    A text with one of the control characters that only Python takes for a blank stays whole. Sigma and the dotted I keep
-    their case: their small forms depend on their place, or hold a mark that joins what follows.
+    A text with one of the control characters that only Python takes for a blank stays whole. One with a sigma, a dotted I or
+    a combining mark is only cut at blanks: small forms depend on the place, bring a mark of their own, or combine anew.
     """
     if _SEPARATORS.search(text) is not None:
         return [text]
-    if "Σ" not in text and "İ" not in text:
-        text = text.lower()
+    if _CASE_SENSITIVE.search(text) is not None:
+        return text.split()
+    text = text.lower()
     if _RUN.search(text) is None:
         text = text.replace(".", " . ").replace(",", " , ")
     return text.split()

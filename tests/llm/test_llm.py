@@ -128,7 +128,7 @@ def library(path):
     return Tokenizer.from_file(path)
 
 
-pieces = list("abzAZ019 '.,!-_\n\t\r\x1c\x85\xa0éÉßΣςİı中\u0301\u3000²<|>") + ["<|endoftext|>", "'s", "  "]
+pieces = list("abzAZ019 '.,!-_\n\t\r\x1c\x85\xa0éÉßΣςİı中\u0301\u3000²<|>") + ["<|endoftext|>", "'s", "  ", "J\u030c"]
 text_strategy = st.lists(st.sampled_from(pieces), max_size=40).map("".join)
 
 
