@@ -2,6 +2,7 @@
 
 from sluicework.llm.licenses import PHRASES, TEMPLATES
 from sluicework.llm.quality import BOILERPLATE, DIVIDERS, SYMBOLS
+from sluicework.llm.secrets import BASE, OPAQUE
 
 _BLANKS = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -52,3 +53,32 @@ every as (select r, string_agg(distinct label, ',' order by label) as labels fro
 select doc_id, cast(len(words) as bigint) as n_words, coalesce(n, 0) as n_base, f as first_word, l as last_word, coalesce(base.labels, '') as base_labels, coalesce(every.labels, '') as labels,
 case when n > 0 then 1.0 else coalesce(c, 0.0) end as score
 from w left join base on w.r = base.r left join every on w.r = every.r left join method on w.r = method.r"""
+
+_KINDS = (*BASE, OPAQUE)
+#: RE2 has no look-around: an opaque run is a maximal run that holds a letter and a digit.
+_PATTERNS = {kind: (pattern if kind != "opaque" else "[A-Za-z0-9+/_-]{32,}").replace("'", "''") for kind, pattern, _, _ in _KINDS}
+
+
+def _matches(order: int, kind: str, group: int, least: int) -> str:
+    pattern = _PATTERNS[kind]
+    mixed = " and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')" if kind == "opaque" else ""
+    return f"""select r, {order} as ord, '{kind}' as kind, start, start + length(hit) as stop, value from (
+  select r, hit, value, sum(length(gap) + length(hit)) over (partition by r order by k) - length(hit) as start from (
+    select r, unnest(range(len(hits))) as k, unnest(hits) as hit, unnest(vals) as value, unnest(list_slice(gaps, 1, len(hits))) as gap from (
+      select r, regexp_extract_all(t, '{pattern}', 0) as hits, regexp_extract_all(t, '{pattern}', {group}) as vals, string_split_regex(t, '{pattern}') as gaps from d)))
+  where length(value) >= {least}{mixed}"""
+
+
+op3_secret_scan = f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, coalesce(source, '') as o, coalesce(lang, '') as p from documents),
+{", ".join(f"k{i} as ({_matches(i, kind, group, least)})" for i, (kind, _, group, least) in enumerate(_KINDS))},
+base as (select * from k0 union all select * from k1 union all select * from k2),
+free as (select * from k3 where not exists (select 1 from base b where b.r = k3.r and b.start < k3.stop and k3.start < b.stop)),
+every as (select c.*, o, p from (select * from base union all select * from free) c join d on c.r = d.r),
+owned as (select value, count(distinct o) as owners from every group by value),
+judged as (select every.*, owners <= 2 as live from every join owned on every.value = owned.value where ord < 3 or owners <= 2),
+s as (select r, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as c, count(*) filter (kind = 'hex') as h, count(*) filter (live) as n_live, count(*) filter (not live) as n_copied,
+  string_agg(kind || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, ord) as spans,
+  string_agg(kind || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, ord) filter (ord < 3) as base from judged group by r)
+select doc_id, coalesce(a, 0) as n_assign, coalesce(c, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied from d left join s on d.r = s.r"""
