@@ -33,17 +33,20 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     lengths = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
     codes = np.zeros(-(-n // 4) * 4, np.uint8)
     codes[:n] = lengths - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    raw = np.ascontiguousarray(ranks, "<u4").view(np.uint8).reshape(n, 4)
-    return control.tobytes(), raw[np.arange(4, dtype=np.uint8) < lengths[:, None]].tobytes()
+    four = codes.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    width = 2 if lengths.max(initial=1) <= 2 else 4
+    raw = ranks.astype(f"<u{width}").view(np.uint8).reshape(n, width)
+    return control.tobytes(), raw[np.arange(width, dtype=np.uint8) < lengths[:, None]].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ranks again: a table gives four lengths for each control byte, sums of lengths the places."""
+    """The ranks again: a table gives four lengths for each control byte, and with them the bytes' places."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    raw = np.zeros((n, 4), np.uint8)
-    raw[np.arange(4, dtype=np.uint8) < lengths[:, None]] = np.frombuffer(data, np.uint8)
-    return raw.reshape(-1).view("<u4")
+    width = 2 if lengths.max(initial=1) <= 2 else 4
+    raw = np.zeros((n, width), np.uint8)
+    raw[np.arange(width, dtype=np.uint8) < lengths[:, None]] = np.frombuffer(data, np.uint8)
+    return raw.reshape(-1).view(f"<u{width}")
 
 
 def _tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
