@@ -137,25 +137,37 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a cell whose sketches are alike enough.
+    """Links (a, b) that join different components within a cell.
 
-    A sketch agrees in a share of its 210 places that estimates the similarity with a standard error of 0.03 at most; pairs
-    are let through from 0.15 below the threshold on, five of these errors. Documents outside the cell's largest component
-    are compared with all of other components by vector operations, so only pairs to confirm become rows.
+    Documents outside the cell's largest component are compared with all of other components: sketches first, which agree in
+    a share of their 210 places that estimates the similarity with a standard error of 0.03, so that pairs from five errors
+    below the threshold on go on; then full sets, unless an earlier link of the cell has joined the two. So a cell gives
+    fewer links than it has members, whatever its pairs.
     """
     least = percent / 100 - 0.15
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        ids, sizes, comps = cell["id"].to_numpy(), cell["n_shingles"].to_numpy(), cell["component"].to_numpy()
+        cell = cell.drop_duplicates("id").sort_values("id", ignore_index=True)
+        ids, sizes, texts = cell["id"].to_numpy(), cell["n_shingles"].to_numpy(), cell["text"].to_list()
+        names, comps, counts = np.unique(cell["component"].to_numpy(), return_inverse=True, return_counts=True)
         sketches = np.frombuffer(b"".join(cell["sketch"]), np.uint8).reshape(len(ids), -1)
-        names, counts = np.unique(comps, return_counts=True)
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(texts[k])
+            return sets[k]
+
         out = []
-        for k in np.flatnonzero(comps != names[counts.argmax()]).tolist():
+        for k in np.flatnonzero(comps != counts.argmax()).tolist():
             near = 100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k])
             others = np.flatnonzero((comps != comps[k]) & near)
-            alike = (sketches[others] == sketches[k]).mean(axis=1) >= least
-            out += [(min(ids[k], x), max(ids[k], x)) for x in ids[others[alike]].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+            alike = (sketches[others] == sketches[k]).mean(axis=1)
+            for j in others[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())].tolist():
+                if comps[j] != comps[k] and linked(set_of(k), set_of(j), percent):
+                    out.append((ids[k], ids[j]))
+                    comps = np.where(comps == comps[k], comps[j], comps)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return cells.groupBy("band", "cell").applyInPandas(compare, "a long, b long").distinct()
 
@@ -172,8 +184,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Sign every text in one narrow pass; collapse classes of equal sets.
     2. Every bucket of a band proposes a link from its least class to each of its others: as many pairs as rows.
     3. Full sets, built again from the texts, confirm proposals; components of what holds.
-    4. In buckets that still hold several components, pairs between these are compared by their sketches, in blocks of a
-       bounded size; those that may be links are confirmed and joined. Then every two classes of a bucket are in one
+    4. In buckets that still hold several components, pairs between these are compared in blocks of a bounded number of
+       members, by sketches, then by full sets; links join components at once, so that few are left to compare. Then every two classes of a bucket are in one
        component or were compared, so no link that any band proposes is lost.
 
     Texts are shuffled once, and only those with a proposal are kept for the comparisons.
@@ -206,9 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs_of = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j)))
     open_ = placed.join(spread.select("band", "size"), "band").withColumn("cell", F.explode(F.when(blocks > 1, pairs_of).otherwise(F.array(F.lit("0")))))
     sketches = signed.select("id", "sketch").join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    across = _across(open_.drop("size").join(sketches, "id"), percent)
-    across = scratch.table(across.join(pairs, ["a", "b"], "left_anti"), "across")
-    more = scratch.table(_confirmed(across, texts, percent), "more")
+    more = scratch.table(_across(open_.drop("size").join(sketches, "id").join(texts, "id"), percent), "more")
     if not more.isEmpty():
         found = cut(connected_components(links.unionByName(more), "a", "b"))
 
