@@ -75,8 +75,8 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def bands(found: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Band hashes of a shingle set, and the last byte of each value.
+def bands(found: np.ndarray) -> np.ndarray:
+    """Band hashes of a shingle set.
 
     Each hash function is evaluated once and gives two values, its least and its greatest over the set; each agrees between
     two sets with their similarity as its chance, so bands of either estimate it without bias.
@@ -89,9 +89,8 @@ def bands(found: np.ndarray) -> tuple[np.ndarray, bytes]:
         low, high = values.min(axis=1), values.max(axis=1)
         least = low if least is None else np.minimum(least, low)
         greatest = high if greatest is None else np.maximum(greatest, high)
-    values = np.concatenate([least, greatest])
-    rows = values.astype(np.uint64).reshape(BANDS, ROWS)
-    return _mixed((rows * c["rows"]).sum(axis=1, dtype=np.uint64) + c["bands"]), values.astype(np.uint8).tobytes()
+    rows = np.concatenate([least, greatest]).astype(np.uint64).reshape(BANDS, ROWS)
+    return _mixed((rows * c["rows"]).sum(axis=1, dtype=np.uint64) + c["bands"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -103,20 +102,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, rows, sketches = [], [], [], []
+            sizes, keys, rows = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                row, sketch = bands(found) if len(found) else (None, None)
-                rows.append(None if row is None else row.view(np.int64))
-                sketches.append(sketch)
+                rows.append(bands(found).view(np.int64) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["id", "n_shingles", "class", "bands", "sketch"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
+                names=["id", "n_shingles", "class", "bands"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, n_shingles long, class binary, bands array<long>, sketch binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, n_shingles long, class binary, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -139,32 +136,28 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def _across(cells: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join different components within a cell.
 
-    Documents outside the cell's largest component are compared with all of other components: sketches first, which agree in
-    a share of their 210 places that estimates the similarity with a standard error of 0.03, so that pairs from five errors
-    below the threshold on go on; then full sets, unless an earlier link of the cell has joined the two. So a cell gives
-    fewer links than it has members, whatever its pairs.
+    Shingles of the cell are numbered, so that the intersections of one document's full set with those of all others are one
+    vector operation. Documents outside the largest component are compared so; a link joins its components at once, and a
+    cell gives fewer links than it has members, whatever its pairs.
     """
-    least = percent / 100 - 0.15
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.drop_duplicates("id").sort_values("id", ignore_index=True)
-        ids, sizes, texts = cell["id"].to_numpy(), cell["n_shingles"].to_numpy(), cell["text"].to_list()
-        names, comps, counts = np.unique(cell["component"].to_numpy(), return_inverse=True, return_counts=True)
-        sketches = np.frombuffer(b"".join(cell["sketch"]), np.uint8).reshape(len(ids), -1)
-        sets: dict[int, np.ndarray] = {}
-
-        def set_of(k: int) -> np.ndarray:
-            if k not in sets:
-                sets[k] = shingles(texts[k])
-            return sets[k]
-
+        ids = cell["id"].to_numpy()
+        _, comps, counts = np.unique(cell["component"].to_numpy(), return_inverse=True, return_counts=True)
+        sets = [shingles(t) for t in cell["text"]]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(known), np.int32)
         out = []
         for k in np.flatnonzero(comps != counts.argmax()).tolist():
-            near = 100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k])
-            others = np.flatnonzero((comps != comps[k]) & near)
-            alike = (sketches[others] == sketches[k]).mean(axis=1)
-            for j in others[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())].tolist():
-                if comps[j] != comps[k] and linked(set_of(k), set_of(j), percent):
+            own = numbers[starts[k] : starts[k] + sizes[k]]
+            mark[own] = 1
+            same = np.add.reduceat(mark[numbers], starts)
+            mark[own] = 0
+            for j in np.flatnonzero((comps != comps[k]) & (100 * same >= percent * (sizes + sizes[k] - same))).tolist():
+                if comps[j] != comps[k]:
                     out.append((ids[k], ids[j]))
                     comps = np.where(comps == comps[k], comps[j], comps)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -184,8 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Sign every text in one narrow pass; collapse classes of equal sets.
     2. Every bucket of a band proposes a link from its least class to each of its others: as many pairs as rows.
     3. Full sets, built again from the texts, confirm proposals; components of what holds.
-    4. In buckets that still hold several components, pairs between these are compared in blocks of a bounded number of
-       members, by sketches, then by full sets; links join components at once, so that few are left to compare. Then every two classes of a bucket are in one
+    4. In buckets that still hold several components, pairs between these are compared by full sets in blocks of a bounded
+       number of members; links join components at once. Then every two classes of a bucket are in one
        component or were compared, so no link that any band proposes is lost.
 
     Texts are shuffled once, and only those with a proposal are kept for the comparisons.
@@ -217,8 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pairs_of = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j)))
     open_ = placed.join(spread.select("band", "size"), "band").withColumn("cell", F.explode(F.when(blocks > 1, pairs_of).otherwise(F.array(F.lit("0")))))
-    sketches = signed.select("id", "sketch").join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    more = scratch.table(_across(open_.drop("size").join(sketches, "id").join(texts, "id"), percent), "more")
+    more = scratch.table(_across(open_.select("band", "cell", "id", "component").join(texts, "id"), percent), "more")
     if not more.isEmpty():
         found = cut(connected_components(links.unionByName(more), "a", "b"))
 
