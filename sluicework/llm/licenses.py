@@ -1,10 +1,11 @@
-"""License scans: an exact set-similarity join of text blocks with license templates."""
+"""License scans: an exact set-similarity join of the word windows of a text with license templates."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from itertools import takewhile
 from math import ceil
 
 import pyarrow as pa
@@ -56,9 +57,12 @@ class TemplateIndex:
         self.prefix: dict[str, list[tuple[str, int]]] = {}
         self.tokens: dict[str, frozenset[str]] = {}
         self.need: dict[str, int] = {}
+        self.span: dict[str, int] = {}
         for label, text in templates.items():
-            ordered = sorted(set(words_of(text)), key=lambda t: (counts.get(t, 0), t))
+            words = words_of(text)
+            ordered = sorted(set(words), key=lambda t: (counts.get(t, 0), t))
             self.tokens[label] = frozenset(ordered)
+            self.span[label] = ceil(len(words) / threshold - 1e-9)
             self.need[label] = need = ceil(threshold * len(ordered) - 1e-9)
             for at, token in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(token, []).append((label, at))
@@ -83,16 +87,81 @@ class TemplateIndex:
                 tried.add(label)
 
 
+    def passages(self, words: list[str]) -> list[tuple[int, int, str, float, bool]]:
+        """Start, length, label and containment of every passage that holds a template to the threshold within a window of
+        its length over the threshold, wherever lines end; true for those with no better passage (more contained, then of a
+        larger template) on half of the shorter one's words.
+
+        The passages of a template don't overlap: of those that do, the one that holds most of it goes first, then the
+        shortest, then the first; what is left of the text before and behind it is searched as well.
+        """
+        distinct = set(words)
+        labels = {label for token in self.keys & distinct for label, _ in self.prefix[token]}
+        labels = {x for x in labels if len(self.tokens[x] & distinct) >= self.need[x]}
+        if not labels:
+            return []
+        near: dict[str, list[tuple[int, int]]] = {x: [] for x in labels}
+        for i, word in enumerate(words):
+            for label, _ in self.prefix.get(word, ()):
+                if label in labels:
+                    spans, a, b = near[label], max(0, i - self.span[label] + 1), min(len(words), i + self.span[label])
+                    if spans and a <= spans[-1][1]:
+                        a = spans.pop()[0]
+                    spans.append((a, b))
+        found = []
+        for label in sorted(labels):
+            tokens = self.tokens[label]
+            for a, b in near[label]:
+                places = [i for i in range(a, b) if words[i] in tokens]
+                found += [(at, n, label, c, len(tokens)) for at, n, c in self._windows(label, words, places)]
+        found.sort()
+        longest = max((n for _, n, *_ in found), default=0)
+        out = []
+        for k, (at, n, label, c, size) in enumerate(found):
+            rivals = (x for side in (range(k - 1, -1, -1), range(k + 1, len(found))) for x in takewhile(lambda x: abs(x[0] - at) < longest, (found[j] for j in side)))
+            beaten = any((x[3], x[4]) > (c, size) and 2 * (min(at + n, x[0] + x[1]) - max(at, x[0])) >= min(n, x[1]) for x in rivals)
+            out.append((at, n, label, c, not beaten))
+        return out
+
+    def _windows(self, label: str, words: list[str], places: list[int]) -> Iterator[tuple[int, int, float]]:
+        """Passages of one template among the given places of its tokens, in one walk: a passage stands once no better one
+        can overlap it. Better ones replace it a bounded number of times, so only a bounded stretch is walked again."""
+        size, need, span = len(self.tokens[label]), self.need[label], self.span[label]
+        start = 0
+        while start < len(places):
+            best = first = None
+            held: Counter[str] = Counter()
+            lo = start
+            for k in range(start, len(places)):
+                held[words[places[k]]] += 1
+                while places[lo] <= places[k] - span or held[words[places[lo]]] > 1:
+                    held[words[places[lo]]] -= 1
+                    if not held[words[places[lo]]]:
+                        del held[words[places[lo]]]
+                    lo += 1
+                if best and lo > best[3]:
+                    break
+                if len(held) >= need and (best is None or (len(held), places[lo] - places[k]) > best[:2]):
+                    best = (len(held), places[lo] - places[k], lo, k)
+                    first = lo if first is None else first
+            if best is None:
+                return
+            n, _, lo, k = best
+            yield places[lo], places[k] - places[lo] + 1, n / size
+            if first < lo:
+                yield from self._windows(label, words, places[first:lo])
+            start = k + 1
+
+
 def token_frequencies(docs: DataFrame, text_col: str, templates: Mapping[str, str]) -> dict[str, int]:
-    """In how many blocks of the corpus each template token stands; one number per template token reaches the driver."""
+    """In how many texts of the corpus each template token stands; one number per template token reaches the driver."""
     wanted = frozenset(t for x in templates.values() for t in words_of(x))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    found.update(wanted.intersection(words_of(line)))
+                found.update(wanted.intersection(words_of(text or "")))
         yield pa.RecordBatch.from_pydict({"token": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
     rows = docs.select(text_col).mapInArrow(count, "token string, n long").groupBy("token").agg({"n": "sum"}).collect()
@@ -123,12 +192,12 @@ def license_scan(
     phrases: Mapping[str, str] = PHRASES,
     threshold: float = 0.8,
 ) -> DataFrame:
-    """Licenses of every whole text: places of the base phrases, and blocks (lines) that contain a template.
+    """Licenses of every whole text: places of the base phrases, and blocks (passages) that contain a template.
 
-    Columns: the id, n_words, places (array of start, length, label: the base phrases, words from 0), blocks (array of line,
-    label, containment, best: every line whose token set holds at least ``threshold`` of a template's; best marks the template
-    that fits the line best). Template labels ending in
-    -long count as the label without it. Null or empty text: no word, no place, no block. Repeated rows each give a row;
+    Columns: the id, n_words, places (array of start, length, label: the base phrases, words from 0), blocks (array of start,
+    length, label, containment, best: every passage that holds at least ``threshold`` of a template's tokens within a window
+    of the template's words over ``threshold``, whatever the line ends; best marks those that no better one overlaps).
+    Template labels ending in -long count as the label without it. Null or empty text: no word, no place, no block. Repeated rows each give a row;
     only the id and the text are read. An empty table gives an empty table. Two narrow passes (the first counts template
     tokens, which orders them globally) and no shuffle of texts; the templates are a fixed list, so every task holds it.
     """
@@ -136,21 +205,15 @@ def license_scan(
     starts = tuple(p.split()[0] for p in phrases)
     kind = docs.schema[id_col].dataType.simpleString()
     places_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("label", pa.string())]))
-    blocks_type = pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64()), ("best", pa.bool_())]))
+    blocks_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("label", pa.string()), ("containment", pa.float64()), ("best", pa.bool_())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, places, blocks = [], [], []
             for text in batch.column(1).to_pylist():
-                words: list[str] = []
-                found = []
-                for k, line in enumerate((text or "").split("\n")):
-                    own = words_of(line)
-                    words += own
-                    if not index.keys.isdisjoint(own):
-                        found += [{"line": k, "label": x.removesuffix("-long"), "containment": c, "best": b} for x, c, b in index.matches(set(own))]
+                words = words_of(text or "")
                 sizes.append(len(words))
-                blocks.append(found)
+                blocks.append([{"start": a, "length": n, "label": x.removesuffix("-long"), "containment": c, "best": b} for a, n, x, c, b in index.passages(words)])
                 held = set(words).intersection(starts) if words else ()
                 places.append([{"start": a, "length": n, "label": x} for a, n, x in phrase_places(words, phrases)] if held else [])
             yield pa.RecordBatch.from_arrays(
@@ -159,5 +222,5 @@ def license_scan(
 
     return docs.select(id_col, text_col).mapInArrow(
         scan,
-        f"`{id_col}` {kind}, n_words long, places array<struct<start: long, length: long, label: string>>, blocks array<struct<line: long, label: string, containment: double, best: boolean>>",
+        f"`{id_col}` {kind}, n_words long, places array<struct<start: long, length: long, label: string>>, blocks array<struct<start: long, length: long, label: string, containment: double, best: boolean>>",
     )

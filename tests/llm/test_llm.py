@@ -332,6 +332,45 @@ def test_license_join_equals_brute_force():
         assert {(k, c) for k, c, _ in index.matches(block)} == want
 
 
+HEADERS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "isc": "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+}
+
+
+def test_license_windows_over_lines(spark):
+    rows = [*HEADERS.items(), ("twice", f"{HEADERS['isc']}\nand {HEADERS['mit']}\n{HEADERS['mit']}"), ("far", " z".join(["licensed", *["filler"] * 90, "under", *["filler"] * 90, "cc by 4 0"])), ("nc", "licensed under cc by\nnc 4 0")]
+    got = {r.doc_id: [(b.label, b.start) for b in r.blocks if b.best] for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: [x[0] for x in v] for k, v in got.items()} == {"mit": ["mit"], "isc": ["isc"], "bsd": ["bsd"], "twice": ["isc", "mit", "mit"], "far": [], "nc": ["cc-by-nc"]}
+    assert got["mit"] == [("mit", 0)]
+
+
+def test_license_windows_equal_brute_force():
+    rng = np.random.default_rng(12)
+    index = licenses.TemplateIndex(licenses.TEMPLATES, {}, 0.8)
+    for _ in range(400):
+        words = []
+        for label in rng.choice(list(licenses.TEMPLATES), 3).tolist() + [str(k) for k in HEADERS]:
+            text = licenses.words_of(HEADERS.get(label, "")) if rng.random() < 0.5 else licenses.TEMPLATES[label].split() if label in licenses.TEMPLATES else []
+            words += [w for w in text if rng.random() < 0.93] + [f"f{k}" for k in range(rng.integers(0, 6))]
+        got = index.passages(words)
+        best = {}
+        for label, text in licenses.TEMPLATES.items():
+            tokens, span = set(text.split()), -(-len(text.split()) * 10 // 8)
+            most = max(len(tokens & set(words[i : i + span])) for i in range(max(1, len(words))))
+            if most >= 0.8 * len(tokens) - 1e-9:
+                best[label] = most / len(tokens)
+            mine = sorted((a, n) for a, n, x, _, _ in got if x == label)
+            assert all(a + n <= b for (a, n), (b, _) in zip(mine, mine[1:])) and all(n <= span for _, n in mine)
+            free, at = [], 0
+            for a, n in [*mine, (len(words), 0)]:
+                free.append(words[at:a])
+                at = a + n
+            assert not any(len(tokens & set(x[i : i + span])) >= 0.8 * len(tokens) - 1e-9 for x in free for i in range(len(x)))
+        assert {x: max(c for _, _, y, c, _ in got if y == x) for _, _, x, _, _ in got} == best
+
+
 def test_license_odd(spark, odd, none):
     got = {r.doc_id: r for r in licenses.license_scan(odd).collect()}
     assert got[1].n_words == got[2].n_words == 0 and got[5].n_words == 20_000 and not got[5].places
