@@ -29,11 +29,12 @@ def stratified_holdout(df: DataFrame, stratum: str, row_id: str, targets: dict[s
 
 def first_wins(df: DataFrame, digest: Column, near: Column, order: str) -> DataFrame:
     """``df`` with ``reason``: accepted for the first row of each ``near`` key by ``order``; the others are an exact duplicate
-    if their digest is that of the first, else a near one. Counted per key first, so a key with very many rows is no burden."""
+    if their digest is that of the first, else a near one. Null is a key like any other; as in SQL, a null digest equals none.
+    Counted per key first, so a key with very many rows is no burden."""
     rows = df.withColumn("_digest", digest).withColumn("_near", near)
-    firsts = rows.groupBy("_near").agg(F.min(F.struct(F.col(order).alias("o"), F.col("_digest").alias("d"))).alias("_first"))
+    firsts = rows.groupBy(F.col("_near").alias("_key")).agg(F.min(F.struct(F.col(order).alias("o"), F.col("_digest").alias("d"))).alias("_first"))
     reason = F.when(F.col(order) == F.col("_first.o"), "accepted").when(F.col("_digest") == F.col("_first.d"), "exact_duplicate").otherwise("near_duplicate")
-    return rows.join(firsts, "_near").withColumn("reason", reason).drop("_near", "_digest", "_first")
+    return rows.join(firsts, F.col("_near").eqNullSafe(F.col("_key"))).withColumn("reason", reason).drop("_near", "_digest", "_key", "_first")
 
 
 def balanced_schedule(spark: SparkSession, seed: int, ambiguous_each: int = 40, resolvable_each: int = 80) -> DataFrame:

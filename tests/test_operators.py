@@ -116,3 +116,11 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 7), (None, 4), (3, 1), *[(100 + i, 101 + i) for i in range(30)]]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {100 + i: 100 for i in range(31)}
+
+
+def test_first_wins_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(1, None), (2, "a"), (3, "A"), (4, "a"), (5, None)], "doc_id long, text string")
+    got = sampling.first_wins(rows, F.sha2("text", 256), F.md5(F.lower("text")), "doc_id")
+    assert got.columns == ["doc_id", "text", "reason"]
+    want = {1: "accepted", 2: "accepted", 3: "near_duplicate", 4: "exact_duplicate", 5: "near_duplicate"}  # as first_value and = give in SQL
+    assert sorted((r.doc_id, r.reason) for r in got.collect()) == sorted(want.items())
