@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 WORD = re.compile(r"[^\W_]+")
 SEED = 3
@@ -23,38 +24,58 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
-    """Smith-Waterman: the best local score and where it ends in ``window``, row by row with vector operations.
+def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
+    """Smith-Waterman: the best local score and where it ends in ``window`` and in ``item``, row by row with vector operations.
 
-    A gap in the item moves along the row; its best value is a running maximum once each cell is raised by its distance.
+    A gap in the item moves along the row; its best value is a running maximum once each cell is raised by its distance. Of
+    equal ends in a row the middle one is taken, so that many copies are halved rather than cut off one by one.
     """
     n = len(window)
     slope = -GAP * np.arange(n + 1)
     above = np.zeros(n + 1, np.int64)
-    best, end = 0, 0
-    for word in item:
+    best, end, last = 0, 0, 0
+    for k, word in enumerate(item, 1):
         row = np.zeros(n + 1, np.int64)
         np.maximum(above[:-1] + np.where(window == word, MATCH, MISMATCH), above[1:] + GAP, out=row[1:])
         np.maximum(row, 0, out=row)
         above = np.maximum.accumulate(row + slope) - slope
-        at = int(above.argmax())
-        if above[at] > best:
-            best, end = int(above[at]), at
-    return best, end
+        if (top := int(above.max())) > best:
+            ends = np.flatnonzero(above == top)
+            best, end, last = top, int(ends[len(ends) // 2]), k
+    return best, end, last
+
+
+def reach(item: np.ndarray, window: np.ndarray, score: int) -> int:
+    """How many of the last words of ``window`` an alignment of that score takes which ends with both ``window`` and ``item``.
+
+    The fewest, if there are several. With a score above 0, at most two other words stand for each that matches.
+    """
+    item, window = item[::-1], window[::-1][: (MATCH + 1) * len(item)]
+    slope = -GAP * np.arange(len(window) + 1)
+    above = -slope
+    found = len(window)
+    for k, word in enumerate(item, 1):
+        row = np.full(len(window) + 1, GAP * k, np.int64)
+        np.maximum(above[:-1] + np.where(window == word, MATCH, MISMATCH), above[1:] + GAP, out=row[1:])
+        above = np.maximum.accumulate(row + slope) - slope
+        if (at := int(above.argmax())) < found and above[at] == score:
+            found = at
+    return found
 
 
 class Seeds:
-    """Benchmark items by their rare n-grams."""
+    """Benchmark items by their rare n-grams. Ids need not be unique: an item is known by its row."""
 
-    def __init__(self, items: list[tuple[int, str]], counts: dict[str, int], total: int, rare: float, least_share: float) -> None:
+    def __init__(self, items: list[tuple[object, str]], counts: dict[str, int], total: int, rare: float, least_share: float) -> None:
         self.least_share = least_share
         self.vocabulary: dict[str, int] = {}
-        self.items: dict[int, np.ndarray] = {}
+        self.ids = [i for i, _ in items]
+        self.items: list[np.ndarray] = []
         rows = []
-        for item, text in items:
+        for item, (_, text) in enumerate(items):
             words = words_of(text)
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            self.items[item] = ids
+            self.items.append(ids)
             chance = np.array([(counts.get(w, 0) + 1) / (total + 1) for w in words])
             if len(ids) < SEED:
                 continue
@@ -72,9 +93,10 @@ class Seeds:
             out = out * self.base + int(x)
         return out
 
-    def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """(item, share, first word, end word) of every stretch of a text that aligns well enough with an item.
+    def matches(self, text: str | None) -> list[tuple[object, float, int, int]]:
+        """(item id, share, first word, end word) of every stretch of a text that aligns well enough with an item.
 
+        Around its seeds the best stretch goes first, then those in what is left before and behind it, until none does.
         ``share`` is the alignment score over the score of the whole item against itself.
         """
         words = words_of(text)
@@ -105,14 +127,18 @@ class Seeds:
                     spans[-1][1] = d + len(target) + slack
                 else:
                     spans.append([d - slack, d + len(target) + slack])
-            for a, b in spans:
-                a = max(0, a)
+            todo = [(max(0, a), min(len(ids), b)) for a, b in spans]
+            while todo:
+                a, b = todo.pop()
                 window = ids[a:b]
-                score, end = align(target, window)
+                if np.isin(window, target).sum() < self.least_share * len(target):  # even if all of them matched
+                    continue
+                score, end, last = align(target, window)
                 share = score / (MATCH * len(target))
-                if share >= self.least_share:
-                    _, back = align(target[::-1], window[:end][::-1])
-                    found.append((item, share, a + end - back, a + end))
+                if score and share >= self.least_share:
+                    start = end - reach(target[:last], window[:end], score)
+                    found.append((self.ids[item], share, a + start, a + end))
+                    todo += [(a, a + start), (a + end, b)]
         return found
 
 
@@ -140,7 +166,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     total = sized.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     blocks = -(-total // block_words)
     for k in range(blocks):
-        items = [tuple(r) for r in sized.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "t").collect()]
+        items = list(dict.fromkeys(tuple(r) for r in sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()))
         counts, words = _word_counts(docs, text_col, frozenset(w for _, t in items for w in words_of(t)))
         yield spark.sparkContext.broadcast(Seeds(items, counts, words, rare, least_share))
 
@@ -165,11 +191,12 @@ def find_contamination(
     item that leaked into many documents keeps its seeds.
 
     Null or empty texts match nothing, nor do items of fewer than 3 words. Repeated rows, and repeated stretches of a long
-    text, each give a row. Only the named columns are read. An empty table on either side gives an empty result. No shuffle
+    text, each give a row, as do benchmark rows of one id, or of none, with different texts. Only the named columns are read. An empty table on either side gives an empty result. No shuffle
     of texts and no join: seeds are broadcast in blocks of at most ``block_words`` benchmark words, one pass over the corpus
     for each block.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, share double, word_start long, word_end long"
     parts = []
     for seeds in _blocks(docs, benchmark, text_col, item_col, item_text_col, rare, least_share, block_words):
@@ -180,7 +207,7 @@ def find_contamination(
                 at, items, shares, starts, ends = zip(*rows, strict=True) if rows else ((), (), (), (), ())
                 ids = batch.column(0).take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(items, ids.type if item_kind == kind else None), pa.array(shares, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+                    [ids, pa.array(items, item_type), pa.array(shares, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
                     names=[id_col, item_col, "share", "word_start", "word_end"],
                 )
 

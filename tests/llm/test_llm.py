@@ -428,6 +428,25 @@ def test_contamination(spark, odd, none):
     assert decontaminate.drop_contaminated(odd, bench).columns == odd.columns
 
 
+def test_contamination_shared_ids_and_copies(spark):
+    rng = np.random.default_rng(4)
+    a, b, c, d = (" ".join(f"k{rng.integers(5000)}" for _ in range(30)) for _ in range(4))
+    gone = " ".join(w for k, w in enumerate(c.split()) if k not in (9, 20))
+    bench = spark.createDataFrame([(7, a), (7, b), (None, c), (None, d), (7, a)], "item_id int, text string")
+    rows = [(1, a), (2, b), (3, c), (4, d), (5, f"{a} {a} x y {a}"), (6, f"{c} {gone} {c}"), (7, " ".join([d] * 40)), (8, f"{a} {b}"), (9, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (2_000_000, 40):
+        got = {}
+        for r in decontaminate.find_contamination(docs, bench, block_words=words).collect():
+            got.setdefault(r.doc_id, []).append((r.item_id, r.word_start, r.word_end))
+        got = {k: sorted(v, key=lambda x: x[1]) for k, v in got.items()}
+        assert got == {
+            1: [(7, 0, 30)], 2: [(7, 0, 30)], 3: [(None, 0, 30)], 4: [(None, 0, 30)], 5: [(7, 0, 30), (7, 30, 60), (7, 62, 92)],
+            6: [(None, 0, 30), (None, 30, 58), (None, 58, 88)], 7: [(None, 30 * k, 30 * k + 30) for k in range(40)], 8: [(7, 0, 30), (7, 30, 60)],
+        }
+        assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench, block_words=words).collect()] == [9]
+
+
 def test_alignment_equals_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(40):
