@@ -49,8 +49,8 @@ class TemplateIndex:
 
     A block contains a template to the share ``threshold`` if it holds ceil(threshold * n) of its n distinct tokens. Two
     sets with that overlap share one of the template's first n - overlap + 1 tokens in the global order, so only these are
-    indexed (prefix filter). A block with fewer distinct tokens than the overlap can't qualify (length filter), and neither
-    can one whose first shared token stands so late that too few tokens of the template remain (positional filter).
+    indexed (prefix filter). A block with fewer distinct tokens than the overlap can't qualify (length filter). A positional
+    filter is left out: a window is no longer than a template allows, and its overlap is counted in one walk.
     """
 
     def __init__(self, templates: Mapping[str, str], counts: Mapping[str, int], threshold: float) -> None:
@@ -78,9 +78,9 @@ class TemplateIndex:
     def _contained(self, block: set[str]) -> Iterator[tuple[str, float, int]]:
         tried: set[str] = set()
         for token in sorted(self.keys & block):
-            for label, at in self.prefix[token]:
+            for label, _ in self.prefix[token]:
                 size, need = len(self.tokens[label]), self.need[label]
-                if label in tried or len(block) < need or size - at < need:
+                if label in tried or len(block) < need:
                     continue
                 if (overlap := len(self.tokens[label] & block)) >= need:
                     yield label, overlap / size, size
