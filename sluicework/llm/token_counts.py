@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.tokens import ChunkMemo, encode_all, in_runs, load_tokenizer, word_chunks
+from sluicework.llm.tokens import TextMemo, encode_all, in_runs, load_tokenizer, word_chunks
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,37 +41,37 @@ def whole_tokens(path: str, end: str = "</w>") -> frozenset[str]:
 
 
 @lru_cache(maxsize=4)
-def _counts(path: str) -> ChunkMemo:
+def _counts(path: str, proved: frozenset[str]) -> TextMemo:
     """Chunk to number of tokens: proved pre-tokens count at once, the others are merged."""
-    proved = whole_tokens(path)
 
-    def count(chunks: list[str]) -> list[int]:
-        rest = [c for c in chunks if c not in proved]
+    def merge(parts: list[str]) -> list[int]:
+        rest = [p for p in parts if p not in proved]
         merged = dict(zip(rest, map(len, encode_all(path, rest)), strict=True))
-        return [merged.get(c, 1) for c in chunks]
+        return [merged.get(p, 1) for p in parts]
 
-    return ChunkMemo(count)
+    return TextMemo(merge, sum, True)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """n_bytes, n_tokens and over_limit of every whole text, as the tokenizer gives them without added special tokens.
 
-    Pre-tokens that are proved to be one token are counted without merging; the tokenizer merges the rest, each distinct one
-    once while a bounded memory holds it. Fits tokenizers that drop white space. Null or empty text: 0 bytes and 0 tokens.
+    Pre-tokens that are proved to be one token are counted without merging; the proof is made once, on the driver, and its
+    result, at most the vocabulary, is broadcast. The tokenizer merges the rest, each distinct one once while a bounded
+    memory holds it. Fits tokenizers that drop white space. Null or empty text: 0 bytes and 0 tokens.
     Repeated rows each give a row; only the id and the text are read, so other columns cannot clash. One narrow pass: no
     shuffle, and memory bounded by a run of texts.
     """
     name = f"`{id_col}`"
     kind = docs.schema[id_col].dataType.simpleString()
 
+    proved = docs.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer_path))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _counts(tokenizer_path)
+        memo = _counts(tokenizer_path, proved.value)
         for batch in batches:
             sizes: list[int] = []
             for run in in_runs(batch.column(1).to_pylist()):
-                lists = [word_chunks(t) for t in run]
-                get = memo.values(lists)
-                sizes += [sum(map(get, x)) for x in lists]
+                sizes += [sum(n) for n in memo.values([word_chunks(t) for t in run])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))

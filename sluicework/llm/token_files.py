@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluicework.llm.tokens import byte_ids, in_runs
+from sluicework.llm.tokens import byte_ids, id_width, in_runs
 from sluicework.scratch import Scratch
 
 #: Of each control byte: the lengths of its four ids.
@@ -49,39 +49,35 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return raw.reshape(-1).view(f"<u{width}")
 
 
-def _tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    end = np.array([end_id], dtype="<u4").tobytes()
+def _tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, width: int) -> DataFrame:
+    end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in in_runs(batch.column(1).to_pylist()):
-                ids = [np.frombuffer(b + end, "<u4") for b in byte_ids(tokenizer_path, texts)]
-                wide = any(len(x) and x.max() > 0xFFFF for x in ids)
-                raw = [x.tobytes() if wide else x.astype("<u2").tobytes() for x in ids]
+                raw = [ids + end for ids in byte_ids(tokenizer_path, texts, width)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array([4 if wide else 2] * len(ids), pa.int32()), pa.array(raw, pa.binary())],
-                    names=[id_col, "n_tokens", "width", "raw"],
+                    [batch.column(0).slice(at, len(raw)), pa.array([len(x) // width for x in raw], pa.int64()), pa.array(raw, pa.binary())],
+                    names=[id_col, "n_tokens", "raw"],
                 )
-                at += len(ids)
+                at += len(raw)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, width int, raw binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, raw binary")
 
 
-def _frequencies(tokenised: DataFrame) -> DataFrame:
+def _frequencies(tokenised: DataFrame, width: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for width, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = np.bincount(np.frombuffer(raw, f"<u{width}"))
-                if len(new) > len(total):
-                    total = np.pad(total, (0, len(new) - len(total)))
-                total[: len(new)] += new
+            new = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{width}"))
+            total = np.pad(total, (0, max(0, len(new) - len(total))))
+            total[: len(new)] += new
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    return tokenised.select("width", "raw").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokenised.select("raw").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
@@ -94,8 +90,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-files")
-    tokenised = scratch.table(_tokenised(docs, tokenizer_path, id_col, text_col, end_id), "ids", compression="zstd")
-    counted = sorted((-r["n"], r["id"]) for r in _frequencies(tokenised).collect())  # one row per vocabulary entry at most
+    width = max(id_width(tokenizer_path), 2 if end_id <= 0xFFFF else 4)
+    tokenised = scratch.table(_tokenised(docs, tokenizer_path, id_col, text_col, end_id, width), "ids", compression="zstd")
+    counted = sorted((-r["n"], r["id"]) for r in _frequencies(tokenised, width).collect())  # one row per vocabulary entry at most
     ranks = spark.createDataFrame([(k, i, -n) for k, (n, i) in enumerate(counted)], "rank long, id long, n long")
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
     ranked = np.zeros(max((i for _, i in counted), default=0) + 1, "<u4")
@@ -108,7 +105,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
             sizes = batch.column("n_tokens").to_numpy()
             starts = within + np.cumsum(sizes) - sizes
             within += int(sizes.sum())
-            coded = [encode_ranks(table.value[np.frombuffer(raw, f"<u{w}")]) for w, raw in zip(batch.column("width").to_pylist(), batch.column("raw").to_pylist(), strict=True)]
+            coded = [encode_ranks(table.value[np.frombuffer(raw, f"<u{width}")]) for raw in batch.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("shard"), batch.column(id_col), pa.array(starts, pa.int64()), batch.column("n_tokens"), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
                 names=["shard", id_col, "within", "n_tokens", "control", "data"],

@@ -1,15 +1,15 @@
 """Tokenising whole texts inside tasks, by chunks that encode alone exactly as they do in their text.
 
-Words recur, so each distinct chunk of a run of documents is encoded once and looked up afterwards. A chunk ends only
-where no rule of the tokenizer can see across, which each splitter below explains; the ids of a text are therefore the ids
-of its chunks, one after the other.
+A text is cut only where no rule of the tokenizer can see across: at blanks, and around punctuation where all characters
+are proven harmless. Chunks recur, so each is looked up in a bounded memory and only new ones reach the tokenizer. The ids of
+a text are the ids of its chunks, one after the other.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -35,50 +35,66 @@ def encode_all(path: str, chunks: list[str]) -> list[list[int]]:
     return [e.ids for e in load_tokenizer(path).encode_batch_fast(chunks, add_special_tokens=False)]
 
 
-#: Characters that Python's split() takes as blanks and the tokenizers do not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_CASE_SENSITIVE = re.compile("[\u0300-\u036fΣİ]")
+#: The characters that the tokenizers' patterns take as blanks.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0                　"
+_BLANK_RUN = re.compile(f"[{BLANKS}]+")
+#: Those that only Python's split() takes as blanks.
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Anything but characters that composition leaves alone, that lower-case one by one, and that are letters, digits or
+#: punctuation in all versions of Unicode alike: Latin, Cyrillic, common punctuation.
+_UNPROVEN = re.compile("[^\x01-\x1b\x20-įı-˿Ѐ-҂Ҋ-ԓ‐-‧‰-‾€]")
 #: A full stop or comma next to other punctuation, with which it would be one pre-token.
 _RUN = re.compile(r"[.,](?:(?![^\W_]|\s|$)|(?<=[^\w\s][.,])|(?<=_[.,]))")
 #: The same, or behind a blank, which some rules join to it.
 _RUN_OR_BLANK = re.compile(r"[.,](?:(?![^\W_]|\s|$)|(?<=[\W_][.,]))")
 
 
-def word_chunks(text: str) -> list[str]:
-    """For lower-casing tokenizers that drop white space: the words between blanks, stops and commas on their own.
+def word_chunks(text: str) -> tuple[bool, list[str]]:
+    """For lower-casing tokenizers that drop white space: whether chunks are final, and what stands between blanks.
 
-    A text with one of the control characters that only Python takes for a blank stays whole. One with a sigma, a dotted I or
-    a combining mark is only cut at blanks: small forms depend on the place, bring a mark of their own, or combine anew.
+    Neither composition, lower-casing of single characters, special strings nor patterns reach across a blank. In texts of
+    proven characters only, stops and commas that stand alone are cut off as well and words are lower-cased, by plain string
+    operations, and chunks are final; other chunks are taken apart once each (``parted``).
     """
-    if _SEPARATORS.search(text) is not None:
-        return [text]
-    if _CASE_SENSITIVE.search(text) is not None:
-        return text.split()
+    if not text.isascii() and _UNPROVEN.search(text) or any(c in text for c in _SEPARATORS):
+        return False, [x for x in _BLANK_RUN.split(text) if x]
     text = text.lower()
     if _RUN.search(text) is None:
         text = text.replace(".", " . ").replace(",", " , ")
-    return text.split()
+    return True, text.split()
 
 
-_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_BYTE_CHUNK = re.compile(f"[{_BLANK}]+(?![^{_BLANK}])| ?[^{_BLANK}]+|[{_BLANK}]")
+_BYTE_CHUNK = re.compile(f"[{BLANKS}]+(?![^{BLANKS}])| ?[^{BLANKS}]+|[{BLANKS}]")
+_OTHER_BLANKS = BLANKS.replace(" ", "").replace("\n", "")
 
 
-def byte_chunks(text: str, specials: tuple[str, ...]) -> list[str]:
-    """For byte-level tokenizers, where one space goes with the word after it.
+@lru_cache(maxsize=4)
+def special_strings(path: str) -> re.Pattern | None:
+    """A pattern of the strings that a tokenizer takes out of a text before all else, the longest first."""
+    found = sorted((t.content for t in load_tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
+    return re.compile(f"({'|'.join(map(re.escape, found))})") if found else None
+
+
+def byte_chunks(text: str, specials: re.Pattern | None) -> tuple[bool, list[str]]:
+    """For byte-level tokenizers, where one space goes with the word after it: whether chunks are final, and the chunks.
 
     Of a run of blanks before a word the last one stands alone, or goes with the word if it is a space; the rest are one
-    pre-token. Texts whose blanks are single spaces and line ends take plain string operations. A special string starts a
-    text of its own, so texts that hold one stay whole.
+    pre-token. Plain string operations do for texts of proven characters whose blanks are single spaces and one or two line
+    ends; a pattern cuts the others at blanks. What stands between special strings is a text of its own.
     """
-    if any(s in text for s in specials):
-        return [text]
-    if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\x01" in text:
-        return _BYTE_CHUNK.findall(text)
+    if specials is not None and specials.search(text):
+        parts = specials.split(text)
+        return False, [c for k, x in enumerate(parts) for c in ([x] if k % 2 else _BYTE_CHUNK.findall(x))]
+    if (
+        not text.isascii() and _UNPROVEN.search(text)
+        or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "\x01" in text
+        or text[-1:] == " " or text[-2:] == "\n\n" or any(b in text for b in _OTHER_BLANKS)
+    ):
+        return False, _BYTE_CHUNK.findall(text)
     cut = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")
     if _RUN_OR_BLANK.search(text) is None:
         cut = cut.replace(".", "\x01.\x01").replace(",", "\x01,\x01")
-    return cut.split("\x01")
+    return True, cut.split("\x01")
 
 
 def in_runs(texts: Iterable[str | None], limit: int = RUN_CHARS) -> Iterator[list[str]]:
@@ -105,23 +121,42 @@ class ChunkMemo:
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
-    def values(self, lists: list[list[str]]) -> Callable[[str], object]:
-        """A lookup that knows every chunk of ``lists``."""
-        wanted = set().union(*lists)
-        rest = wanted.difference(self.young)
-        if len(self.young) + len(rest) > self.limit:
-            self.old, self.young = self.young, {}
-            rest = wanted
-        back = rest.intersection(self.old)
-        self.young.update((c, self.old[c]) for c in back)
-        fresh = list(rest - back) if back else list(rest)
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            self.young.update(zip(some, self.encode(some), strict=True))
-        return self.young.__getitem__
-
-
-def encode_words(path: str, words: list[str], glue: str) -> list[bytes] | None:
+    def values(self, lists: Sequence[Sequence[str]]) -> list[list]:
+        """The values of every chunk of ``lists``."""
+        found = [list(map(self.young.get, chunks)) for chunks in lists]
+        lacking = [k for k, values in enumerate(found) if None in values]
+        missing = set().union(*[lists[k] for k in lacking]).difference(self.young)
+        if not missing:
+            return found
+        fresh = {c: v for c in missing if (v := self.old.get(c)) is not None} if self.old else {}
+        new = list(missing.difference(fresh)) if fresh else list(missing)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            fresh.update(zip(some, self.encode(some), strict=True))
+        if len(self.young) + len(fresh) > self.limit:
+            for k in lacking:
+                found[k] = [fresh[c] if v is None else v for c, v in zip(lists[k], found[k], strict=True)]
+            self.old, self.young = self.young, fresh
+        else:
+            self.young.update(fresh)
+            for k in lacking:
+                found[k] = list(map(self.young.__getitem__, lists[k]))
+        return found
+
+
+#: A word of proven letters with ASCII punctuation behind it: two pre-tokens for the patterns of both kinds of tokenizers.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+WORD_AND_MARKS = re.compile(rf"( ?[{_LETTERS}]+)([!-/:-@\[-`{{-~]*)")
+
+
+def parted(chunks: list[str], lower: bool) -> list[tuple[str, ...]]:
+    """The parts of each chunk that encode alone: a word and the punctuation behind it, where it has that form."""
+    matches = map(WORD_AND_MARKS.fullmatch, chunks)
+    pairs = [(c,) if m is None else (m[1].lower() if lower else m[1], m[2]) for c, m in zip(chunks, matches, strict=True)]
+    return [(p[0],) if p[-1] == "" else p for p in pairs]
+
+
+def encode_words(path: str, words: list[str], glue: str, width: int) -> list[bytes] | None:
     """Ids of words of letters only, which are one pre-token each, from one call on all of them; None if they were not.
 
     One call is a third cheaper than one for each. Blanks between the words must be dropped by the tokenizer, or belong to
@@ -132,21 +167,21 @@ def encode_words(path: str, words: list[str], glue: str) -> list[bytes] | None:
     first = np.flatnonzero(np.diff(number, prepend=-1))
     if len(first) != len(words):
         return None
-    flat = np.array(found.ids, "<u4").tobytes()
-    ends = [*(4 * first[1:]).tolist(), len(flat)]
-    return [flat[a:b] for a, b in zip((4 * first).tolist(), ends, strict=True)]
+    flat = np.array(found.ids, f"<u{width}").tobytes()
+    starts = (width * first).tolist()
+    return [flat[a:b] for a, b in zip(starts, [*starts[1:], len(flat)], strict=True)]
 
 
-def _packed(path: str, spaced: bool) -> Callable[[list[str]], list[bytes]]:
+def _encoder(path: str, spaced: bool, width: int) -> Callable[[list[str]], list[bytes]]:
     def each(chunks: list[str]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes() for ids in encode_all(path, chunks)]
+        return [np.array(ids, f"<u{width}").tobytes() for ids in encode_all(path, chunks)]
 
     def encode(chunks: list[str]) -> list[bytes]:
         words = [c for c in chunks if c[:1] == " " and c[1:].isalpha()] if spaced else [c for c in chunks if c.isalpha()]
         known: dict[str, bytes] = {}
         for at in range(0, len(words), 2_000):
             some = words[at : at + 2_000]
-            known.update(zip(some, encode_words(path, some, "" if spaced else " ") or each(some), strict=True))
+            known.update(zip(some, encode_words(path, some, "" if spaced else " ", width) or each(some), strict=True))
         rest = [c for c in chunks if c not in known]
         known.update(zip(rest, each(rest), strict=True))
         return [known[c] for c in chunks]
@@ -154,27 +189,35 @@ def _packed(path: str, spaced: bool) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
-@lru_cache(maxsize=4)
-def _word_memo(path: str) -> ChunkMemo:
-    return ChunkMemo(_packed(path, False))
+class TextMemo:
+    """Values of the chunks of whole texts. Final chunks, and the parts of the others, share one memory."""
 
+    def __init__(self, encode: Callable[[list[str]], list], add: Callable[[list], object], lower: bool) -> None:
+        self.parts = ChunkMemo(encode)
+        self.chunks = ChunkMemo(lambda chunks: [add(v) for v in self.parts.values(parted(chunks, lower))])
 
-@lru_cache(maxsize=4)
-def _byte_memo(path: str) -> tuple[ChunkMemo, tuple[str, ...]]:
-    specials = tuple(t.content for t in load_tokenizer(path).get_added_tokens_decoder().values())
-    return ChunkMemo(_packed(path, True)), specials
+    def values(self, texts: list[tuple[bool, list[str]]]) -> list[list]:
+        ready, others = [[chunks for final, chunks in texts if final is kind] for kind in (True, False)]
+        found = {True: iter(self.parts.values(ready)), False: iter(self.chunks.values(others))}
+        return [next(found[final]) for final, _ in texts]
 
 
-def word_ids(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit bytes, for a tokenizer that ``word_chunks`` fits."""
-    lists = [word_chunks(t) for t in texts]
-    get = _word_memo(path).values(lists)
-    return [b"".join(map(get, x)) for x in lists]
+@lru_cache(maxsize=8)
+def _memo(path: str, spaced: bool, width: int) -> TextMemo:
+    return TextMemo(_encoder(path, spaced, width), b"".join, not spaced)
 
 
-def byte_ids(path: str, texts: list[str]) -> list[bytes]:
+def word_ids(path: str, texts: list[str], width: int = 4) -> list[bytes]:
+    """Ids of each text as little-endian unsigned integers of ``width`` bytes, for a tokenizer that drops white space."""
+    return [b"".join(x) for x in _memo(path, False, width).values([word_chunks(t) for t in texts])]
+
+
+def byte_ids(path: str, texts: list[str], width: int = 4) -> list[bytes]:
     """The same for a byte-level tokenizer."""
-    memo, specials = _byte_memo(path)
-    lists = [byte_chunks(t, specials) for t in texts]
-    get = memo.values(lists)
-    return [b"".join(map(get, x)) for x in lists]
+    specials = special_strings(path)
+    return [b"".join(x) for x in _memo(path, True, width).values([byte_chunks(t, specials) for t in texts])]
+
+
+def id_width(path: str) -> int:
+    """Bytes that hold any id of a tokenizer: 2 or 4."""
+    return 2 if max(load_tokenizer(path).get_vocab(with_added_tokens=True).values()) <= 0xFFFF else 4
