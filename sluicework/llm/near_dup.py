@@ -22,8 +22,10 @@ SHINGLE = 5
 BANDS, ROWS = 42, 5
 MEMO_WORDS = 1_000_000
 CHUNK = 512
-#: Members of a bucket that one task compares with each other.
-BLOCK = 4096
+#: Members of a group, and shingles of their sets, that one block holds; a task compares two blocks with each other.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+#: Counters of shingles that order them by frequency.
+SLOTS = 1 << 18
 
 
 class _WordHashes(dict):
@@ -103,21 +105,22 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, rows = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingles(text)
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 rows.append(bands(found).view(np.int64) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "class", "bands"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
+                names=["id", "text_hash", "n_shingles", "class", "bands"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, n_shingles long, class binary, bands array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(sign, "id long, text_hash long, n_shingles long, class binary, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose texts' full sets are similar enough."""
+    """Those pairs (a, b) of nodes whose texts' full sets are similar enough."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -129,12 +132,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(linked(last[1], shingles(right), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
 def _across(cells: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join different components within a cell.
+    """Links (a, b) that join different components within a cell (columns key, cell, node, component, text).
 
     Shingles of the cell are numbered, so that the intersections of one document's full set with those of all others are one
     vector operation. Documents outside the largest component are compared so; a link joins its components at once, and a
@@ -142,8 +145,8 @@ def _across(cells: DataFrame, percent: int) -> DataFrame:
     """
 
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.drop_duplicates("id").sort_values("id", ignore_index=True)
-        ids = cell["id"].to_numpy()
+        cell = cell.sort_values("node", ignore_index=True)
+        nodes = cell["node"].to_numpy()
         _, comps, counts = np.unique(cell["component"].to_numpy(), return_inverse=True, return_counts=True)
         sets = [shingles(t) for t in cell["text"]]
         sizes = np.array([len(x) for x in sets])
@@ -158,64 +161,138 @@ def _across(cells: DataFrame, percent: int) -> DataFrame:
             mark[own] = 0
             for j in np.flatnonzero((comps != comps[k]) & (100 * same >= percent * (sizes + sizes[k] - same))).tolist():
                 if comps[j] != comps[k]:
-                    out.append((ids[k], ids[j]))
+                    out.append((nodes[k], nodes[j]))
                     comps = np.where(comps == comps[k], comps[j], comps)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return cells.groupBy("band", "cell").applyInPandas(compare, "a long, b long").distinct()
+    return cells.groupBy("key", "cell").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _unsettled(placed: DataFrame) -> DataFrame:
+    """(key, size, weight) of the groups of ``placed`` (key, node, n_shingles, component) that hold several components.
+
+    Groups of the same members are one, under their least key, so that what many bands share is compared once.
+    """
+    groups = placed.groupBy("key").agg(
+        F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size"), F.sum("n_shingles").alias("weight"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
+    )
+    return groups.filter("c1 < c2").groupBy("members", "size", "weight", "c1", "c2").agg(F.min("key").alias("key")).select("key", "size", "weight")
+
+
+def _cells(placed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of ``groups`` in cells, (key, cell, node, component), so that every two members of a group meet in one.
+
+    A cell holds two blocks of about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles at most. A group of several blocks
+    becomes one cell for each pair of them, which every member of either block goes to.
+    """
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs_of = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j)))
+    return placed.join(groups, "key").select("key", "node", "component", F.explode(F.when(blocks > 1, pairs_of).otherwise(F.array(F.lit("0")))).alias("cell"))
+
+
+def _by_rare_shingles(members: DataFrame, percent: int) -> DataFrame:
+    """``placed`` anew for ``members`` (node, n_shingles, component, text): keys are the shingles of each prefix.
+
+    Prefix filter, exact whatever the order of the shingles: of two sets with 100 * intersection >= percent * union each
+    holds that share of the other, so they share one of the first n - ceil(n * percent / 100) + 1 shingles of each. The order
+    is by frequency among the members, the rarest first, counted in a fixed number of slots, so that what fills a bucket (a
+    passage that very many documents hold) is no key for them.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, (shingles(text) % np.uint64(SLOTS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["slot", "n"])
+
+    frequency = np.zeros(SLOTS, np.int64)
+    for r in members.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
+        frequency[r["slot"]] = r["n"]
+    shared = members.sparkSession.sparkContext.broadcast(frequency)
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            firsts = [x[np.lexsort((x, shared.value[(x % np.uint64(SLOTS)).astype(np.int64)]))][: len(x) - -(-len(x) * percent // 100) + 1] for x in sets]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in firsts]), pa.int64())
+            keys = pa.array(np.concatenate([*firsts, np.zeros(0, np.uint64)]).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, *(batch.column(c).take(at) for c in ("node", "n_shingles", "component"))], names=["key", "node", "n_shingles", "component"])
+
+    return members.mapInArrow(key, "key long, node long, n_shingles long, component long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Component of every document: (id, n_shingles, component_id), one row per row of ``docs``; ids are integers.
 
     Documents are linked if their sets of distinct 5-word shingles have 100 * intersection >= percent * union. A component is
-    all that links reach, named by its least id. Texts without a word have an empty set and are a component each. Equal
-    texts, however many, are one class from the start and are represented by their least id. Rows that share an id are one
-    document with the links of each. A null id names no component of its own: its row has that of its class, else null. An
+    all that links reach, named by its least id. Texts without a word have an empty set and link with nothing. Equal texts,
+    however many, are one class from the start. Rows that share an id are one document: all of them are in one component, with
+    the links of each. A null id names no component and joins no rows: its row has the component of its text, else null. An
     empty table gives an empty table. Only the id and the text are read.
 
-    1. Sign every text in one narrow pass; collapse classes of equal sets.
+    1. Sign every text in one narrow pass; collapse classes of equal sets, which are the nodes from here on.
     2. Every bucket of a band proposes a link from its least class to each of its others: as many pairs as rows.
     3. Full sets, built again from the texts, confirm proposals; components of what holds.
-    4. In buckets that still hold several components, pairs between these are compared by full sets in blocks of a bounded
-       number of members; links join components at once. Then every two classes of a bucket are in one
-       component or were compared, so no link that any band proposes is lost.
+    4. Buckets that still hold several components are compared by full sets: small ones as they are; the members of large ones
+       meet again under the rare shingles of their prefixes, which a passage shared by very many does not fill. Cells are
+       bounded in members and in shingles, and groups of the same members are compared once. Then every two classes of a
+       bucket are in one component or were compared, or cannot be similar, so no link that any band proposes is lost.
 
     Texts are shuffled once, and only those with a proposal are kept for the comparisons.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
     signed = scratch.table(_signatures(docs, id_col, text_col), "signed", compression="zstd")
-    classes = signed.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("rep"))
-    reps = signed.join(classes.select(F.col("class").alias("_c"), "rep"), (F.col("class") == F.col("_c")) & (F.col("id") == F.col("rep")), "left_semi")
-    rows = reps.select("id", "n_shingles", F.explode("bands").alias("band"))
-    pivots = rows.groupBy("band").agg(F.min("id").alias("pivot"), F.min_by("n_shingles", "id").alias("n_pivot"), F.count("*").alias("size")).filter("size > 1")
-    members = scratch.table(rows.join(pivots, "band"), "members", compression="zstd")
-
-    def near(m: str, n: str):
-        return (100 * F.least(m, n) >= percent * F.greatest(m, n))
-
-    pairs = members.filter((F.col("id") != F.col("pivot")) & near("n_shingles", "n_pivot")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = scratch.table(pairs, "pairs")
-    wanted = members.select("id").distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = scratch.table(source.join(wanted, "id", "left_semi"), "texts", compression="zstd")
+    least = F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")
+    grouped = signed.filter("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least_id"), F.min(least)["text_hash"].alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = scratch.table(grouped.withColumn("node", F.monotonically_increasing_id()), "classes", compression="zstd")
+    rows = classes.select("node", "n_shingles", F.explode("bands").alias("key"))
+    pivots = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.min_by("n_shingles", "node").alias("n_pivot"), F.count("*").alias("size")).filter("size > 1")
+    members = scratch.table(rows.join(pivots, "key"), "members", compression="zstd")
+
+    near = 100 * F.least("n_shingles", "n_pivot") >= percent * F.greatest("n_shingles", "n_pivot")
+    pairs = scratch.table(members.filter((F.col("node") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    wanted = scratch.table(members.select("node").distinct().join(classes.select("node", "least_id", "text_hash"), "node"), "wanted")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    own = F.col("id").eqNullSafe(F.col("least_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
+    texts = scratch.table(source.alias("d").join(wanted.alias("w"), own).select("node", "text"), "texts", compression="zstd")
+    if texts.count() > wanted.count():  # rows given twice
+        texts = scratch.table(texts.dropDuplicates(["node"]), "texts-once", compression="zstd")
     links = scratch.table(_confirmed(pairs, texts, percent), "links")
+    # a document's rows of different texts belong together
+    several = signed.filter("id is not null").groupBy("id").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n")).filter("n > 1").select("id", "c1", "c2")
+    several = scratch.table(several, "several")
+    spread_ids = signed.filter("class is not null").join(several.filter("c1 < c2"), "id").select("c1", "class").distinct()
+    given = spread_ids.filter("c1 != class").join(classes.select(F.col("class").alias("c1"), F.col("node").alias("a")), "c1").join(classes.select("class", F.col("node").alias("b")), "class").select("a", "b")
+    links = scratch.table(links.unionByName(given), "links-given")
     found = cut(connected_components(links, "a", "b"))
 
-    placed = members.filter("size > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    spread = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 < c2")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    # a bucket of several blocks becomes one cell for each pair of them, which every member of either block goes to
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    pairs_of = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.concat_ws("-", F.least(own, j), F.greatest(own, j)))
-    open_ = placed.join(spread.select("band", "size"), "band").withColumn("cell", F.explode(F.when(blocks > 1, pairs_of).otherwise(F.array(F.lit("0")))))
-    more = scratch.table(_across(open_.select("band", "cell", "id", "component").join(texts, "id"), percent), "more")
-    if not more.isEmpty():
-        found = cut(connected_components(links.unionByName(more), "a", "b"))
-
-    result = signed.select("id", "n_shingles", "class").join(classes, "class", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    result = cut(result.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id")))
+    placed = members.filter("size > 2").join(found, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    groups = scratch.table(_unsettled(placed), "groups")
+    small = (F.col("size") <= BLOCK) & (F.col("weight") <= BLOCK_SHINGLES)
+    cells = [_cells(placed, groups.filter(small))]
+    large = groups.filter(~small)
+    if not large.isEmpty():
+        again = scratch.table(placed.join(large.select("key"), "key").select("node", "n_shingles", "component").distinct().join(texts, "node"), "again", compression="zstd")
+        keyed = scratch.table(_by_rare_shingles(again, percent), "keyed", compression="zstd")
+        cells.append(_cells(keyed, scratch.table(_unsettled(keyed), "keyed-groups")))
+    more = [scratch.table(_across(c.join(texts, "node"), percent), f"more-{k}") for k, c in enumerate(cells)]
+    if not all(m.isEmpty() for m in more):
+        for m in more:
+            links = links.unionByName(m)
+        found = cut(connected_components(links, "a", "b"))
+
+    of_class = classes.select("class", "node", "least_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = of_class.groupBy("component").agg(F.min("least_id").alias("name"))
+    named = signed.select("id", "n_shingles", "class").join(of_class.join(names, "component").select("class", "name"), "class", "left")
+    # a row without a word has the component of its document's other rows
+    by_id = several.select(F.col("id").alias("_id"), F.col("c1").alias("_c1")).join(of_class.join(names, "component").select(F.col("class").alias("_c1"), F.col("name").alias("_name")), "_c1")
+    named = named.join(by_id.select("_id", "_name"), F.col("id") == F.col("_id"), "left")
+    result = cut(named.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("name", "_name", "id").alias("component_id")))
     scratch.drop()
     return result
 

@@ -4,6 +4,7 @@ import collections
 import re
 import zlib
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -100,10 +101,32 @@ def test_near_duplicates_chain_and_odd(spark, odd, none, monkeypatch):
     assert {r.doc_id: r.component_id for r in split.collect()} == want
     assert near_dup.near_duplicates(odd).count() == len(ODD)
     assert near_dup.near_duplicates(none).count() == 0
+    twice = [(1, "A"), (5, "A"), (5, "B"), (9, "B"), (5, None), (None, "B"), (None, ""), (7, ""), (7, "C"), (3, "C"), (3, "C")]
+    texts = {x: " ".join(f"{x}{i}" for i in range(20)) for x in "ABC"} | {"": "", None: None}
+    got = near_dup.near_duplicates(spark.createDataFrame([(i, texts[t]) for i, t in twice], "doc_id long, text string")).collect()
+    named = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got)
+    assert named == {(1, 16, 1): 1, (5, 16, 1): 2, (9, 16, 1): 1, (5, 0, 1): 1, (None, 16, 1): 1, (None, 0, None): 1, (7, 0, 3): 1, (7, 16, 3): 1, (3, 16, 3): 2}
     kept = near_dup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 7, 8, 9]
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Texts that share most of a passage fill the buckets; those among them that are near copies are found."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(120):
+        own = [f"o{k // 2}-{i}" for i in range(25)]
+        text = passage + own
+        if k % 2:
+            text[int(rng.integers(60, 85))] = "x"
+        rows.append((1000 - k, " ".join(text)))
+    want, _ = brute_components(rows)
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want and len(set(want.values())) == 60
+
+
 def test_near_duplicates_equal_brute_force(spark, tiny):
     rows = [(r.doc_id, r.text) for r in docs_of(spark, tiny).collect()]
     want, _ = brute_components(rows)
@@ -128,16 +151,29 @@ def library(path):
     return Tokenizer.from_file(path)
 
 
-pieces = list("abzAZ019 '.,!-_\n\t\r\x1c\x85\xa0éÉßΣςİı中\u0301\u3000²<|>") + ["<|endoftext|>", "'s", "  ", "J\u030c"]
-text_strategy = st.lists(st.sampled_from(pieces), max_size=40).map("".join)
+pieces = list("abzAZ019 '.,!-_\n\t\r\x1c\x85\xa0éÉßΣςİı中\u0301\u3000²<|>") + ["<|endoftext|>", "<|startoftext|>", "'s", "  ", "J\u030c", "\n\n", "\n\n\n", "\u0958.", "\u09dc,", "word, ", "Word.\n"]
+text_strategy = st.lists(st.sampled_from(pieces) | st.characters(codec="utf-8"), max_size=40).map("".join)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.lists(text_strategy, min_size=1, max_size=6))
 def test_ids_equal_the_library(texts):
     for own, path in ((tokens.word_ids, WORD), (tokens.byte_ids, BYTE)):
         lib = library(path)
         assert [np.frombuffer(b, "<u4").tolist() for b in own(path, texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(b, "<u2").tolist() for b in own(path, texts, 2)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("text", ["col1\tcol2\tcol3\n\n\nnext", "\u0958.", "a\u09dd, b", "x\n\n<|endoftext|>", "a  b", "a \n b", " a", "a ", "a\n\n", "\n\na", "don't.", "a.\x01b", "a.²", "x_.y"])
+def test_ids_of_hard_texts(text):
+    for own, path in ((tokens.word_ids, WORD), (tokens.byte_ids, BYTE)):
+        assert np.frombuffer(own(path, [text])[0], "<u4").tolist() == library(path).encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_come_back_from_the_old_generation():
+    memo = tokens.ChunkMemo(lambda chunks: [c.upper() for c in chunks], limit=4)
+    for lists in ([["a", "b", "c"]], [["d", "e", "a"]], [["a", "b"], ["x", "y", "z", "w", "a"]], [[]], [["b", "b"]]):
+        assert memo.values(lists) == [[c.upper() for c in x] for x in lists]
 
 
 def library_ids(path, rows):
@@ -288,7 +324,7 @@ def test_mined_url_rules(spark):
 def test_match_equals_brute_force(spark, tiny):
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
     read = pages.select(F.col("page_id").alias("url_key"), urls.url_tokens(urls.url_host(F.col("url")), urls.url_path(F.col("url"))).alias("tokens"))
-    rules = urls.mine_rules(read.withColumn("bad", F.col("url_key") % 3 == 0), min_support=0.05, min_confidence=0.3, min_lift=0.5).collect()
+    rules = urls.mine_rules(read.withColumn("bad", F.col("url_key") % 3 == 0), min_support=0.05, min_confidence=0.3, min_urls=2).collect()
     want = {}
     for r in read.collect():
         fit = [(x.confidence, x.support, x.verdict == "block", -x.rule_id) for x in rules if set(x.tokens) <= set(r.tokens)]
@@ -298,6 +334,53 @@ def test_match_equals_brute_force(spark, tiny):
     assert {r.url_key: r.rule_id for r in got.collect()} == want and rules
 
 
+def brute_rules(rows, needed, confidence, most):
+    """Every combination of up to ``most`` items (tokens of the same URLs) that a labelled URL holds."""
+    where = collections.defaultdict(set)
+    for i, (tokens_, _) in enumerate(rows):
+        for t in tokens_:
+            where[t].add(i)
+    classes = collections.defaultdict(list)
+    for t, at in where.items():
+        classes[frozenset(at)].append(t)
+    item = {min(ts): ts for ts in classes.values()}
+    combos = {c for tokens_, _ in rows for k in range(1, most + 1) for c in combinations(sorted(t for t in tokens_ if t in item), k)}
+    found = {}
+    for c in combos:
+        at = set.intersection(*[where[t] for t in c])
+        for verdict, n in (("block", sum(rows[i][1] for i in at)), ("allow", sum(not rows[i][1] for i in at))):
+            if n >= needed and n / len(at) >= confidence:
+                found[c, verdict] = n / len(at)
+    kept = set()
+    for (c, v), p in found.items():
+        below = [(w, q) for (d, w), q in found.items() if set(d) < set(c)]
+        if not any(w == v and q >= p for w, q in below) and (v == "block" or any(w == "block" and q < p for w, q in below)):
+            kept.add((tuple(sorted(t for x in c for t in item[x])), v, round(p, 9)))
+    return kept
+
+
+@pytest.mark.parametrize("basket", [12, 4])
+def test_mining_equals_brute_force(spark, monkeypatch, basket):
+    monkeypatch.setattr(urls, "BASKET", basket)
+    rng = np.random.default_rng(basket)
+    rows = []
+    for _ in range(150):
+        held = [f"t{k}" for k in range(9) if rng.random() < 0.4]
+        rows.append((held + ["together", "always"] * (rng.random() < 0.5), bool(rng.random() < (0.8 if "t1" in held and "t2" not in held else 0.25))))
+    rows = [(sorted(set(t)), b) for t, b in rows if t]
+    got = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_support=0.02, min_confidence=0.6, min_urls=5, max_items=3).collect()
+    want = brute_rules(rows, max(5, -(-len(rows) * 2 // 100)), 0.6, 3)
+    assert {(tuple(r.tokens), r.verdict, round(r.confidence, 9)) for r in got} == want and want
+
+
+def test_shared_segments_are_one_item(spark):
+    path = "/".join(f"s{k}" for k in range(25))
+    rows = [(i, f"https://h{i % 50}.example.org/{path if i % 4 == 0 else i % 7}/{i}", i % 4 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = urls.judge_urls(df.select("page_id", "url"), df.select("page_id", "bad")).collect()
+    assert all((r.verdict == "block") == (r.page_id % 4 == 0) for r in got)
+
+
 # languages
 
 
@@ -313,8 +396,59 @@ def test_language_odd(spark, odd, none):
     got = {r.doc_id: r.lang_pred for r in languages.identify_language(odd, model).collect()}
     assert got[1] == got[2] == got[3] == "und" and got[5] == "de" and model.languages == ["de", "en", "fr"]
     assert {r.lang_pred for r in languages.identify_language(odd, languages.learn_languages(none)).collect()} == {"und"}
-    small = languages.learn_languages(odd, max_words=3, max_grams=50)
-    assert len(small.words) <= 3 and len(small.grams) <= 50 and small.back_off("ipsumx") is not None
+    clash = languages.identify_language(odd.withColumn("lang_pred", F.lit("x")), model, keep=("doc_id", "lang_pred"))
+    assert clash.columns == ["doc_id", "lang_pred", "score"] and clash.count() == len(ODD)
+
+
+def brute_languages(rows, texts):
+    """Language and score of each text, from counts in dictionaries."""
+    langs = sorted({x for t, x in rows if t is not None and x is not None})
+    words, grams = {x: collections.Counter() for x in langs}, {(x, o): collections.Counter() for x in langs for o in languages.ORDERS}
+    for t, x in rows:
+        if t is not None and x is not None:
+            words[x].update(languages.WORD.findall(t.lower()))
+    for x in langs:
+        for w, n in words[x].items():
+            for o in languages.ORDERS:
+                for g in languages.grams_of(w, o):
+                    grams[x, o][g] += n
+
+    def log(counts, key, kinds):
+        return [round(np.log((c[key] + 0.5) / (c.total() + 0.5 * kinds)) * languages.UNIT) for c in counts]
+
+    kinds = len(set().union(*words.values()))
+    known = {o: set().union(*[grams[x, o] for x in langs]) for o in languages.ORDERS}
+
+    def of(w):
+        if any(w in words[x] for x in langs):
+            return log([words[x] for x in langs], w, kinds)
+        for o in languages.ORDERS:
+            held = [log([grams[x, o] for x in langs], g, len(known[o])) for g in languages.grams_of(w, o) if g in known[o]]
+            if held:
+                return [int(np.floor(abs(s) / len(held) + 0.5)) * (1 if s > 0 else -1) for s in map(sum, zip(*held, strict=True))]
+        return [0] * len(langs)
+
+    out = []
+    for t in texts:
+        if t is None or not any(map(str.isalpha, t)):
+            out.append(("und", 0.0))
+            continue
+        sums = [sum(x) for x in zip(*[of(w) for w in languages.WORD.findall(t.lower())], [0] * len(langs), strict=False)] if languages.WORD.findall(t.lower()) else [0] * len(langs)
+        best = max(sums)
+        out.append((langs[sums.index(best)], 1 / sum(np.exp((s - best) / languages.UNIT) for s in sums)))
+    return out
+
+
+@pytest.mark.parametrize("head", [0, 5, 150_000])
+def test_language_scores_equal_brute_force(spark, tiny, head):
+    train = [(r.text, r.lang) for r in docs_of(spark, tiny).orderBy("doc_id").limit(12).collect()] + [(None, "en"), ("x y", None), ("", "de"), ("ein ein und", "de")]
+    texts = [t for t, _ in train] + ["zqxj unbekannte Wörter und mehr", "привет мир", "12 34", "a", "und", "the thing is unseen tonight", "ž"]
+    model = languages.learn_languages(spark.createDataFrame(train, "text string, lang string"), head_words=head)
+    assert len(model.places) <= head
+    got = languages.identify_language(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    want = brute_languages(train, texts)
+    assert [r.lang_pred for r in got] == [x for x, _ in want]
+    assert np.allclose([r.score for r in got], [x for _, x in want], atol=1e-4)
 
 
 # licenses
