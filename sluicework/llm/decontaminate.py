@@ -1,23 +1,28 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare n-gram seeds join texts to items, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+
+from sluicework.scratch import Scratch
 
 WORD = re.compile(r"[^\W_]+")
 SEED = 3
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Benchmark words that one pass over the corpus looks for; more are searched in further passes.
-BLOCK_WORDS = 2_000_000
+#: Words that a task counts, or remembers the hashes of; it bounds its memory.
+MEMO_WORDS = 500_000
+#: 64-bit words of a filter at most (64 MB), which is what tasks receive.
+FILTER_WORDS = 1 << 23
 
 
 def words_of(text: str | None) -> list[str]:
@@ -63,112 +68,241 @@ def reach(item: np.ndarray, window: np.ndarray, score: int) -> int:
     return found
 
 
-class Seeds:
-    """Benchmark items by their rare n-grams. Ids need not be unique: an item is known by its row."""
-
-    def __init__(self, items: list[tuple[object, str]], counts: dict[str, int], total: int, rare: float, least_share: float) -> None:
-        self.least_share = least_share
-        self.vocabulary: dict[str, int] = {}
-        self.ids = [i for i, _ in items]
-        self.items: list[np.ndarray] = []
-        rows = []
-        for item, (_, text) in enumerate(items):
-            words = words_of(text)
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            self.items.append(ids)
-            chance = np.array([(counts.get(w, 0) + 1) / (total + 1) for w in words])
-            if len(ids) < SEED:
-                continue
-            grams = np.prod([chance[k : len(ids) - SEED + 1 + k] for k in range(SEED)], axis=0)
-            keep = grams <= max(rare, np.sort(grams)[len(grams) // 4])  # the rarest quarter at least, whatever the words
-            rows += [(item, at) for at in np.flatnonzero(keep).tolist()]
-        self.base = len(self.vocabulary) + 1
-        keys = np.array([self.key(self.items[i][at : at + SEED]) for i, at in rows], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rows = keys[order], [rows[k] for k in order]
-
-    def key(self, ids) -> int:
-        out = 0
-        for x in ids:
-            out = out * self.base + int(x)
+class _WordHashes(dict):
+    """Word to 64-bit hash, emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+@lru_cache(maxsize=1)
+def _word_hashes() -> _WordHashes:
+    return _WordHashes()
+
+
+def gram_hashes(words: list[str], order: int) -> np.ndarray:
+    """A 64-bit hash of every n-gram of ``order`` words, in order."""
+    n = len(words) - order + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
+    out = np.full(n, order, np.uint64)
+    for k in range(order):
+        out = (out ^ hashes[k : n + k]) * np.uint64(0xFF51AFD7ED558CCD)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+class Filter:
+    """A Bloom filter of 64-bit hashes: three bits in each of two words of a table. It never denies a hash that it holds."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    @staticmethod
+    def bits(hashes: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Place and mask of both words of each hash, in a table of ``size`` words, a power of two."""
+        out = []
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            x = hashes * np.uint64(factor)
+            x ^= x >> np.uint64(29)
+            mask = np.zeros(len(x), np.uint64)
+            for shift in (46, 52, 58):
+                mask |= np.uint64(1) << ((x >> np.uint64(shift)) & np.uint64(63))
+            out.append(((x & np.uint64(size - 1)).astype(np.int64), mask))
         return out
 
-    def matches(self, text: str | None) -> list[tuple[object, float, int, int]]:
-        """(item id, share, first word, end word) of every stretch of a text that aligns well enough with an item.
-
-        Around its seeds the best stretch goes first, then those in what is left before and behind it, until none does.
-        ``share`` is the alignment score over the score of the whole item against itself.
-        """
-        words = words_of(text)
-        n = len(words) - SEED + 1
-        if n < 1 or not len(self.keys):
-            return []
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words], np.int64)
-        keys = np.zeros(n, np.int64)
-        known = np.ones(n, bool)
-        for k in range(SEED):
-            keys = keys * self.base + ids[k : n + k]
-            known &= ids[k : n + k] > 0
-        places = np.flatnonzero(known)
-        lo = np.searchsorted(self.keys, keys[places], "left")
-        hi = np.searchsorted(self.keys, keys[places], "right")
-        starts: dict[int, set[int]] = {}
-        for p, a, b in zip(places[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-            for item, at in self.rows[a:b]:
-                starts.setdefault(item, set()).add(p - at)
-        found = []
-        for item, diagonals in starts.items():
-            target = self.items[item]
-            slack = len(target) // 2
-            spans: list[list[int]] = []
-            for d in sorted(diagonals):
-                if spans and d - slack <= spans[-1][1]:
-                    spans[-1][1] = d + len(target) + slack
-                else:
-                    spans.append([d - slack, d + len(target) + slack])
-            todo = [(max(0, a), min(len(ids), b)) for a, b in spans]
-            while todo:
-                a, b = todo.pop()
-                window = ids[a:b]
-                if np.isin(window, target).sum() < self.least_share * len(target):  # even if all of them matched
-                    continue
-                score, end, last = align(target, window)
-                share = score / (MATCH * len(target))
-                if score and share >= self.least_share:
-                    start = end - reach(target[:last], window[:end], score)
-                    found.append((self.ids[item], share, a + start, a + end))
-                    todo += [(a, a + start), (a + end, b)]
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for place, mask in self.bits(hashes, len(self.words)):
+            found &= (self.words[place] & mask) == mask
         return found
 
+    @classmethod
+    def of(cls, rows: DataFrame, column: str) -> Filter:
+        """The filter of a column of hashes (long), built in tasks; what reaches the driver is at most its table, of 32 bits or
+        more for each hash up to ``FILTER_WORDS``."""
+        size = min(FILTER_WORDS, 1 << max(10, (rows.count() // 2).bit_length()))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = cls.bits(batch.column(0).to_numpy().view(np.uint64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs]).view(np.int64), pa.int64()) for k in (0, 1)], names=["place", "mask"])
 
-def _word_counts(docs: DataFrame, text_col: str, vocabulary: frozenset[str]) -> tuple[dict[str, int], int]:
-    """How often each benchmark word stands in the corpus, and all words; one number per benchmark word reaches the driver."""
+        table = rows.select(column).mapInArrow(place, "place long, mask long").groupBy("place").agg(F.bit_or("mask").alias("mask")).toArrow()
+        words = np.zeros(size, np.uint64)
+        words[table.column("place").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
+        return cls(words)
+
+
+def stretches(target: list[str], words: list[str], diagonals: list[int], least_share: float) -> list[tuple[float, int, int]]:
+    """(share, first word, end word) of every stretch of ``words`` that aligns well enough with ``target``.
+
+    ``diagonals`` are the places in ``words`` where the target would begin by its seeds. Around them the best stretch goes
+    first, then those in what is left before and behind it, until none does. ``share`` is the alignment score over the score
+    of the whole target against itself; a target shorter than a seed must match as a whole.
+    """
+    number = {w: k for k, w in enumerate(dict.fromkeys(target), 1)}
+    item = np.fromiter(map(number.__getitem__, target), np.int64, len(target))
+    least = least_share if len(target) >= SEED else 1.0
+    slack = len(target) // 2
+    spans: list[list[int]] = []
+    for d in sorted(diagonals):
+        if spans and d - slack <= spans[-1][1]:
+            spans[-1][1] = d + len(target) + slack
+        else:
+            spans.append([d - slack, d + len(target) + slack])
+    found = []
+    todo = [(max(0, a), min(len(words), b)) for a, b in spans]
+    while todo:
+        a, b = todo.pop()
+        window = np.fromiter((number.get(w, 0) for w in words[a:b]), np.int64, max(0, b - a))
+        if np.count_nonzero(window) < least * len(target):  # even if all of them matched
+            continue
+        score, end, last = align(item, window)
+        share = score / (MATCH * len(target))
+        if score and share >= least:
+            start = end - reach(item[:last], window[:end], score)
+            found.append((share, a + start, a + end))
+            todo += [(a, a + start), (a + end, b)]
+    return found
+
+
+def _counted(rows: DataFrame, wanted: Callable[[list[str]], list[str]]) -> DataFrame:
+    """(word, n) of the words of the only column of ``rows`` that ``wanted`` picks of a batch's distinct ones; the word ""
+    stands for all words together. Counted in tasks first, then over the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            found.clear()
+            return out
+
         for batch in batches:
+            new: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
+                new.update(words_of(text))
+            found[""] += new.total()
+            for word in wanted(list(new)):
+                found[word] += new[word]
+            if len(found) > MEMO_WORDS:
+                yield flush()
+        yield flush()
+
+    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _seeds(docs: DataFrame, items: DataFrame, text_col: str, rare: float, scratch: Scratch) -> DataFrame:
+    """(hash, item, at, order) of the rare n-grams of every item: ``SEED`` words, or all of a shorter item.
+
+    A word's share is that in corpus and benchmark together, so that what all items have in common is no rare seed either.
+    """
+    spark = docs.sparkSession
+    own = scratch.table(_counted(items.select("text"), list), "item-words")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(batch.column(0).to_pylist()).view(np.int64), pa.int64())], names=["hash"])
+
+    known = spark.sparkContext.broadcast(Filter.of(scratch.table(own.filter("word != ''").select("word").mapInArrow(keys, "hash long"), "word-hashes"), "hash"))
+
+    def among(words: list[str]) -> list[str]:
+        return [words[k] for k in np.flatnonzero(known.value.holds(_hashes(words)))]
+
+    counts = scratch.table(own.join(_counted(docs.select(text_col), among).withColumnRenamed("n", "m"), "word", "left").select("word", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "counts")
+    total = (counts.filter("word = ''").agg(F.sum("n")).first()[0] or 0) + 1
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words_of(t) for t in batch.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+            places = np.concatenate([*[np.arange(len(x)) for x in found], np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(places, pa.int64()), pa.array([w for x in found for w in x], pa.string())], names=["item", "at", "word"])
+
+    chances = items.select("item", "text").mapInArrow(placed, "item long, at long, word string").join(counts, "word")
+    listed = chances.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("places"))  # an item's length bounds it
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text, shares in zip(*(batch.column(c).to_pylist() for c in ("item", "text", "shares")), strict=True):
                 words = words_of(text)
-                found[""] += len(words)
-                found.update(filter(vocabulary.__contains__, words))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+                order = min(SEED, len(words))
+                hashes = gram_hashes(words, order).view(np.int64)
+                grams = np.prod([shares[k : len(words) - order + 1 + k] for k in range(order)], axis=0)
+                keep = grams <= max(rare, np.sort(grams)[len(grams) // 4])  # the rarest quarter at least, whatever the words
+                rows += [(int(hashes[at]), item, at, order) for at in np.flatnonzero(keep).tolist()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["hash", "item", "at", "order"])
 
-    rows = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = {r["word"]: r["n"] for r in rows}
-    return counts, counts.pop("", 0)
+    shares = F.transform("places", lambda x: x["n"] / F.lit(float(total)))
+    joined = items.select("item", "text").join(listed.select("item", shares.alias("shares")), "item")
+    return scratch.table(joined.select("item", "text", "shares").mapInArrow(pick, "hash long, item long, at long, `order` long"), "seeds")
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, rare: float, least_share: float, block_words: int):
-    """The benchmark's seeds, in blocks of bounded size: (broadcast seeds) for one pass over the corpus each."""
+def _matches(docs: DataFrame, benchmark: DataFrame, key: Column, text_col: str, item_col: str, item_text_col: str, rare: float, least_share: float, scratch: Scratch) -> DataFrame:
+    """(key, item_id, share, word_start, word_end) of every stretch of a text that aligns with an item, in a table."""
     spark = docs.sparkSession
-    sized = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t"))
-    total = sized.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    blocks = -(-total // block_words)
-    for k in range(blocks):
-        items = list(dict.fromkeys(tuple(r) for r in sized.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()))
-        counts, words = _word_counts(docs, text_col, frozenset(w for _, t in items for w in words_of(t)))
-        yield spark.sparkContext.broadcast(Seeds(items, counts, words, rare, least_share))
+    schema = benchmark.schema
+    items = benchmark.filter(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct()
+    items = scratch.table(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    seeds = _seeds(docs, items, text_col, rare, scratch)
+    orders = sorted(r["order"] for r in seeds.select("order").distinct().collect())  # SEED at most
+    known = spark.sparkContext.broadcast(Filter.of(seeds, "hash"))
+    given = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    kind = given.schema["key"].dataType.simpleString()
+    hits_type = pa.list_(pa.struct([("hash", pa.int64()), ("place", pa.int64())]))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits, at = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                words = words_of(text)
+                found = []
+                for order in orders:
+                    grams = gram_hashes(words, order)
+                    places = np.flatnonzero(known.value.holds(grams))
+                    found += [{"hash": h, "place": p} for h, p in zip(grams[places].view(np.int64).tolist(), places.tolist(), strict=True)]
+                if found:
+                    at.append(k)
+                    hits.append(found)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hits, hits_type)], names=["key", "text", "hits"])
+
+    carried = given.mapInArrow(look, f"key {kind}, text string, hits array<struct<hash: long, place: long>>")
+    carried = scratch.table(carried.withColumn("row", F.monotonically_increasing_id()), "carried", compression="zstd")
+    joined = carried.select("row", F.inline("hits")).join(seeds.select("hash", "item", "at"), "hash")
+    pairs = joined.groupBy("row", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("diagonals"))  # a text's length bounds it
+    tried = pairs.join(items.select("item", F.col("item_id"), F.col("text").alias("target")), "item").join(carried.select("row", "key", "text"), "row")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, [])
+        for batch in batches:
+            at, out = [], []
+            for k, (row, target, diagonals, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "target", "diagonals", "text")), strict=True)):
+                if last[0] != row:  # rows of one text come together
+                    last = (row, words_of(text))
+                for found in stretches(words_of(target), last[1], diagonals, least_share):
+                    at.append(k)
+                    out.append(found)
+            rows = pa.array(at, pa.int64())
+            shares, starts, ends = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(rows), batch.column("item_id").take(rows), pa.array(shares, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
+                names=["key", "item_id", "share", "word_start", "word_end"],
+            )
+
+    scored = tried.select("row", "key", "item_id", "target", "diagonals", "text").mapInArrow(score, f"key {kind}, item_id {schema[item_col].dataType.simpleString()}, share double, word_start long, word_end long")
+    return scratch.table(scored, "matches")
 
 
 def find_contamination(
@@ -180,42 +314,29 @@ def find_contamination(
     item_text_col: str = "text",
     rare: float = 1e-7,
     least_share: float = 0.5,
-    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Every stretch of a document that aligns with a benchmark item: (id, item, share, word_start, word_end).
 
-    Seeds are the 3-word sequences of an item whose words' frequencies in the whole corpus make them rare (expected at most
-    ``rare`` times per position), and at least its rarest quarter. A document that holds a seed is aligned with the item
-    around it, word by word, which also scores edited and paraphrased copies; ``share`` is the score over the item's own,
-    and stretches from ``least_share`` on are returned. Frequencies of words rather than of seeds decide on rarity, so an
-    item that leaked into many documents keeps its seeds.
+    Seeds are the 3-word sequences of an item whose words' frequencies in corpus and benchmark make them rare (expected at
+    most ``rare`` times per position), and at least its rarest quarter; an item of one or two words is a seed as a whole.
+    Frequencies of words rather than of seeds decide on rarity, so an item that leaked into many documents keeps its seeds.
+    A document that holds a seed is aligned with the item around it, word by word, which also scores edited and paraphrased
+    copies; ``share`` is the score over the item's own, and stretches from ``least_share`` on are returned. Items of one or
+    two words match as a whole only.
 
-    Null or empty texts match nothing, nor do items of fewer than 3 words. Repeated rows, and repeated stretches of a long
-    text, each give a row, as do benchmark rows of one id, or of none, with different texts. Only the named columns are read. An empty table on either side gives an empty result. No shuffle
-    of texts and no join: seeds are broadcast in blocks of at most ``block_words`` benchmark words, one pass over the corpus
-    for each block.
-    """
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-    schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, share double, word_start long, word_end long"
-    parts = []
-    for seeds in _blocks(docs, benchmark, text_col, item_col, item_text_col, rare, least_share, block_words):
+    Null or empty texts match nothing. Repeated rows, and repeated stretches of a long text, adjacent ones included, each give
+    a row, as do benchmark rows of one id, or of none, with different texts; equal benchmark rows count once. Only the named
+    columns are read. An empty table on either side gives an empty result.
 
-        def scan(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(k, *m) for k, text in enumerate(batch.column(1).to_pylist()) for m in seeds.value.matches(text)]
-                at, items, shares, starts, ends = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-                ids = batch.column(0).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(items, item_type), pa.array(shares, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
-                    names=[id_col, item_col, "share", "word_start", "word_end"],
-                )
-
-        parts.append(docs.select(id_col, text_col).mapInArrow(scan, schema))
-    out = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    Two narrow passes over the texts: one counts the benchmark's words, one looks for seeds; both know them by a filter of
+    bounded size, which only spares work. Texts with a seed, which are few, are written, and their seeds are joined with the
+    table of seeds, of any size; nothing of the benchmark is held in a task as a whole.
+    """
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    found = _matches(docs, benchmark, F.col(id_col), text_col, item_col, item_text_col, rare, least_share, scratch)
+    for name in ("items", "item-words", "word-hashes", "counts", "seeds", "carried"):
+        scratch.drop(name)
+    return found.select(F.col("key").alias(id_col), F.col("item_id").alias(item_col), "share", "word_start", "word_end")
 
 
 def drop_contaminated(
@@ -226,15 +347,15 @@ def drop_contaminated(
     item_text_col: str = "text",
     rare: float = 1e-7,
     least_share: float = 0.5,
-    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """``docs`` without the rows that ``find_contamination`` would report; all columns stay. No shuffle and no join."""
-    out = docs
-    for seeds in _blocks(docs, benchmark, text_col, item_col, item_text_col, rare, least_share, block_words):
+    """``docs`` without the rows that ``find_contamination`` would report; all columns and all other rows stay, those of null
+    text included. Rows are known by 128 bits of hashes of their texts, on which those found are joined."""
 
-        def clean(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not seeds.value.matches(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
+    def hashes(text: Column) -> Column:
+        return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"))
 
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    found = _matches(docs, benchmark, hashes(F.col(text_col)), text_col, item_col, item_text_col, rare, least_share, scratch)
+    keys = scratch.table(found.select("key.a", "key.b").distinct().toDF("_found_a", "_found_b"), "keys")
+    own = hashes(F.col(text_col))
+    return docs.join(keys, (own["a"] == F.col("_found_a")) & (own["b"] == F.col("_found_b")), "left_anti")

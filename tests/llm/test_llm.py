@@ -551,9 +551,8 @@ def test_contamination(spark, odd, none):
     rows = [(1, filler + " " + " ".join(items[0]).upper() + ". " + filler), (2, filler + " " + " ".join(edited)), (3, filler), (4, " ".join(items[2][:8]) + " " + filler), (5, " ".join(shuffled)), (6, " ".join(items[4] * 2))]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(9, None), (10, "")], "item_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for words in (2_000_000, 50):  # one block, several blocks
-        got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench, block_words=words).collect()}
-        assert got == {(1, 0), (2, 1), (6, 4)}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == {(1, 0), (2, 1), (6, 4)}
     first = next(r for r in decontaminate.find_contamination(docs, bench).collect() if r.doc_id == 1)
     assert (first.share, first.word_start, first.word_end) == (1.0, 100, 140)
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [3, 4, 5]
@@ -569,16 +568,44 @@ def test_contamination_shared_ids_and_copies(spark):
     bench = spark.createDataFrame([(7, a), (7, b), (None, c), (None, d), (7, a)], "item_id int, text string")
     rows = [(1, a), (2, b), (3, c), (4, d), (5, f"{a} {a} x y {a}"), (6, f"{c} {gone} {c}"), (7, " ".join([d] * 40)), (8, f"{a} {b}"), (9, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for words in (2_000_000, 40):
-        got = {}
-        for r in decontaminate.find_contamination(docs, bench, block_words=words).collect():
-            got.setdefault(r.doc_id, []).append((r.item_id, r.word_start, r.word_end))
-        got = {k: sorted(v, key=lambda x: x[1]) for k, v in got.items()}
-        assert got == {
-            1: [(7, 0, 30)], 2: [(7, 0, 30)], 3: [(None, 0, 30)], 4: [(None, 0, 30)], 5: [(7, 0, 30), (7, 30, 60), (7, 62, 92)],
-            6: [(None, 0, 30), (None, 30, 58), (None, 58, 88)], 7: [(None, 30 * k, 30 * k + 30) for k in range(40)], 8: [(7, 0, 30), (7, 30, 60)],
-        }
-        assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench, block_words=words).collect()] == [9]
+    got = {}
+    for r in decontaminate.find_contamination(docs, bench).collect():
+        got.setdefault(r.doc_id, []).append((r.item_id, r.word_start, r.word_end))
+    got = {k: sorted(v, key=lambda x: x[1]) for k, v in got.items()}
+    assert got == {
+        1: [(7, 0, 30)], 2: [(7, 0, 30)], 3: [(None, 0, 30)], 4: [(None, 0, 30)], 5: [(7, 0, 30), (7, 30, 60), (7, 62, 92)],
+        6: [(None, 0, 30), (None, 30, 58), (None, 58, 88)], 7: [(None, 30 * k, 30 * k + 30) for k in range(40)], 8: [(7, 0, 30), (7, 30, 60)],
+    }
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [9]
+
+
+def test_short_items_match_as_a_whole(spark):
+    bench = spark.createDataFrame([(1, "Xylophone!"), (2, "blue zebra"), (3, "one two three"), (4, "!")], "item_id long, text string")
+    rows = [(1, "a xylophone here, xylophone"), (2, "the blue zebra and a blue horse"), (3, "zebra blue"), (4, "one two three one two four"), (5, None), (5, "a blue zebra"), (5, "a blue zebra")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.item_id, r.word_start, r.word_end) for r in decontaminate.find_contamination(docs, bench).collect())
+    assert got == {(1, 1, 1, 2): 1, (1, 1, 3, 4): 1, (2, 2, 1, 3): 1, (4, 3, 0, 3): 1, (5, 2, 1, 3): 2}
+    assert decontaminate.drop_contaminated(docs, bench).select("doc_id", "text").collect() == [(3, "zebra blue"), (5, None)]
+
+
+def test_contamination_equals_brute_force(spark, tiny):
+    """Each document against each item without seeds: alignment over the whole text finds the same pairs."""
+    docs, bench = docs_of(spark, tiny).filter("doc_id < 100"), spark.read.parquet(f"{tiny}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench).collect()}
+    items = [(r.item_id, decontaminate.words_of(r.text)) for r in bench.collect()]
+    want = set()
+    for r in docs.collect():
+        words = decontaminate.words_of(r.text)
+        held = set(words)
+        want |= {(r.doc_id, i) for i, t in items if 2 * sum(w in held for w in t) >= len(t) and decontaminate.stretches(t, words, [0, len(words)] + list(range(0, len(words), max(1, len(t)))), 0.5)}
+    assert got == want and got
+
+
+def test_filter_denies_nothing_it_holds(spark):
+    rng = np.random.default_rng(6)
+    held, others = rng.integers(0, 2**63, 5000, dtype=np.uint64), rng.integers(0, 2**63, 20000, dtype=np.uint64)
+    found = decontaminate.Filter.of(spark.createDataFrame([(int(x),) for x in held], "h long"), "h")
+    assert found.holds(held).all() and found.holds(others).mean() < 0.001
 
 
 def test_alignment_equals_brute_force():
