@@ -51,6 +51,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(F.col("spans")).alias("spans"),
         count("spans", lambda s: s["live"]).alias("n_live"),
         count("spans", lambda s: ~s["live"]).alias("n_copied"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws("/", s["n_owners"], s["n_repos"])), ",").alias("owners_repos"),
     )
 
 

@@ -75,10 +75,11 @@ with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, co
 base as (select * from k0 union all select * from k1 union all select * from k2),
 free as (select * from k3 where not exists (select 1 from base b where b.r = k3.r and b.start < k3.stop and k3.start < b.stop)),
 every as (select c.*, o, p from (select * from base union all select * from free) c join d on c.r = d.r),
-owned as (select value, count(distinct o) as owners from every group by value),
-judged as (select every.*, owners <= 2 as live from every join owned on every.value = owned.value where ord < 3 or owners <= 2),
+owned as (select value, count(distinct o) as owners, count(distinct (o, p)) as repos from every group by value),
+judged as (select every.*, owners, repos, owners <= 2 and repos <= 6 as live from every join owned on every.value = owned.value where ord < 3 or (owners <= 2 and repos <= 6)),
 s as (select r, count(*) filter (kind = 'assign') as a, count(*) filter (kind = 'access') as c, count(*) filter (kind = 'hex') as h, count(*) filter (live) as n_live, count(*) filter (not live) as n_copied,
+  string_agg(cast(owners as varchar) || '/' || cast(repos as varchar), ',' order by start, ord) as spread,
   string_agg(kind || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, ord) as spans,
   string_agg(kind || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, ord) filter (ord < 3) as base from judged group by r)
 select doc_id, coalesce(a, 0) as n_assign, coalesce(c, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
-coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied from d left join s on d.r = s.r"""
+coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied, coalesce(spread, '') as owners_repos from d left join s on d.r = s.r"""

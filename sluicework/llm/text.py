@@ -20,3 +20,15 @@ def ascii_lower(text: Column) -> Column:
 def split_words(text: Column) -> Column:
     """Words as runs of characters other than the six ASCII blanks; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that an operator adds for itself: those given, with underscores in front until no column of ``df``
+    has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out

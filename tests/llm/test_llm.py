@@ -279,7 +279,31 @@ def test_ownership_tells_examples_from_live(spark):
     assert out == {**{i: f"x {copied} y" for i in range(6)}, 10: "a [secret] b [secret]", 11: "[secret]"}
 
 
+def test_values_in_many_repositories_are_copied(spark):
+    rows = [(i, "token=abcdef123", f"l{i}", "s1") for i in range(8)] + [(9, "token=zzzzzz123", "l1", "s1")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: [(s.live, s.n_owners, s.n_repos) for s in r.spans] for r in secrets.secret_spans(df).collect()}
+    assert got == {i: [(False, 1, 8)] for i in range(8)} | {9: [(True, 1, 1)]}
+
+
+def test_redaction_of_many_spans(spark):
+    """Every span goes, whatever their number and the piece of the text they stand in."""
+    texts = [" é ".join(f"token=v{k}alue{i}" for i in range(k)) + " end" for k in (1, 63, 64, 65, 200)] + ["token=" + "ab" * 20 + ",password=xyzxyz", "x" * 70 + "1 nothing " + "f" * 40]
+    rows = [(k, t, "en", f"s{k}") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.live] for r in secrets.secret_spans(df).collect()}
+    out = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
+    for k, t in enumerate(texts):
+        want, at = "", 0
+        for a, b in sorted(spans[k]):
+            if a >= at:
+                want += t[at:a] + "[secret]"
+            at = max(at, b)
+        assert out[k] == want + t[at:] and spans[k]
+
+
 def test_redaction_keeps_rows_and_nulls(odd, none):
+    odd = odd.withColumns({c: F.lit("x") for c in ("_id", "_live", "_hash", "row", "doc", "candidates", "owner", "repo", "segments")})
     out = secrets.redact_secrets(odd)
     assert out.columns == odd.columns and out.count() == len(ODD) and out.filter("text is null").count() == 1
     assert next(r.text for r in out.collect() if r.doc_id == 9) == '[secret]" é [secret] password: abc'
