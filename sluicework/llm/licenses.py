@@ -17,24 +17,55 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Key sentences of well-known licenses, by label.
+#: Key sentences of well-known licenses, and their texts or file headers, by label; "-long" and "-full" mark
+#: further templates of a label.
 TEMPLATES = {
     "agpl-3": "licensed under the gnu affero general public license version 3",
     "apache-2": "licensed under the apache license version 2 0",
+    "apache-2-full": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"
+    " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+    " see the license for the specific language governing permissions and limitations under the license",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-full": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+    " this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "cc-by": "licensed under cc by 4 0",
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by-nc-long": "licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc-by-nc-nd": "licensed under cc by nc nd 4 0",
+    "cc-by-nc-sa": "licensed under cc by nc sa 4 0",
+    "cc-by-nd": "licensed under cc by nd 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "gpl-3": "this work is licensed under the gnu general public license version 3",
+    "gpl-3-full": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    " this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-full": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+    " the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
     "mit": "released under the mit license",
     "mit-long": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+    " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+    " the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "proprietary": "proprietary and confidential unauthorized copying of this file via any medium is strictly prohibited",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
+#: A template of fewer distinct tokens must be held with all of them: one word less may be the name of the license.
+SHORT = 10
+
+
+def label_of(name: str) -> str:
+    return name.removesuffix("-long").removesuffix("-full")
+
+
+def tokens_needed(n: int, threshold: float) -> int:
+    """How many of a template's ``n`` distinct tokens a block must hold."""
+    return n if n < SHORT else ceil(threshold * n - 1e-9)
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 UPPER_TO_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -47,10 +78,11 @@ def words_of(text: str) -> list[str]:
 class TemplateIndex:
     """Prefix index of the templates under one global order of their tokens, rarest first.
 
-    A block contains a template to the share ``threshold`` if it holds ceil(threshold * n) of its n distinct tokens. Two
-    sets with that overlap share one of the template's first n - overlap + 1 tokens in the global order, so only these are
-    indexed (prefix filter). A block with fewer distinct tokens than the overlap can't qualify (length filter). A positional
-    filter is left out: a window is no longer than a template allows, and its overlap is counted in one walk.
+    A block contains a template to the share ``threshold`` if it holds ceil(threshold * n) of its n distinct tokens; all of
+    them if they are fewer than ``SHORT``. Two sets with that overlap share one of the template's first n - overlap + 1 tokens
+    in the global order, so only these are indexed (prefix filter). A text with fewer distinct tokens of the template than
+    the overlap can't qualify (length filter). Around prefix tokens, places bound the overlap of every window: unless so many
+    tokens of the template stand within one window's length, none is walked (positional filter).
     """
 
     def __init__(self, templates: Mapping[str, str], counts: Mapping[str, int], threshold: float) -> None:
@@ -63,7 +95,7 @@ class TemplateIndex:
             ordered = sorted(set(words), key=lambda t: (counts.get(t, 0), t))
             self.tokens[label] = frozenset(ordered)
             self.span[label] = ceil(len(words) / threshold - 1e-9)
-            self.need[label] = need = ceil(threshold * len(ordered) - 1e-9)
+            self.need[label] = need = tokens_needed(len(ordered), threshold)
             for at, token in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(token, []).append((label, at))
         self.keys = frozenset(self.prefix)
@@ -86,7 +118,6 @@ class TemplateIndex:
                     yield label, overlap / size, size
                 tried.add(label)
 
-
     def passages(self, words: list[str]) -> list[tuple[int, int, str, float, bool]]:
         """Start, length, label and containment of every passage that holds a template to the threshold within a window of
         its length over the threshold, wherever lines end; true for those with no better passage (more contained, then of a
@@ -113,6 +144,8 @@ class TemplateIndex:
             tokens = self.tokens[label]
             for a, b in near[label]:
                 places = [i for i in range(a, b) if words[i] in tokens]
+                if not any(z - y < self.span[label] for y, z in zip(places, places[self.need[label] - 1 :])):
+                    continue
                 found += [(at, n, label, c, len(tokens)) for at, n, c in self._windows(label, words, places)]
         found.sort()
         longest = max((n for _, n, *_ in found), default=0)
@@ -197,7 +230,7 @@ def license_scan(
     Columns: the id, n_words, places (array of start, length, label: the base phrases, words from 0), blocks (array of start,
     length, label, containment, best: every passage that holds at least ``threshold`` of a template's tokens within a window
     of the template's words over ``threshold``, whatever the line ends; best marks those that no better one overlaps).
-    Template labels ending in -long count as the label without it. Null or empty text: no word, no place, no block. Repeated rows each give a row;
+    Several templates may stand for one label (``label_of``). Null or empty text: no word, no place, no block. Repeated rows each give a row;
     only the id and the text are read. An empty table gives an empty table. Two narrow passes (the first counts template
     tokens, which orders them globally) and no shuffle of texts; the templates are a fixed list, so every task holds it.
     """
@@ -213,7 +246,7 @@ def license_scan(
             for text in batch.column(1).to_pylist():
                 words = words_of(text or "")
                 sizes.append(len(words))
-                blocks.append([{"start": a, "length": n, "label": x.removesuffix("-long"), "containment": c, "best": b} for a, n, x, c, b in index.passages(words)])
+                blocks.append([{"start": a, "length": n, "label": label_of(x), "containment": c, "best": b} for a, n, x, c, b in index.passages(words)])
                 held = set(words).intersection(starts) if words else ()
                 places.append([{"start": a, "length": n, "label": x} for a, n, x in phrase_places(words, phrases)] if held else [])
             yield pa.RecordBatch.from_arrays(

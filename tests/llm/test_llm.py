@@ -486,7 +486,7 @@ def test_license_join_equals_brute_force():
     for _ in range(3000):
         label = rng.choice(list(sets))
         block = {w for w in sets[label] if rng.random() < 0.85} | set(rng.choice(vocabulary, 4).tolist())
-        want = {(k, len(s & block) / len(s)) for k, s in sets.items() if len(s & block) >= 0.8 * len(s) - 1e-9}
+        want = {(k, len(s & block) / len(s)) for k, s in sets.items() if len(s & block) >= licenses.tokens_needed(len(s), 0.8)}
         assert {(k, c) for k, c, _ in index.matches(block)} == want
 
 
@@ -504,6 +504,25 @@ def test_license_windows_over_lines(spark):
     assert got["mit"] == [("mit", 0)]
 
 
+PLAIN = (
+    "the film was released in may under a new title and her driving license was lost",
+    "released under the new license of the city",
+    "the software is provided with a copy of the documentation and a card",
+    "all work in this file is subject to change, as stated in the terms of the contract",
+    "permission to use the hall is granted by the mayor for any purpose",
+)
+
+
+def test_plain_sentences_have_no_label_and_variants_their_own(spark):
+    texts = [*PLAIN, "Licensed under CC BY-ND 4.0", "licensed under cc by nc sa 4 0", "licensed under cc by 4 0", "Released under\nthe MIT license"]
+    full = licenses.TEMPLATES["mit-full"].split()
+    texts.append("\n".join(" ".join(full[i : i + 9]) for i in range(0, len(full), 9)))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: sorted({b.label for b in r.blocks if b.best}) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = [[]] * len(PLAIN) + [["cc-by-nd"], ["cc-by-nc-sa"], ["cc-by"], ["mit"], ["mit"]]
+    assert [got[k] for k, _ in rows] == want
+
+
 def test_license_windows_equal_brute_force():
     rng = np.random.default_rng(12)
     index = licenses.TemplateIndex(licenses.TEMPLATES, {}, 0.8)
@@ -517,7 +536,7 @@ def test_license_windows_equal_brute_force():
         for label, text in licenses.TEMPLATES.items():
             tokens, span = set(text.split()), -(-len(text.split()) * 10 // 8)
             most = max(len(tokens & set(words[i : i + span])) for i in range(max(1, len(words))))
-            if most >= 0.8 * len(tokens) - 1e-9:
+            if most >= licenses.tokens_needed(len(tokens), 0.8):
                 best[label] = most / len(tokens)
             mine = sorted((a, n) for a, n, x, _, _ in got if x == label)
             assert all(a + n <= b for (a, n), (b, _) in zip(mine, mine[1:])) and all(n <= span for _, n in mine)
@@ -525,7 +544,7 @@ def test_license_windows_equal_brute_force():
             for a, n in [*mine, (len(words), 0)]:
                 free.append(words[at:a])
                 at = a + n
-            assert not any(len(tokens & set(x[i : i + span])) >= 0.8 * len(tokens) - 1e-9 for x in free for i in range(len(x)))
+            assert not any(len(tokens & set(x[i : i + span])) >= licenses.tokens_needed(len(tokens), 0.8) for x in free for i in range(len(x)))
         assert {x: max(c for _, _, y, c, _ in got if y == x) for _, _, x, _, _ in got} == best
 
 
