@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.scratch import cut
+from sluicework.scratch import Scratch
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,16 +27,18 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) of every node of the edges; a component is named by its least node.
 
-    Large-star and small-star steps alternate until nothing changes, each round cut by a checkpoint: about log n rounds, and
-    only two numbers reach the driver in each. Self-loops and nulls are left out; repeated edges count once.
+    Large-star and small-star steps alternate until nothing changes, each round written to the shared folder: about log n
+    rounds, and only two numbers reach the driver in each. Self-loops and nulls are left out; repeated edges count once.
     """
     a, b = F.col(left), F.col(right)
-    now = cut(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen = None
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.table(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "0")
+    seen, rounds = None, 0
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             break
-        seen = state
-        now = cut(_stars(_stars(now, True), False))
+        seen, rounds = state, rounds + 1
+        now = scratch.table(_stars(_stars(now, True), False), str(rounds))
+        scratch.drop(str(rounds - 1))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
