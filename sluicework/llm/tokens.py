@@ -123,24 +123,28 @@ class ChunkMemo:
 
     def values(self, lists: Sequence[Sequence[str]]) -> list[list]:
         """The values of every chunk of ``lists``."""
-        found = [list(map(self.young.get, chunks)) for chunks in lists]
-        lacking = [k for k, values in enumerate(found) if None in values]
-        missing = set().union(*[lists[k] for k in lacking]).difference(self.young)
-        if not missing:
-            return found
-        fresh = {c: v for c in missing if (v := self.old.get(c)) is not None} if self.old else {}
-        new = list(missing.difference(fresh)) if fresh else list(missing)
+        found: list = [None] * len(lists)
+        lacking = []
+        get = self.young.__getitem__
+        for k, chunks in enumerate(lists):
+            try:
+                found[k] = list(map(get, chunks))
+            except KeyError:
+                lacking.append(k)
+        wanted = set().union(*[lists[k] for k in lacking])
+        missing = wanted.difference(self.young)
+        if len(self.young) + len(missing) > self.limit:
+            self.old, self.young = self.young, {}
+            missing = wanted
+        back = missing.intersection(self.old) if self.old else ()
+        self.young.update((c, self.old[c]) for c in back)
+        new = list(missing.difference(back))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            fresh.update(zip(some, self.encode(some), strict=True))
-        if len(self.young) + len(fresh) > self.limit:
-            for k in lacking:
-                found[k] = [fresh[c] if v is None else v for c, v in zip(lists[k], found[k], strict=True)]
-            self.old, self.young = self.young, fresh
-        else:
-            self.young.update(fresh)
-            for k in lacking:
-                found[k] = list(map(self.young.__getitem__, lists[k]))
+            self.young.update(zip(some, self.encode(some), strict=True))
+        get = self.young.__getitem__
+        for k in lacking:
+            found[k] = list(map(get, lists[k]))
         return found
 
 
@@ -159,17 +163,18 @@ def parted(chunks: list[str], lower: bool) -> list[tuple[str, ...]]:
 def encode_words(path: str, words: list[str], glue: str, width: int) -> list[bytes] | None:
     """Ids of words of letters only, which are one pre-token each, from one call on all of them; None if they were not.
 
-    One call is a third cheaper than one for each. Blanks between the words must be dropped by the tokenizer, or belong to
-    the words.
+    One call is a third cheaper than one for each. The glue between the words must be dropped by the tokenizer, or be empty
+    as the words begin with a space, or be a pre-token of its own (a line end).
     """
     found = load_tokenizer(path).encode(glue.join(words), add_special_tokens=False)
     number = np.array(found.word_ids, np.int64)
     first = np.flatnonzero(np.diff(number, prepend=-1))
-    if len(first) != len(words):
+    step = 2 if glue == "\n" else 1
+    if len(first) != step * len(words) - step + 1:
         return None
     flat = np.array(found.ids, f"<u{width}").tobytes()
-    starts = (width * first).tolist()
-    return [flat[a:b] for a, b in zip(starts, [*starts[1:], len(flat)], strict=True)]
+    ends = [*(width * first[1:]).tolist(), len(flat)][::step]
+    return [flat[a:b] for a, b in zip((width * first[::step]).tolist(), ends, strict=True)]
 
 
 def _encoder(path: str, spaced: bool, width: int) -> Callable[[list[str]], list[bytes]]:
@@ -177,11 +182,13 @@ def _encoder(path: str, spaced: bool, width: int) -> Callable[[list[str]], list[
         return [np.array(ids, f"<u{width}").tobytes() for ids in encode_all(path, chunks)]
 
     def encode(chunks: list[str]) -> list[bytes]:
-        words = [c for c in chunks if c[:1] == " " and c[1:].isalpha()] if spaced else [c for c in chunks if c.isalpha()]
+        alone = [c for c in chunks if c.isalpha()]
+        kinds = [("\n", alone), ("", [c for c in chunks if c[:1] == " " and c[1:].isalpha()])] if spaced else [(" ", alone)]
         known: dict[str, bytes] = {}
-        for at in range(0, len(words), 2_000):
-            some = words[at : at + 2_000]
-            known.update(zip(some, encode_words(path, some, "" if spaced else " ", width) or each(some), strict=True))
+        for glue, words in kinds:
+            for at in range(0, len(words), 2_000):
+                some = words[at : at + 2_000]
+                known.update(zip(some, encode_words(path, some, glue, width) or each(some), strict=True))
         rest = [c for c in chunks if c not in known]
         known.update(zip(rest, each(rest), strict=True))
         return [known[c] for c in chunks]
