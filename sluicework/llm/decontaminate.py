@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicework.llm.text import private
 from sluicework.scratch import Scratch
 
 WORD = re.compile(r"[^\W_]+")
@@ -356,6 +357,7 @@ def drop_contaminated(
 
     scratch = Scratch(docs.sparkSession, "decontaminate")
     found = _matches(docs, benchmark, hashes(F.col(text_col)), text_col, item_col, item_text_col, rare, least_share, scratch)
-    keys = scratch.table(found.select("key.a", "key.b").distinct().toDF("_found_a", "_found_b"), "keys")
+    a, b = private(docs, "a", "b")
+    keys = scratch.table(found.select("key.a", "key.b").distinct().toDF(a, b), "keys")
     own = hashes(F.col(text_col))
-    return docs.join(keys, (own["a"] == F.col("_found_a")) & (own["b"] == F.col("_found_b")), "left_anti")
+    return docs.join(keys, (own["a"] == keys[a]) & (own["b"] == keys[b]), "left_anti")

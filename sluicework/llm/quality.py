@@ -88,6 +88,15 @@ def _twice(words: Column, placed: Column) -> Column:
     return F.array_compact(F.transform(placed, lambda x, k: F.when(same(x, F.get(placed, k + 1)) | same(x, F.get(placed, k - 1)), x["i"])))
 
 
+def keep_quality(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
+    """``docs`` without the documents that ``quality_rules`` rejects and, in the others, without the lines that break a rule.
+    Columns stay as they are, whatever their names, but for the text."""
+    name = "judged"
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name), F.col(text_col).alias("text"))
+    judged = quality_rules(rows, "text", **limits).filter("kept")
+    return judged.select(*[F.col("cleaned_text").alias(c) if c == text_col else F.col(f"{name}.`{c}`").alias(c) for c in docs.columns])
+
+
 def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50, max_lost: float = 0.5) -> DataFrame:
     """Judge every document; adds the columns below and keeps the given ones.
 
@@ -101,38 +110,38 @@ def quality_rules(docs: DataFrame, text_col: str = "text", min_words: int = 50,
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_share", "cleaned_text", "kept")
-    own = [F.col(c) for c in docs.columns if c not in added]
+    own = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in added]
     q = docs.select(
-        *own,
-        F.col(text_col).isNotNull().alias("_given"),
-        split_words(text).alias("_words"),
-        F.split(text, "\n").alias("_lines"),
-        text.rlike(f"[{SYMBOLS}{DIVIDERS}!]").alias("_marked"),
-        furnished(text).alias("_phrased"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.col(text_col).isNotNull().alias("given"),
+        split_words(text).alias("words"),
+        F.split(text, "\n").alias("lines"),
+        text.rlike(f"[{SYMBOLS}{DIVIDERS}!]").alias("marked"),
+        furnished(text).alias("phrased"),
         _count(text, SYMBOLS).cast("long").alias("n_symbols"),
     )
-    q = q.withColumn("_hashes", window_hashes(F.col("_words")))
-    q = q.withColumn("_placed", repeat_places(F.col("_words"), F.col("_hashes"))).drop("_hashes")
-    q = q.withColumn("_twice", F.coalesce(_twice(F.col("_words"), F.col("_placed")), F.array().cast("array<int>"))).drop("_placed")
-    q = q.withColumn("_flags", F.transform("_lines", lambda x: line_fails(x, F.col("_marked"), F.col("_phrased"))))
-    inside = F.array_distinct(F.concat("_twice", F.transform("_twice", lambda i: i + 1), F.transform("_twice", lambda i: i + 2)))
-    wordy = F.filter("_lines", lambda x: x.rlike(WORD))
-    stays = F.filter("_lines", lambda x, i: ~F.get(F.col("_flags"), i))
+    q = q.withColumn("hashes", window_hashes(F.col("words")))
+    q = q.withColumn("placed", repeat_places(F.col("words"), F.col("hashes"))).drop("hashes")
+    q = q.withColumn("twice", F.coalesce(_twice(F.col("words"), F.col("placed")), F.array().cast("array<int>"))).drop("placed")
+    q = q.withColumn("flags", F.transform("lines", lambda x: line_fails(x, F.col("marked"), F.col("phrased"))))
+    inside = F.array_distinct(F.concat("twice", F.transform("twice", lambda i: i + 1), F.transform("twice", lambda i: i + 2)))
+    wordy = F.filter("lines", lambda x: x.rlike(WORD))
+    stays = F.filter("lines", lambda x, i: ~F.get(F.col("flags"), i))
     q = q.select(
-        *own,
-        "_given",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        "doc",
+        "given",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size(wordy) - F.size(F.array_distinct(wordy))).cast("long").alias("n_dup_lines"),
         F.size(inside).cast("long").alias("n_repeat_words"),
-        F.length(F.array_join("_lines", "")).alias("_all"),
-        F.array_join(stays, "\n").alias("_left"),
-        F.length(F.array_join(stays, "")).alias("_stay"),
+        F.length(F.array_join("lines", "")).alias("all"),
+        F.array_join(stays, "\n").alias("left"),
+        F.length(F.array_join(stays, "")).alias("stay"),
     )
-    q = q.withColumn("lost_share", F.when(F.col("_all") > 0, 1 - F.col("_stay") / F.col("_all")).otherwise(F.lit(0.0)))
+    q = q.withColumn("lost_share", F.when(F.col("all") > 0, 1 - F.col("stay") / F.col("all")).otherwise(F.lit(0.0)))
     q = q.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
     q = q.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost))
-    q = q.withColumn("cleaned_text", F.when(F.col("_given"), F.col("_left")))
+    q = q.withColumn("cleaned_text", F.when(F.col("given"), F.col("left")))
     # a generator, which filters on the verdict do not pass: below it they would repeat all the work above, many times over
     return q.select(*own, F.inline(F.array(F.struct(*added))))

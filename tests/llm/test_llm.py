@@ -678,3 +678,23 @@ def test_pipeline(spark, tiny):
     got = {r.doc_id for r in out}
     assert got == {d for d in ids if component[d] == d and d not in leaked}
     assert leaked and sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+
+
+def test_pipeline_stages_on_odd_tables(spark, tiny, odd, none):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    clash = odd.withColumns({c: F.lit("y") for c in ("_words", "words", "lines", "given", "hashes", "doc", "judged", "text_hash", "_found_a", "key", "row", "_id", "cleaned_text", "lost_share")})
+    clash = clash.withColumn("n_chars", F.lit(0).cast("long"))
+    rows = {"quality rules": 0, "near duplicates": 8, "benchmark decontamination": len(ODD), "secret scans": len(ODD)}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, clash, tiny)
+        assert stage(spark, none, tiny).count() == 0
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {r[0] for r in ODD}
+            continue
+        assert out.columns == clash.columns and out.count() == rows[name], name
+        again = out.filter("text is not null").select((F.col("n_chars") == F.length("text")).alias("same"), "words").collect()
+        assert all(r.words == "y" for r in again) and (name not in ("quality rules", "secret scans") or all(r.same for r in again))
+    good = " ".join(f"word{i}" for i in range(60)) + "."
+    docs = spark.createDataFrame([(1, good + "\nclick here", "en", "s", "x"), (2, None, "en", "s", "x")], SCHEMA + ", kept string")
+    kept = pipeline.keep_quality(spark, docs, tiny).collect()
+    assert [(r.doc_id, r.text, r.kept) for r in kept] == [(1, good, "x")]
