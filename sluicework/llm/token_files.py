@@ -28,16 +28,17 @@ LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3).astype(np.uint8)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit ranks."""
-    n = len(ranks)
-    lengths = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
+    """Control and data bytes of unsigned 32-bit or 16-bit ranks."""
+    n, top = len(ranks), int(ranks.max(initial=0))
     codes = np.zeros(-(-n // 4) * 4, np.uint8)
-    codes[:n] = lengths - 1
-    four = codes.reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    width = 2 if lengths.max(initial=1) <= 2 else 4
-    raw = ranks.astype(f"<u{width}").view(np.uint8).reshape(n, width)
-    return control.tobytes(), raw[np.arange(width, dtype=np.uint8) < lengths[:, None]].tobytes()
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF):
+        if top > limit:
+            codes[:n] += ranks > limit
+    four = codes.view("<u4")  # two bits of each of its bytes, moved together
+    control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8)
+    width = 2 if top <= 0xFFFF else 4
+    raw = ranks.astype(f"<u{width}", copy=False).view(np.uint8).reshape(n, width)
+    return control.tobytes(), raw[np.arange(width, dtype=np.uint8) <= codes[:n, None]].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -95,7 +96,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
     counted = sorted((-r["n"], r["id"]) for r in _frequencies(tokenised, width).collect())  # one row per vocabulary entry at most
     ranks = spark.createDataFrame([(k, i, -n) for k, (n, i) in enumerate(counted)], "rank long, id long, n long")
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
-    ranked = np.zeros(max((i for _, i in counted), default=0) + 1, "<u4")
+    ranked = np.zeros(max((i for _, i in counted), default=0) + 1, f"<u{width}")
     ranked[[i for _, i in counted]] = np.arange(len(counted))
     table = spark.sparkContext.broadcast(ranked)
 
