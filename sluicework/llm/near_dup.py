@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = scratch.table(members.select("node").distinct().join(classes.select("node", "least_id", "text_hash"), "node"), "wanted")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     own = F.col("id").eqNullSafe(F.col("least_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
-    texts = scratch.table(source.alias("d").join(wanted.alias("w"), own).select("node", "text"), "texts", compression="zstd")
+    # as at any larger size: a small table of those wanted would be broadcast, and the texts stay where they are
+    texts = scratch.table(source.alias("d").join(wanted.hint("merge").alias("w"), own).select("node", "text"), "texts", compression="zstd")
     if texts.count() > wanted.count():  # rows given twice
         texts = scratch.table(texts.dropDuplicates(["node"]), "texts-once", compression="zstd")
     links = scratch.table(_confirmed(pairs, texts, percent), "links")
