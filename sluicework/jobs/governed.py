@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluicework.jobs.inputs import MODELS, RUNS_SQL, runs, table
 from sluicework.operators import comparison, governance, integrity, sampling
+from sluicework.sources.tables import in_order
 
 SEED = 236722600
 TARGETS = {"en": 60, "de": 30, "fr": 30, "es": 20}
@@ -32,7 +33,8 @@ def stratified_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_wins_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = sampling.first_wins(docs, F.sha2("text", 256), F.md5(F.lower(F.substring("text", 1, 40))), "doc_id")
+    # near: the same text but for case and blanks
+    marked = sampling.first_wins(docs, F.sha2("text", 256), F.md5(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", "")), "doc_id")
     return marked.select("doc_id", "reason")
 
 
@@ -83,23 +85,24 @@ def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.duplicate_ids(hashed, "sha256")
 
 
+def _sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The labelled documents in order, and the pages that are put beside them."""
+    labels, pages = table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages")
+    found = F.when(F.contains("url", F.lit("www")), F.col("page_id") + 1).otherwise(F.col("page_id"))
+    return labels.select(F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id")), pages.select(F.col("page_id").alias("ordinal"), found.alias("id"))
+
+
 def ordered_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").select("doc_id")
-    left = rows.select(F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id"))
-    right = rows.filter("doc_id % 50 <> 7").select(F.col("doc_id").alias("ordinal"), F.expr("case when doc_id % 20 = 4 then doc_id + 1 else doc_id end").alias("id"))
-    return integrity.ordered_mismatches(left, right, "ordinal", "id")
+    return integrity.ordered_mismatches(*_sequences(spark, sf_dir), "ordinal", "id")
 
 
 def first_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").select("doc_id")
-    left = rows.select(F.col("doc_id").alias("ordinal"), F.col("doc_id").alias("id"))
-    right = rows.filter("doc_id % 50 <> 7").select(F.col("doc_id").alias("ordinal"), F.expr("case when doc_id % 20 = 4 then doc_id + 1 else doc_id end").alias("id"))
-    return integrity.first_mismatch(left, right, "ordinal", "id")
+    return integrity.first_mismatch(*_sequences(spark, sf_dir), "ordinal", "id")
 
 
 def id_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return integrity.id_difference(docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 7 <> 0"), "doc_id")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    return integrity.id_difference(table(spark, sf_dir, "labels").select("doc_id"), pages, "doc_id")
 
 
 def run_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,12 +114,13 @@ def review_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     labels = table(spark, sf_dir, "labels")
     reviews = labels.select("doc_id", F.expr("case when toxic = 1 then 'dispute' when quality = 1 then 'reviewed' else 'rejected' end").alias("decision"))
-    final = labels.filter("doc_id % 3 <> 0").select("doc_id", F.expr("case when quality = 1 then 'accept' else 'reject' end").alias("decision"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    final = labels.join(pages, "doc_id", "left_semi").select("doc_id", F.expr("case when quality = 1 then 'accept' else 'reject' end").alias("decision"))
     return governance.route_reviews(docs, reviews, final, "doc_id").groupBy("outcome").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
 
 
 def unknown_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.unknown_ids(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").filter("n_chars % 3 = 0"), "doc_id")
+    return governance.unknown_ids(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), "doc_id")
 
 
 def disagreement_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,11 +144,9 @@ def distribution_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_restoration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's turns put back in order."""
-    turns = table(spark, sf_dir, "conversations")
-    listed = F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n"))))
-    joined = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["turn"], x["role"], x["n"])), " ")
-    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), joined.alias("listed"))
+    """Each conversation's turns put back in order: their places in it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    return in_order(turns, "conv_id", "turn", "role", "n")
 
 
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +160,7 @@ QUERIES = (
 )
 
 _ORDERED = """l as (select doc_id as ordinal, doc_id as left_id from labels),
-r as (select doc_id as ordinal, case when doc_id % 20 = 4 then doc_id + 1 else doc_id end as right_id from labels where doc_id % 50 <> 7),
+r as (select page_id as ordinal, case when contains(url, 'www') then page_id + 1 else page_id end as right_id from pages),
 j as (select coalesce(l.ordinal, r.ordinal) as ordinal, left_id, right_id from l full join r on l.ordinal = r.ordinal)"""
 _BASKET = """j as (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as qty, case when l_returnflag = 'R' then 'group' when cast(l_quantity as bigint) < 5 then 'small' when l_discount > 0.08 then 'geometry' end as failure from lineitem)"""
 _AUDIT = f"""r as ({RUNS_SQL}), a as (select l.quality, r.* from labels l join r on l.doc_id = r.doc_id),
@@ -169,7 +171,7 @@ ORACLE = {
     "hash_sample": f"select doc_id, source, sha256('{SEED}:' || source || ':' || cast(doc_id as varchar)) as key from documents order by key, doc_id limit 100",
     "stratified_holdout": f"""with k as (select doc_id, lang, row_number() over (partition by lang order by sha256('{SEED}:holdout:' || lang || ':' || cast(doc_id as varchar)), doc_id) as k from documents)
 select lang, doc_id, case when k <= case lang {" ".join(f"when '{s}' then {n}" for s, n in TARGETS.items())} else 0 end then 'sealed_holdout' else 'selection' end as split from k""",
-    "first_wins_dedupe": """with k as (select doc_id, text, first_value(doc_id) over w as f, first_value(sha256(text)) over w as d from documents window w as (partition by md5(lower(substr(text, 1, 40))) order by doc_id))
+    "first_wins_dedupe": """with k as (select doc_id, text, first_value(doc_id) over w as f, first_value(sha256(text)) over w as d from documents window w as (partition by md5(regexp_replace(lower(text), '[\\x20\\x09-\\x0D]+', '', 'g')) order by doc_id))
 select doc_id, case when doc_id = f then 'accepted' when sha256(text) = d then 'exact_duplicate' else 'near_duplicate' end as reason from k""",
     "basket_filter": f"""with {_BASKET} select l_orderkey, cast(count(*) as int) as boxes, string_agg(cast(qty as varchar) || ':' || cast(l_linenumber as varchar), ' ' order by qty, l_linenumber) as listed
 from j where failure is null group by l_orderkey having count(*) between 2 and 4""",
@@ -185,14 +187,14 @@ where case when least < 1 then case when whole > 0 then cast(n as double) / whol
     "duplicate_texts": "select sha256(text) as sha256, count(*) as n from documents group by 1 having count(*) > 1",
     "ordered_mismatch": f"with {_ORDERED} select ordinal, left_id, right_id from j where left_id is distinct from right_id",
     "first_mismatch": f"""with {_ORDERED} select count(left_id) as n_left, count(right_id) as n_right, count(*) filter (left_id is distinct from right_id) as n_differ, min(ordinal) filter (left_id is distinct from right_id) as first from j""",
-    "id_difference": """select 'missing' as side, doc_id from documents where doc_id % 5 <> 0 and doc_id % 7 = 0 union all select 'extra', doc_id from documents where doc_id % 5 = 0 and doc_id % 7 <> 0""",
+    "id_difference": """select 'missing' as side, doc_id from labels where doc_id not in (select page_id from pages) union all select 'extra', page_id from pages where page_id not in (select doc_id from labels)""",
     "run_violations": f"""with r as ({RUNS_SQL}), x as (select doc_id - doc_id % 4 % 2 as id, case when n_chars % 9 = 0 then 3 else m2 end as label from r),
 g as (select id, count(*) as k, count(*) filter (label not in (0, 1, 2)) as bad from x group by id)
 select * from (select 'row_count' as rule, cast(abs(sum(k) - 8500) as bigint) as n from g union all select 'duplicate_id', cast(sum(k - 1) as bigint) from g union all select 'label_domain', cast(sum(bad) as bigint) from g) where n > 0""",
     "review_routing": """with x as (select d.doc_id, l.doc_id is null as pending, toxic, quality from documents d left join labels l on d.doc_id = l.doc_id),
-o as (select doc_id, case when pending then 'pending' when toxic <> 1 then case when quality = 1 then 'reviewed' else 'rejected' end when doc_id % 3 = 0 then 'dispute_open' when quality = 1 then 'adjudicated' else 'dispute_rejected' end as outcome from x)
+o as (select doc_id, case when pending then 'pending' when toxic <> 1 then case when quality = 1 then 'reviewed' else 'rejected' end when doc_id not in (select page_id from pages) then 'dispute_open' when quality = 1 then 'adjudicated' else 'dispute_rejected' end as outcome from x)
 select outcome, count(*) as n, cast(sum(doc_id) as bigint) as id_sum from o group by outcome""",
-    "unknown_decisions": "select doc_id from labels where doc_id not in (select doc_id from documents where n_chars % 3 = 0)",
+    "unknown_decisions": "select doc_id from labels where doc_id not in (select page_id from pages)",
     "disagreement_matrix": f"with r as ({RUNS_SQL}) "
     + " union all ".join(f"select '{a}' as left, '{b}' as right, count(*) as rows, count(*) filter ({a} <> {b}) as disagree from r" for i, a in enumerate(MODELS) for b in MODELS[i + 1 :]).replace("as left", 'as "left"').replace("as right", 'as "right"').replace("as rows", 'as "rows"'),
     "risk_sets": f"""with r as ({RUNS_SQL}), v as (select doc_id, m0, u, unnest([m1, m2, m3, m4]) as m from r),
@@ -204,6 +206,6 @@ select model, case when m0 = m then 'same' when m0 = u then 'unknown_to_person'
     "distribution_profile": """with t as (select role, lower(text) as t from conversations)
 select role, bucket, count(*) as n from (select role, 'question' as bucket from t where contains(t, '?') union all select role, 'long' from t where length(t) > 200
 union all select role, 'digits' from t where regexp_matches(t, '[0-9]') union all select role, 'polite' from t where contains(t, 'please')) group by role, bucket""",
-    "turn_restoration": """select conv_id, count(*) as turns, string_agg(cast(turn as varchar) || ':' || role || ':' || cast(length(text) as varchar), ' ' order by turn, role, length(text)) as listed from conversations group by conv_id""",
+    "turn_restoration": """select conv_id, turn, role, cast(length(text) as int) as n, row_number() over (partition by conv_id order by turn, role, length(text)) as place from conversations""",
     "content_hashes": "select doc_id, sha256(text) as sha256, md5(text) as md5, cast(strlen(text) as bigint) as bytes from documents",
 }

@@ -38,12 +38,27 @@ def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, predicted; one document in seven has no prediction."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 3")
+    """doc_id, predicted, for the documents that have a page."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    docs = table(spark, sf_dir, "documents").join(pages, "doc_id", "left_semi")
     return docs.select("doc_id", F.expr("cast(case when n_chars % 5 = 0 then 0 when n_chars % 11 = 0 then 2 else 1 end as bigint)").alias("predicted"))
 
 
 SCORED_SQL = """
 key as (select l.doc_id, cast(quality as bigint) as expected, toxic = 1 as ambiguous, d.lang as subset from labels l join documents d on l.doc_id = d.doc_id),
-pred as (select doc_id, cast(case when n_chars % 5 = 0 then 0 when n_chars % 11 = 0 then 2 else 1 end as bigint) as predicted from documents where doc_id % 7 <> 3),
+pred as (select doc_id, cast(case when n_chars % 5 = 0 then 0 when n_chars % 11 = 0 then 2 else 1 end as bigint) as predicted from documents where doc_id in (select page_id from pages)),
 scored as (select k.*, p.predicted, case when expected = predicted then 1 else 0 end as hit from key k join pred p on k.doc_id = p.doc_id)"""
+
+
+def draw(k: int, m: int) -> str:
+    """The ``k``-th number below ``m`` of a document, as SQL that ``to_spark`` and ``to_duck`` finish."""
+    return f"(((doc_id * 7919 + {k} * 104729) % 1000003) DIV {k + 1} % {m})"
+
+
+def to_spark(sql: str) -> str:
+    return sql
+
+
+def to_duck(sql: str) -> str:
+    """The same expressions as DuckDB writes them."""
+    return sql.replace(" DIV ", " // ").replace(" as string)", " as varchar)")

@@ -46,7 +46,7 @@ def parse_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     marker = F.when(F.col("doc_id") % 10 == 9, F.concat(F.lit(" "), F.lit(parsing.MARKER))).otherwise(F.lit(parsing.MARKER))
     output = F.concat(F.lit("Thinking.\n"), marker, _spark(BODY), F.lit("\n \n"))
     docs = table(spark, sf_dir, "documents").select("doc_id", output.alias("output"), (F.col("doc_id") % 17 != 0).alias("ok"))
-    return parsing.parse_outputs(docs, "doc_id", "output", F.col("ok"), v3=False).drop("option_index")
+    return parsing.parse_outputs(docs, "doc_id", "output", F.col("ok"), v3=False).drop("option_index", "parse_error")
 
 
 def parse_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +73,10 @@ def trigger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def needs_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    context = F.expr("case doc_id % 3 when 0 then 'An Elder person spoke' when 1 then concat('Maria told ', source) else text end")
-    label = F.col("n_chars") % 3
-    return table(spark, sf_dir, "documents").select("doc_id", answers.needs_verify(context, _options(), label).alias("verify"))
+    """Whole texts as contexts, of documents and of the turns of conversations."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("turn"), "lang", "source", "text", (F.col("n_chars") % 3).alias("label"))
+    turns = table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("doc_id"), "turn", F.lit("en").alias("lang"), F.col("role").alias("source"), "text", (F.col("turn") % 3).alias("label"))
+    return docs.unionByName(turns).select("kind", "doc_id", "turn", answers.needs_verify(F.col("text"), _options(), F.col("label")).alias("verify"))
 
 
 def arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +112,8 @@ def selective_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retry_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = runs(spark, sf_dir)
     base = rows.select("doc_id", F.col("m0").alias("label"), "lang")
-    return decisions.retry_override(base, rows.filter("n_chars % 6 = 0").select("doc_id", F.col("m1").alias("label")), "doc_id")
+    again = rows.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return decisions.retry_override(base, again.select("doc_id", F.col("m1").alias("label")), "doc_id")
 
 
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,9 +165,9 @@ ORACLE = {
 select doc_id, array_to_string(case when status = 'valid' and second is not null and second <> label then list_append(found, 'reasoner_verifier_conflict') else found end, ',') as triggers from s""",
     "trigger_counts": f"""with {_TRIGGER_SQL}, names as (select unnest(['{"', '".join(triggers.TRIGGERS)}']) as trigger), f as (select unnest(found) as x from t)
 select trigger, count(x) as n from names left join f on x = trigger group by trigger""",
-    "needs_verify": f"""with c as (select doc_id, n_chars % 3 as label, case doc_id % 3 when 0 then 'An Elder person spoke' when 1 then concat('Maria told ', source) else text end as context,
-  case when doc_id % 4 = 3 then -1 else 2 end as u from documents)
-select doc_id, (label <> u and regexp_matches(context, '{answers.ANONYMOUS_GROUP}')) or (label = u and regexp_matches(context, '{answers.NAMED}')) as verify from c""",
+    "needs_verify": f"""with c as (select 'document' as kind, doc_id, cast(null as bigint) as turn, n_chars % 3 as label, text as context, case when doc_id % 4 = 3 then -1 else 2 end as u from documents
+union all select 'turn', conv_id, turn, turn % 3, text, case when conv_id % 4 = 3 then -1 else 2 end from conversations)
+select kind, doc_id, turn, (label <> u and regexp_matches(context, '{answers.ANONYMOUS_GROUP}')) or (label = u and regexp_matches(context, '{answers.NAMED}')) as verify from c""",
     "arbitration": f"""with r as ({RUNS_SQL}),
 s as (select doc_id, case when doc_id % 10 <> 0 then cast(m0 as varchar) end as l, case doc_id % 6 when 0 then null when 1 then 'skipped' when 2 then 'parse_failed' else 'verified' end as status,
   cast(m2 as varchar) as after, n_chars % 2 = 0 as defect, n_chars % 5 <> 0 as objective, {KIND} as kind, doc_id % 4 = 0 as unsure from r),
@@ -188,7 +190,7 @@ cast(sum(label) as bigint) as label_sum from c group by lang""",
     "selective_merge": f"""with r as ({RUNS_SQL}), c as (select *, coalesce(case when doc_id % 9 <> 0 then m2 end, m0) as cand from r)
 select doc_id, case when cand <> m0 and ((cand = u and doc_id % 2 = 0) or n_chars % 3 = 0) then cand else m0 end as label,
 case when cand = m0 then 'same' when cand = u and doc_id % 2 = 0 then 'trap' when n_chars % 3 = 0 then 'image' else 'keep' end as reason from c""",
-    "retry_override": f"""with r as ({RUNS_SQL}) select doc_id, case when n_chars % 6 = 0 then m1 else m0 end as label, lang, case when n_chars % 6 = 0 then 'retry' else 'base' end as origin from r""",
+    "retry_override": f"""with r as ({RUNS_SQL}) select doc_id, case when doc_id in (select doc_id from labels) then m1 else m0 end as label, lang, case when doc_id in (select doc_id from labels) then 'retry' else 'base' end as origin from r""",
     "normalised_text": r"""select doc_id, md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g'))) as normal_md5,
 md5(substr(replace(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), chr(10), ' '), 1, 200)) as preview_md5 from documents""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluicework.jobs import governed, outputs, scoring
+from sluicework.jobs import governed, outputs, reviews, scoring, verification
 
-QUERIES: dict = {f.__name__: f for module in (scoring, outputs, governed) for f in module.QUERIES}
-ORACLE: dict[str, str] = {**scoring.ORACLE, **outputs.ORACLE, **governed.ORACLE}
+QUERIES: dict = {f.__name__: f for module in (scoring, outputs, verification, governed, reviews) for f in module.QUERIES}
+ORACLE: dict[str, str] = {**scoring.ORACLE, **outputs.ORACLE, **verification.ORACLE, **governed.ORACLE, **reviews.ORACLE}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The patterns of the ladder.
-ANSWER = r"(?i)answer\s*[:\-]?\s*\**\s*([012])"
+#: The patterns of the ladder. Blanks are those of all of Unicode.
+ANSWER = r"(?i)answer(?U:\s*)[:\-]?(?U:\s*)\**(?U:\s*)([012])"
 DIGIT = r"\b([012])\b"
 UNKNOWN = r"(?i)not enough|cannot|can.?t be|can.?t answer|undetermined|undeterminable|not known|unknown|not answerable|no answer|not determinable|can.?t tell|not sure|not be determined"
 ANONYMOUS_GROUP = r"\bAn? [A-Z][a-z]+(?:-[A-Z][a-z]+)? person\b"

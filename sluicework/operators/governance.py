@@ -15,10 +15,13 @@ def first_failure(rules: Sequence[tuple[str, Column]]) -> Column:
 
 def person_boxes(boxes: DataFrame, rules: Sequence[tuple[str, Column]], group: str, order: Sequence[str], least: int = 2, most: int = 4) -> tuple[DataFrame, DataFrame]:
     """(kept groups, counters): rows that break a rule are counted under the first they break, groups are kept if ``least`` to
-    ``most`` rows remain, and their rows are listed in order. One shuffle serves the groups; counters are partial sums."""
+    ``most`` rows remain, and their rows are listed in order. Groups are counted before any
+    is listed, so that none of another size is ever gathered; counters are partial sums."""
     judged = boxes.withColumn("failure", first_failure(rules))
     counters = judged.groupBy(F.coalesce("failure", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n"))
-    kept = judged.filter("failure is null").groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("boxes")).filter(F.size("boxes").between(least, most))
+    eligible = judged.filter("failure is null").select(group, *order)
+    fitting = eligible.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n")).filter(F.col("_n").between(least, most))
+    kept = eligible.join(fitting, F.col(group).eqNullSafe(F.col("_group"))).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("boxes"))
     return kept, counters
 
 

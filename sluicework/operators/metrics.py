@@ -64,18 +64,36 @@ def macro_label_recall(rows: DataFrame, expected: str, labels: Sequence[int] = (
 def nearest_rank(df: DataFrame, group: str, value: str, share: float, accuracy: int = 10_000) -> DataFrame:
     """(group, n, value at place ceil(share * n) in ascending order), exactly, without sorting any group as a whole.
 
-    An approximate quantile sketch brackets the place; only rows within the bracket are ranked, after the rows below it are
-    counted. Null values are left out.
+    An approximate quantile sketch brackets the place. Rows are counted by value, and only the distinct values within the
+    bracket are ranked by a running sum, so that a value that fills much of a group is one row. Null values are left out.
     """
     rows = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
     slack = 3 / accuracy
     ends = F.percentile_approx("v", [max(0.0, share - slack), min(1.0, share + slack)], accuracy)
     bounds = rows.groupBy("g").agg(F.count("*").alias("n"), ends.alias("e")).select("g", "n", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
-    placed = rows.join(bounds, "g")
-    below = placed.groupBy("g").agg(F.sum((F.col("v") < F.col("lo")).cast("long")).alias("below"))
-    ranked = placed.filter("v between lo and hi").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("v")))
-    place = F.ceil(F.lit(share).cast("decimal(10,6)") * F.col("n"))
-    return ranked.join(below, "g").filter(F.col("r") == place - F.col("below")).select(F.col("g").alias(group), "n", F.col("v").alias("value"))
+    placed = rows.groupBy("g", "v").agg(F.count("*").alias("c")).join(bounds, "g")
+    below = placed.groupBy("g").agg(F.sum(F.when(F.col("v") < F.col("lo"), F.col("c")).otherwise(0)).alias("below"))
+    upto = F.sum("c").over(Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.filter("v between lo and hi").withColumn("r", upto)
+    place = F.ceil(F.lit(share).cast("decimal(10,6)") * F.col("n")) - F.col("below")
+    return ranked.join(below, "g").filter((F.col("r") >= place) & (F.col("r") - F.col("c") < place)).select(F.col("g").alias(group), "n", F.col("v").alias("value"))
+
+
+def accuracy_by_subset(rows: DataFrame, subsets: str, names: Sequence[str]) -> DataFrame:
+    """``accuracy_by`` for rows that belong to several subsets (an array): a row counts once in each."""
+    return accuracy_by(rows.select("hit", F.explode(F.array_distinct(subsets)).alias("subset")), F.col("subset"), names)
+
+
+def failure_rates(rows: DataFrame, parse_valid: str, image_loaded: str, unresolved: str) -> DataFrame:
+    """One row of shares: parses and images that failed, and what stayed unresolved. An unknown value is a parse that is
+    valid, an image that is loaded, a row that is resolved."""
+    tests = {
+        "parse_failure_rate": ~F.coalesce(parse_valid, F.lit(True)),
+        "image_load_failure_rate": ~F.coalesce(image_loaded, F.lit(True)),
+        "unresolved_rate": F.coalesce(unresolved, F.lit(False)),
+    }
+    counts = rows.agg(F.count("*").alias("n"), *[F.count_if(t).alias(k) for k, t in tests.items()])
+    return counts.select("n", *[ratio(F.col(k), F.col("n")).alias(k) for k in tests])
 
 
 def selection_errors(rows: DataFrame, expected: str, predicted: str, unknown: Column) -> DataFrame:

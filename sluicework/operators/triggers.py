@@ -109,7 +109,7 @@ def triggers(status: Column, flags: Column, label: Column, uncertain: Column, ev
         "ambiguous_visual_grounding": person & (evidence_type == "objective_visible_evidence") & ~grounded(normal),
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(name)) for name, t in tests.items()]))
-    invalid = (status != "valid") | F.coalesce(F.array_contains(flags, "invalid_parse"), F.lit(False))
+    invalid = ~status.eqNullSafe(F.lit("valid")) | F.coalesce(F.array_contains(flags, "invalid_parse"), F.lit(False))
     return F.when(invalid, F.array(F.lit("invalid_parse"))).otherwise(found)
 
 

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluicework.scratch import cut
+
 
 def with_ordinal(df: DataFrame, first: int = 1) -> DataFrame:
     """``df`` with ``ordinal``: the place of each row in the order of its files and of the rows within them.
 
-    Rows are numbered within their partition, and partitions are offset by the counts before them; only one count per
-    partition is gathered, and no row changes place.
+    Rows are numbered within their partition and written with their numbers, so that the input is evaluated once, whatever
+    order it might have the next time; partitions are then offset by the counts before them, one for each.
     """
-    marked = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    marked = cut(df.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftrightunsigned("_at", 33))
     counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", before.alias("_before"))
@@ -23,8 +25,19 @@ def with_ordinal(df: DataFrame, first: int = 1) -> DataFrame:
     return marked.join(F.broadcast(offsets), "_part").withColumn("ordinal", place).drop("_at", "_part", "_before")
 
 
+def in_order(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """``df`` with ``place``: the place of each row within its group, from 1. Rows are dealt in ranges of group and order, so
+    that a group of very many rows is spread over tasks."""
+    ranged = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    placed = with_ordinal(ranged)
+    firsts = placed.groupBy(F.col(group).alias("_group")).agg(F.min("ordinal").alias("_first"))
+    return placed.join(firsts, F.col(group).eqNullSafe(F.col("_group"))).withColumn("place", F.col("ordinal") - F.col("_first") + 1).drop("_group", "_first", "ordinal")
+
+
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path).columns
+    """The names in the first record of a CSV file, as they stand there: repeated ones are not renamed."""
+    first = spark.read.options(header=False, multiLine=True, quote='"', escape='"').csv(path).first()
+    return [] if first is None else [x or "" for x in first]
 
 
 def read_rows(spark: SparkSession, path: str, required: Sequence[str], exact: bool = False) -> DataFrame:

@@ -21,6 +21,20 @@ def test_csv_rows_have_ordinals(spark, tmp_path):
         tables.read_rows(spark, str(path), ["sample_id", "context"], exact=True)
 
 
+def test_repeated_columns_are_an_error(spark, tmp_path):
+    path = tmp_path / "b.csv"
+    path.write_text("a,b,b\n1,2,3\n")
+    with pytest.raises(ValueError, match="repeated \\['b'\\]"):
+        tables.read_rows(spark, str(path), ["a", "b"])
+
+
+def test_places_within_groups(spark):
+    rows = [(k % 3, k) for k in range(50)] + [(None, 1), (0, 0)]
+    got = tables.in_order(spark.createDataFrame(rows, "g long, t long").repartition(5), "g", "t").collect()
+    groups = {g: sorted(t for x, t in rows if x == g) for g in (None, 0, 1, 2)}
+    assert sorted((str(r.g), r.place, r.t) for r in got) == sorted((str(g), k + 1, t) for g, x in groups.items() for k, t in enumerate(x))
+
+
 def test_ordinals_follow_rows(spark):
     df = tables.with_ordinal(spark.range(1000).repartition(7).sortWithinPartitions("id"))
     assert sorted(r.ordinal for r in df.collect()) == list(range(1, 1001))

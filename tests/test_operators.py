@@ -9,9 +9,7 @@ from sluicework.operators.components import connected_components
 GOOD = '{"label":"0","uncertainty_option_index":2,"evidence":"e","evidence_type":"elimination","uncertainty_signal":false,"protected_attribute_risk":false,"schema_version":"reasoner_output_v3"}'
 
 
-@pytest.mark.parametrize(
-    ("body", "status"),
-    [
+BODIES = [
         (GOOD, "valid"),
         (GOOD.replace('"label":"0"', '"label":"0","label":"0"'), "invalid_json"),
         (GOOD.replace("2,", "NaN,", 1), "invalid_json"),
@@ -30,10 +28,24 @@ GOOD = '{"label":"0","uncertainty_option_index":2,"evidence":"e","evidence_type"
         (GOOD.replace("signal\":false", 'signal":true'), "invalid_schema"),
         (GOOD.replace('"label":"0"', '"label":"2"').replace("signal\":false", 'signal":true'), "invalid_schema"),
         (GOOD.replace("elimination", "insufficient_evidence"), "invalid_schema"),
-    ],
-)
-def test_strict_answer(body, status):
-    assert parsing.check_answer(body, v3=True)[0] == status
+        (GOOD.replace('"e"', '"\\ud800"'), "invalid_schema"),
+        ("{}", "invalid_schema"),
+        ("", "invalid_json"),
+        ("[" * 200_000, "invalid_json"),
+]
+
+
+@pytest.fixture(scope="module")
+def answers_parsed(spark):
+    rows = [(i, parsing.MARKER + b) for i, (b, _) in enumerate(BODIES)]
+    got = parsing.parse_outputs(spark.createDataFrame(rows, "id long, o string"), "id", "o", F.lit(True)).collect()
+    assert all((r.parse_error is None) == (r.parse_status == "valid") and (r.parse_error or "sample ").startswith("sample ") for r in got)
+    return {BODIES[r.id][0]: r.parse_status for r in got}
+
+
+@pytest.mark.parametrize(("body", "status"), BODIES)
+def test_strict_answer(answers_parsed, body, status):
+    assert answers_parsed[body] == status
 
 
 def test_parse_outputs_settles_lines(spark):
@@ -44,7 +56,7 @@ def test_parse_outputs_settles_lines(spark):
 
 def test_answer_ladder(spark):
     options = ["Ann", "Bob", "Cannot be determined"]
-    rows = [("Answer: **1", 1, "answer_pattern"), ("answer 0 then Answer-2", 2, "answer_pattern"), ("pick 1 or 0", 0, "digit_pattern"), ("it is BOB", 1, "option_text"), ("none", 2, "unknown_fallback"), ("", 2, "unknown_fallback"), (None, 2, "unknown_fallback")]
+    rows = [("Answer: **1", 1, "answer_pattern"), ("answer 0 then Answer-2", 2, "answer_pattern"), ("pick 1 or 0", 0, "digit_pattern"), ("it is BOB", 1, "option_text"), ("none", 2, "unknown_fallback"), ("answer\u00a0: 1, not 0", 1, "answer_pattern"), ("답은 answer\u3000- 2 이고 0", 2, "answer_pattern"), ("", 2, "unknown_fallback"), (None, 2, "unknown_fallback")]
     df = spark.createDataFrame([(r[0], options) for r in rows], "t string, o array<string>").select(answers.answer_ladder(F.col("t"), F.col("o")).alias("a"))
     assert [(r.a.label, r.a.method) for r in df.collect()] == [r[1:] for r in rows]
 
@@ -124,3 +136,33 @@ def test_first_wins_keeps_null_keys(spark):
     assert got.columns == ["doc_id", "text", "reason"]
     want = {1: "accepted", 2: "accepted", 3: "near_duplicate", 4: "exact_duplicate", 5: "near_duplicate"}  # as first_value and = give in SQL
     assert sorted((r.doc_id, r.reason) for r in got.collect()) == sorted(want.items())
+
+
+def test_null_status_is_no_valid_parse(spark):
+    df = spark.createDataFrame([(None, "0"), ("valid", "0"), ("invalid_json", "0")], "s string, l string")
+    none = F.array().cast("array<string>")
+    got = [r[0] for r in df.select(triggers.triggers(F.col("s"), none, F.col("l"), F.lit(False), F.lit("elimination"), F.lit("stated fact"))).collect()]
+    assert got == [["invalid_parse"], [], ["invalid_parse"]]
+
+
+def test_verifier_outputs(spark):
+    good = '{"label":"2","reason":"r","evidence_type":"insufficient_evidence","reasoner_defect_found":true,"objective_support":false}'
+    rows = [(good, "valid"), (good.replace('"2"', '"1"'), "invalid_schema"), (good.replace('support":false', 'support":true'), "invalid_schema"), (good.replace('"r"', '"\\t"'), "invalid_schema"), (good.replace('"2"', "2"), "invalid_label"), (good[:-1], "invalid_json")]
+    df = spark.createDataFrame([(i, f"x\n{parsing.VERIFIER_MARKER}{b}\n") for i, (b, _) in enumerate(rows)] + [(98, good), (99, None)], "id long, o string")
+    got = {r.id: r for r in parsing.parse_verifications(df, "id", "o").collect()}
+    assert [got[i].parse_status for i in range(len(rows))] == [s for _, s in rows] and got[98].parse_status == got[99].parse_status == "missing_marker"
+    assert got[0].reasoner_defect_found is True and got[0].parse_error is None and got[1].label is None
+
+
+def test_nearest_rank_of_ties(spark):
+    values = [(1, float(v)) for v in [5] * 91 + [1] * 4 + [9] * 5] + [(2, 3.0)] * 1000
+    got = metrics.nearest_rank(spark.createDataFrame(values, "g long, v double"), "g", "v", 0.95).collect()
+    assert {r.g: r.value for r in got} == {1: 5.0, 2: 3.0}
+
+
+def test_person_boxes_gather_fitting_groups_only(spark):
+    from sluicework.operators import governance
+
+    rows = [(g, i) for g, n in ((1, 1), (2, 2), (4, 4), (5, 5)) for i in range(n)] + [(None, 1), (None, 2)]
+    kept, counters = governance.person_boxes(spark.createDataFrame(rows, "g long, i long"), (("one", F.col("i") == 9),), "g", ("i",))
+    assert {r.g: len(r.boxes) for r in kept.collect()} == {2: 2, 4: 4, None: 2} and counters.count() == 1
