@@ -21,7 +21,7 @@ SEED = 3
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words that a task counts, or remembers the hashes of; it bounds its memory.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 #: 64-bit words of a filter at most (64 MB), which is what tasks receive.
 FILTER_WORDS = 1 << 23
 

@@ -20,7 +20,7 @@ SHINGLE = 5
 #: Bands of ROWS values each; half of them hold minima, half maxima. A pair of similarity s meets in one of them but for a
 #: share of (1 - s**5)**42: at 0.75, 1 pair in 80,000; at 0.8, 1 in 20 million.
 BANDS, ROWS = 42, 5
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 CHUNK = 512
 #: Members of a group, and shingles of their sets, that one block holds; a task compares two blocks with each other.
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
