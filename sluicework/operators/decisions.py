@@ -74,6 +74,23 @@ def selective_merge(base: Column, candidate: Column, unknown: Column, context: C
     return F.when(cand == base, out(base, "same")).when(trap, out(cand, "trap")).when(cites, out(cand, "image")).otherwise(out(base, "keep"))
 
 
+def trap_merge(base: Column, candidate: Column, unknown: Column, context: Column, question: Column, likely: str) -> Column:
+    """The candidate's label where it turns to uncertainty on an anonymous group and the question asks what is likely, else
+    the base's; a missing candidate changes nothing."""
+    turns = (candidate != base) & (candidate == unknown) & context.rlike(ANONYMOUS_GROUP) & question.rlike(likely)
+    return F.when(F.coalesce(turns, F.lit(False)), candidate).otherwise(base)
+
+
+def repair_merge(source: DataFrame, repair: DataFrame, on: str, status: str, origin: tuple[str, str]) -> DataFrame:
+    """``source`` with its invalid rows replaced by the valid rows of ``repair``, and ``origin_run_id``, the run that each row is
+    from. Rows that no repair has stay invalid; repairs of valid rows are not taken."""
+    fixed = repair.filter(F.col(status) == "valid").select(F.col(on).alias("_on"), F.struct(*[c for c in source.columns if c != on]).alias("_fixed"))
+    joined = source.join(fixed, F.col(on) == F.col("_on"), "left")
+    taken = F.col("_on").isNotNull() & ~F.col(status).eqNullSafe(F.lit("valid"))
+    rest = [F.when(taken, F.col(f"_fixed.{c}")).otherwise(F.col(c)).alias(c) for c in source.columns if c != on]
+    return joined.select(on, *rest, F.when(taken, origin[1]).otherwise(origin[0]).alias("origin_run_id"))
+
+
 def retry_override(base: DataFrame, retries: DataFrame, on: str) -> DataFrame:
     """``base`` with the columns of ``retries`` in place of its own wherever a retry has the id; ``origin`` tells which."""
     given = retries.withColumn("_retry", F.lit(True))

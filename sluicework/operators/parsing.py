@@ -65,14 +65,18 @@ _TEXTS = pa.map_(pa.string(), pa.string())
 
 
 def decoded(rows: DataFrame, row_id: str, output: str, marker: str) -> DataFrame:
-    """``row_id``, and what stands behind ``marker`` at the start of the last line of ``output``: whether it is ``marked``, the
-    ``error`` if it is no strict JSON, and the ``kinds`` and ``texts`` of its keys, null if it is no object.
+    """``decoded_json`` of what stands behind ``marker`` at the start of the last line of ``output``."""
+    line = last_line(F.coalesce(F.col(output), F.lit("")))
+    return decoded_json(rows, row_id, F.when(F.startswith(line, F.lit(marker)), F.substring(line, len(marker) + 1, 2**31 - 1)))
+
+
+def decoded_json(rows: DataFrame, row_id: str, body: Column) -> DataFrame:
+    """``row_id``, whether there is a body (``marked``), the ``error`` if it is no strict JSON, and the ``kinds`` and ``texts`` of
+    its keys, null if it is no object.
 
-    Only the JSON of marked lines goes through Python, in Arrow batches, because no built-in function rejects repeated keys,
-    trailing text and numbers for strings at once. The rules on the values are column expressions.
+    The JSON goes through Python, in Arrow batches, because no built-in function rejects repeated keys, trailing text and
+    numbers for strings at once. The rules on the values are column expressions.
     """
-    line = last_line(F.coalesce(F.col(output), F.lit("")))
-    body = F.when(F.startswith(line, F.lit(marker)), F.substring(line, len(marker) + 1, 2**31 - 1))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +156,7 @@ def parse_outputs(rows: DataFrame, row_id: str, output: str, source_ok: Column,
     A source that failed, or gave no output, is settled without looking at it; ``failure`` says why. Errors name the sample;
     fields are null unless the status is valid.
     """
-    said = F.lit(None).cast("string") if failure is None else failure
+    said = F.when(~F.coalesce(source_ok, F.lit(False)), F.lit("raw Reasoner failed") if failure is None else failure)
     failed = ~F.coalesce(source_ok, F.lit(False)) | F.col(output).isNull()
     staged = rows.select(F.struct(F.col(row_id).alias("id"), failed.alias("failed"), said.alias("said")).alias("source"), F.when(~failed, F.col(output)).alias("output"))
     found = decoded(staged, "source", "output", MARKER)
@@ -173,7 +177,7 @@ def parse_outputs(rows: DataFrame, row_id: str, output: str, source_ok: Column,
         field("uncertainty_signal", "boolean", "uncertainty_signal"),
         field("protected_attribute_risk", "boolean", "protected_attribute_risk"),
         field("uncertainty_option_index", "int", "option_index"),
-        F.when(failed, F.concat(name, "source.said")).otherwise(F.concat(name, schema, fault["error"])).alias("parse_error"),
+        F.when(failed, F.concat(name, F.coalesce("source.said", F.lit("generated row is missing string raw_output")))).otherwise(F.concat(name, schema, fault["error"])).alias("parse_error"),
     )
 
 
@@ -208,3 +212,29 @@ def parse_verifications(rows: DataFrame, row_id: str, output: str) -> DataFrame:
     fault = first_fault(verifier_rules())
     fields = [F.when(fault.isNull(), F.col("texts")[k]).cast(t).alias(k) for k, t in zip(VERIFIER_KEYS, ("string",) * 3 + ("boolean",) * 2, strict=True)]
     return found.select(row_id, F.coalesce(fault["status"], F.lit("valid")).alias("parse_status"), *fields, fault["error"].alias("parse_error"))
+
+
+def first_object(rows: DataFrame, row_id: str, output: str) -> DataFrame:
+    """(id, found): the first JSON object in every output, as compact JSON with sorted keys, null without one.
+
+    For outputs with wrapping text: the search begins behind the last marker, or at the start without one, and tries every
+    brace in turn. Python in Arrow batches, as nothing built in decodes a prefix.
+    """
+
+    def search(text: str | None) -> str | None:
+        text = (text or "").rpartition(MARKER)[2]
+        at = text.find("{")
+        while at >= 0:
+            try:
+                value, _ = json.JSONDecoder().raw_decode(text, at)
+                return _plain(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+            except (ValueError, RecursionError):
+                at = text.find("{", at + 1)
+        return None
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(search, batch.column(1).to_pylist())), pa.string())], names=[row_id, "found"])
+
+    kind = rows.schema[row_id].dataType.simpleString()
+    return rows.select(row_id, output).mapInArrow(find, f"`{row_id}` {kind}, found string")
