@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicework.llm.bpe import decode_documents, encode_documents
 from sluicework.llm.decontaminate import find_contamination
 from sluicework.llm.languages import identify_language, learn_languages
 from sluicework.llm.licenses import license_scan
@@ -102,8 +103,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), BYTE_TOKENIZER), BYTE_TOKENIZER)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_packing, op3_secret_scan, op4_url_filter, op5_language_id, op6_token_files, op7_token_counts, op8_license_scan, op9_quality_rules, op10_decontaminate)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_near_duplicates, op2_packing, op3_secret_scan, op4_url_filter, op5_language_id, op6_token_files, op7_token_counts, op8_license_scan, op9_quality_rules, op10_decontaminate,
+            op13_bpe_round_trip,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
