@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicework.llm.bpe import decode_documents, encode_documents
+from sluicework.llm.codes import vector_codes
 from sluicework.llm.decontaminate import find_contamination
 from sluicework.llm.languages import identify_language, learn_languages
 from sluicework.llm.licenses import license_scan
 from sluicework.llm.near_dup import near_duplicates
+from sluicework.llm.negatives import hard_negatives
 from sluicework.llm.packing import pack_documents
 from sluicework.llm.quality import quality_rules
 from sluicework.llm.secrets import digest, secret_spans
@@ -103,6 +105,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), BYTE_TOKENIZER), BYTE_TOKENIZER)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
@@ -113,7 +124,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_near_duplicates, op2_packing, op3_secret_scan, op4_url_filter, op5_language_id, op6_token_files, op7_token_counts, op8_license_scan, op9_quality_rules, op10_decontaminate,
-            op13_bpe_round_trip,
+            op11_hard_negatives, op12_vector_codes, op13_bpe_round_trip,
         )
     }
 

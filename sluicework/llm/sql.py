@@ -83,3 +83,44 @@ s as (select r, count(*) filter (kind = 'assign') as a, count(*) filter (kind =
   string_agg(kind || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, ord) filter (ord < 3) as base from judged group by r)
 select doc_id, coalesce(a, 0) as n_assign, coalesce(c, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
 coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied, coalesce(spread, '') as owners_repos from d left join s on d.r = s.r"""
+
+_TAKES_PART = "embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"
+
+
+def _integers(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: floor({scale} * cast(x as double)))"
+
+
+op11_hard_negatives = f"""
+with e as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_integers(256)} as q
+  from embeddings where label is not null and {_TAKES_PART}),
+s as (select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id as other, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score
+  from e a join e b on a.vec_id % 100 = 0 and a.r <> b.r),
+p as (select *, row_number() over (partition by ar order by score desc, other nulls last, br) as k from s where same),
+n as (select anchor_id, p.other as positive_id, cast(row_number() over (partition by p.ar, p.k order by s.score desc, s.other nulls last, s.br) as integer) as rank,
+    s.other as negative_id, p.score as positive_score, s.score as negative_score
+  from p join s using (ar, anchor_id) where p.k <= 5 and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select * from n where rank <= 10"""
+
+
+def _assigned(books: str) -> str:
+    """Each part's nearest entry, the lower number of equals; distances are integers, so that 256 d + e orders both."""
+    return f"""select r, p, v, min(256 * cast(vv - 2 * list_inner_product(v, c) + list_inner_product(c, c) as bigint) + e) as found from parts join {books} using (p) group by r, p, v"""
+
+
+_ROUNDS = ",\n".join(
+    f"""a{k} as ({_assigned(f"b{k}")}),
+m{k} as (select p, e, pos, floor(sum(x) / count(*)) as x from (select p, found % 256 as e, unnest(range(1, len(v) + 1)) as pos, unnest(v) as x from a{k}) group by p, e, pos),
+b{k + 1} as (select b.p, b.e, coalesce(m.c, b.c) as c from b{k} b left join (select p, e, list(x order by pos) as c from m{k} group by p, e) m on b.p = m.p and b.e = m.e)"""
+    for k in range(4)
+)
+
+op12_vector_codes = f"""
+with kept as (select row_number() over (order by vec_id nulls last, embedding) - 1 as r, vec_id, label, {_integers(1024)} as q from embeddings where {_TAKES_PART}),
+parts as (select r, p, v, list_inner_product(v, v) as vv from (select r, p, list_slice(q, p * (len(q) // 4) + 1, (p + 1) * (len(q) // 4)) as v from (select r, q, unnest(range(4)) as p from kept))),
+b0 as (select p, r as e, v as c from parts where r < 256),
+{_ROUNDS},
+z as ({_assigned("b4")}),
+coded as (select r, string_agg(lower(printf('%02x', found % 256)), '' order by p) as code, cast(sum(found // 256) as bigint) as error from z group by r),
+digest as (select sha256(string_agg(cast(cast(x as bigint) as varchar), ',' order by p, e, pos)) as codebooks_sha256 from (select p, e, unnest(range(1, len(c) + 1)) as pos, unnest(c) as x from b4))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded join kept using (r), digest"""
