@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluicework.jobs import artifacts, governed, outputs, reviews, scoring, verification
+from sluicework.jobs import artifacts, governed, outputs, profiles, reviews, scoring, verification
 
-QUERIES: dict = {f.__name__: f for module in (scoring, outputs, verification, governed, reviews, artifacts) for f in module.QUERIES}
-ORACLE: dict[str, str] = {**scoring.ORACLE, **outputs.ORACLE, **verification.ORACLE, **governed.ORACLE, **reviews.ORACLE, **artifacts.ORACLE}
+QUERIES: dict = {f.__name__: f for module in (scoring, outputs, verification, governed, reviews, artifacts, profiles) for f in module.QUERIES}
+ORACLE: dict[str, str] = {**scoring.ORACLE, **outputs.ORACLE, **verification.ORACLE, **governed.ORACLE, **reviews.ORACLE, **artifacts.ORACLE, **profiles.ORACLE}
