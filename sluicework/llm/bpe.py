@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -18,6 +20,9 @@ from sluicework.llm.tokens import WORD_AND_MARKS, TextMemo, byte_chunks, in_runs
 
 #: Bits of a queue entry that hold the place; the rank stands above them.
 _PLACE = 40
+_AT = (1 << _PLACE) - 1
+#: Chunks that a worker remembers, in each of two generations.
+MEMO_CHUNKS = 400_000
 
 
 class Merges(NamedTuple):
@@ -66,35 +71,38 @@ def merge(data: bytes, merges: Merges) -> list[int]:
     """Ids of one pre-token: the pair of least rank, leftmost first, is merged until no pair has a rank.
 
     Symbols are linked both ways, so that a merge is a change of links. The queue holds rank and place of every pair that
-    has come up. An entry whose place has no pair of that rank any more is stale and skipped: a rank belongs to one pair only,
-    so no more need be remembered. n bytes take O(n log n) time and O(n) memory.
+    has come up; an entry is stale, and skipped, unless the pair at its place still has that rank. n bytes take O(n log n) time
+    and O(n) memory.
     """
     size, first, at_first, ranks, made, _ = merges
     symbol = [first[b] for b in data]
     n = len(symbol)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    pair = [at_first[a << 8 | b] for a, b in zip(data, data[1:], strict=False)]
+    pair.append(-1)
     known, push, pop = ranks.get, heapq.heappush, heapq.heappop
-    queue = [r << _PLACE | k for k, (a, b) in enumerate(zip(data, data[1:], strict=False)) if (r := at_first[a << 8 | b]) >= 0]
+    queue = [r << _PLACE | k for k, r in enumerate(pair) if r >= 0]
     heapq.heapify(queue)
-    mask = (1 << _PLACE) - 1
     while queue:
         entry = pop(queue)
-        at, rank = entry & mask, entry >> _PLACE
-        right = after[at] if symbol[at] >= 0 else n
-        if right >= n or known(symbol[at] * size + symbol[right]) != rank:
+        at, rank = entry & _AT, entry >> _PLACE
+        if pair[at] != rank:
             continue
-        symbol[at], symbol[right] = made[rank], -1
-        right = after[at] = after[right]
-        if right < n:
-            before[right] = at
-            new = known(symbol[at] * size + symbol[right])
-            if new is not None:
-                push(queue, new << _PLACE | at)
+        right = after[at]
+        then = after[right]
+        new = symbol[at] = made[rank]
+        symbol[right] = pair[right] = pair[at] = -1
+        after[at] = then
+        if then < n:
+            before[then] = at
+            r = pair[at] = known(new * size + symbol[then], -1)
+            if r >= 0:
+                push(queue, r << _PLACE | at)
         left = before[at]
         if left >= 0:
-            new = known(symbol[left] * size + symbol[at])
-            if new is not None:
-                push(queue, new << _PLACE | left)
+            r = pair[left] = known(symbol[left] * size + new, -1)
+            if r >= 0:
+                push(queue, r << _PLACE | left)
     return [s for s in symbol if s >= 0]
 
 
@@ -113,7 +121,12 @@ def _memo(path: str) -> TextMemo:
             return merge(chunk.encode(), merges)
         return [i for word, _ in split(chunk) for i in merge(bytes(letters[c] for c in word), merges)]
 
-    return TextMemo(lambda chunks: [np.array(ids(c), "<u4").tobytes() for c in chunks], b"".join, False)
+    memo = TextMemo(lambda chunks: [array("I", ids(c)).tobytes() for c in chunks], b"".join, False)
+    memo.parts.limit = memo.chunks.limit = MEMO_CHUNKS
+    return memo
+
+
+assert array("I").itemsize == 4 and sys.byteorder == "little"  # ids are written as they lie in memory
 
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
