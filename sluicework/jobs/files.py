@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicework.jobs.inputs import draw, table, to_duck, to_spark
+from sluicework.operators import images
 from sluicework.scratch import Scratch
 from sluicework.sources import csv_scan
+from sluicework.sources.tables import read_files
 
 HEADER = ("doc_id", "text", "lang")
 _SHAPE = draw(201, 16)
@@ -35,8 +40,74 @@ def csv_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.coalesce("id", "id_before").try_cast("long").alias("doc_id"), "code", told.alias("message"))
 
 
-QUERIES = (csv_defects,)
+#: What an item's file begins with, and the path that its listing names.
+_FORM = draw(211, 6).replace("doc_id", "item_id")
+HEAD = f"case {_FORM} when 0 then 'GIF89a' when 1 then 'GIF87a' when 2 then 'RIFF0000WEBP' when 3 then 'RIFF0000WAVE' when 4 then 'GIF88a' else '' end"
+
+
+def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each item of the benchmark, with its text behind the first bytes of some format, or of none; the listing
+    names items that have no file, folders and files twice as well."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.expr(HEAD), F.coalesce("text", F.lit(""))).alias("value"))
+    scratch = Scratch(spark, "images")
+    items.filter(f"{_FORM.replace(' DIV ', ' div ')} < 5 or item_id % 2 = 0").withColumnRenamed("item_id", "item").repartition("item").write.partitionBy("item").text(scratch.path("files"))
+    files = read_files(spark, scratch.path("files")).withColumn("path", F.regexp_replace("path", "/part-[^/]*$", "/image")).filter(F.startswith("path", F.lit("item=")))
+    names = items.select("item_id", F.explode(F.array(F.concat(F.lit("item="), F.col("item_id").cast("string"), F.lit("/image")), F.concat(F.lit("item="), F.col("item_id").cast("string")))).alias("path"))
+    return images.load_images(names, files).select("item_id", "path", "status", "format", "error", "sha256")
+
+
+#: Damage done to a document's image: none, or one of these.
+DAMAGE = ("none", "cut", "flip", "no_end", "size_0", "two_heads", "not_packed", "half_packed", "behind", "end_data", "text", "gif", "gif_cut", "webp", "webp_cut", "jpeg", "jpeg_cut")
+_DAMAGE = draw(212, 2 * len(DAMAGE))
+
+
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+
+
+def _image(text: str, damage: str) -> bytes:
+    """An image whose pixels are a text, damaged in some way."""
+    data = text.encode()
+    if damage.startswith(("gif", "webp", "jpeg", "text")):
+        whole = {"gif": b"GIF89a" + data + b"........;", "webp": b"RIFF" + (len(data) + 16).to_bytes(4, "little") + b"WEBP" + data + b"." * 12, "jpeg": b"\xff\xd8\xff" + data + b"...\xff\xd9", "text": b"text" + data}[damage.removesuffix("_cut")]
+        return whole[:-1] if damage.endswith("_cut") else whole
+    head = _chunk(b"IHDR", (0 if damage == "size_0" else 7).to_bytes(4, "big") + b"\0\0\0\1\x08\0\0\0\0")
+    packed = zlib.compress(data, 1)
+    packed = {"not_packed": b"?" + data, "half_packed": packed[:-4]}.get(damage, packed)
+    middle = _chunk(b"IDAT", packed[: len(packed) // 2]) + _chunk(b"tEXt", b"x") + _chunk(b"IDAT", packed[len(packed) // 2 :])
+    end = {"no_end": b"", "end_data": _chunk(b"IEND", b"x")}.get(damage, _chunk(b"IEND", b""))
+    found = b"\x89PNG\r\n\x1a\n" + head * (2 if damage == "two_heads" else 1) + middle + end + (b"x" if damage == "behind" else b"")
+    if damage == "flip":
+        found = found[:-20] + bytes([found[-20] ^ 1]) + found[-19:]
+    return found[:-13] if damage == "cut" else found
+
+
+def image_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as pixels of images, every other one damaged."""
+
+    def draw_images(batches):
+        for batch in batches:
+            made = [_image(t or "", DAMAGE[k] if k < len(DAMAGE) else "none") for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "content"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(to_spark(_DAMAGE)).cast("int").alias("damage"))
+    return images.structure_faults(docs.mapInArrow(draw_images, "doc_id long, content binary"), "doc_id", "content")
+
+
+_FAULTS = {
+    "cut": "truncated PNG chunk", "flip": "invalid PNG checksum", "no_end": "incomplete PNG", "size_0": "invalid PNG dimensions", "two_heads": "invalid PNG header",
+    "not_packed": "invalid PNG pixel data: Error -3 while decompressing data: incorrect header check", "half_packed": "invalid PNG pixel data: Error -5 while decompressing data: incomplete or truncated stream",
+    "behind": "incomplete PNG", "end_data": "invalid PNG end marker", "text": "unsupported image container", "gif_cut": "incomplete GIF", "webp_cut": "incomplete WEBP", "jpeg_cut": "incomplete JPEG",
+}
+QUERIES = (csv_defects, image_scan, image_structure)
 ORACLE = {
+    "image_structure": to_duck(f"""select doc_id, 'image decode failed: ' || case {_DAMAGE} {" ".join(f"when {DAMAGE.index(k)} then '{v}'" for k, v in _FAULTS.items())} end as fault from documents"""),
+    "image_scan": to_duck(f"""with b as (select item_id, {HEAD} as head, text, {_FORM} < 5 or item_id % 2 = 0 as there from benchmark),
+l as (select *, 'item=' || item_id || '/image' as path, false as folder from b union all select *, 'item=' || item_id, true from b),
+s as (select *, case when not there then 'missing' when folder then 'unreadable' when head in ('GIF89a', 'GIF87a', 'RIFF0000WEBP') then 'loaded' else 'corrupt' end as status from l)
+select item_id, path, status, case when status = 'loaded' then case when starts_with(head, 'GIF') then 'gif' else 'webp' end end as format,
+ case status when 'missing' then 'image path does not exist: ' when 'unreadable' then 'image path is not a regular file: ' when 'corrupt' then 'unsupported or corrupt image bytes: ' end || path as error,
+ case when status = 'loaded' then sha256(head || coalesce(text, '') || chr(10)) end as sha256 from s"""),
     "csv_defects": to_duck(f"""with d as (select doc_id, {_SHAPE} as shape from documents)
 select doc_id, case shape when 0 then 'arity' when 1 then 'arity' when 2 then 'blank' else 'quotes' end as code,
  case shape when 0 then 'row has 2 fields; expected 3' when 1 then 'row has 4 fields; expected 3' when 2 then 'artifact contains blank row' else 'row is malformed CSV' end as message from d where shape < 4"""),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sluicework.functions import paths
 from sluicework.jobs.inputs import draw, table, to_duck, to_spark
 from sluicework.operators import records
+from sluicework.operators.images import image_format
 from sluicework.operators.rules import all_faults, joined, ladder
 
 ROOT = "/data/images"
@@ -78,7 +79,7 @@ def record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     content = F.expr(to_spark(CONTENT)).cast("binary")
     path = F.concat(F.lit(f"{ROOT}/"), F.col("doc_id").cast("string"), F.lit(".png"))
-    files = docs.filter(F.expr(to_spark(f"{draw(127, 20)} > 0"))).select(path.alias("path"), records.image_format(content).alias("format"), F.octet_length(content).alias("bytes"), F.sha2(content, 256).alias("sha256"))
+    files = docs.filter(F.expr(to_spark(f"{draw(127, 20)} > 0"))).select(path.alias("path"), image_format(content).alias("format"), F.octet_length(content).alias("bytes"), F.sha2(content, 256).alias("sha256"))
     lines = docs.select(F.col("doc_id").alias("ordinal"), F.expr(_spark(LINE)).alias("line"))
     found = records.record_faults(lines, files, ROOT)
     return found.select(F.col("ordinal").alias("doc_id"), F.array_join(F.transform("faults", lambda f: f["code"]), ",").alias("codes"), F.try_element_at("faults", F.lit(1))["message"].alias("first"), "error")

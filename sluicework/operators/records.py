@@ -1,4 +1,4 @@
-"""Validity of governed records: a line of JSON each, with every fault it has; answer lists; image bytes."""
+"""Validity of governed records: a line of JSON each, with every fault it has; answer lists."""
 
 from __future__ import annotations
 
@@ -19,23 +19,6 @@ PROVENANCES = ("public", "self_authored", "self_collected", "synthetic", "genera
 REVIEW_STATUSES = ("pending", "reviewed", "adjudicated", "rejected")
 SPLITS = ("selection", "sealed_holdout")
 FORBIDDEN_PROVENANCE = ("data/raw/open/test", "test.csv", "public disagreement", "leaderboard", "inferred test answer")
-#: The bytes that image files begin with, as hex patterns of the first twelve.
-MAGIC = {"jpeg": "^FFD8FF", "png": "^89504E470D0A1A0A", "gif": "^47494638(37|39)61", "webp": "^52494646.{8}57454250"}
-
-
-def image_format(content: Column) -> Column:
-    """jpeg, png, gif or webp by the first bytes, or null. Only twelve bytes are looked at."""
-    head = F.hex(F.substring(content, 1, 12))
-    found = F.lit(None).cast("string")
-    for name, pattern in reversed(MAGIC.items()):
-        found = F.when(head.rlike(pattern), F.lit(name)).otherwise(found)
-    return found
-
-
-def image_status(exists: Column, readable: Column, content: Column) -> Column:
-    """loaded, missing, unreadable or corrupt (empty, or of no known format)."""
-    sound = F.coalesce(F.octet_length(content) > 0, F.lit(False)) & image_format(content).isNotNull()
-    return F.when(~F.coalesce(exists, F.lit(False)), "missing").when(~F.coalesce(readable, F.lit(False)), "unreadable").when(sound, "loaded").otherwise("corrupt")
 
 
 def _one_of(key: str, values: tuple[str, ...]) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,3 +71,23 @@ def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the last by ``order``; a partial aggregate, so repeated keys are reduced before they move."""
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of every file below ``root``, by its path from there; empty files included.
+
+    Spark's readers skip empty files, so what its index of files names and the scan did not give has empty content. That index
+    holds every name on the driver in any case; contents never get there.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    scheme = "^[a-z]+:/+"
+
+    def below(path: Column) -> Column:
+        return F.substring(F.regexp_replace(path, scheme, ""), len(re.sub(scheme, "", base).rstrip("/")) + 2, 1 << 20)
+
+    read = files.select(below(F.col("path")).alias("path"), "content")
+    named = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "file string").select(below(F.col("file")).alias("path"))
+    empty = named.join(files.select(below(F.col("path")).alias("path")), "path", "left_anti")
+    return read.unionByName(empty.withColumn("content", F.lit(b"")))

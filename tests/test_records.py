@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from sluicework.functions import paths
 from sluicework.operators import records, rules, typed
+from sluicework.operators.images import image_format
 
 GOOD = {
     "sample_id": "s1", "image_ref": "a/x.png", "context": "c", "question": "q", "answers": ["a", "b", "c"], "expected_label": 1, "uncertainty_option_index": 2, "expected_is_uncertainty": False,
@@ -48,7 +49,7 @@ CASES = [
 def images(spark):
     content = F.col("content")
     df = spark.createDataFrame(FILES, "path string, content binary")
-    return df.select("path", records.image_format(content).alias("format"), F.octet_length(content).alias("bytes"), F.sha2(content, 256).alias("sha256"))
+    return df.select("path", image_format(content).alias("format"), F.octet_length(content).alias("bytes"), F.sha2(content, 256).alias("sha256"))
 
 
 def test_every_fault_of_a_line(spark, images):
