@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluicework.jobs import artifacts, files, governed, outputs, profiles, records, reviews, scoring, verification
+from sluicework.jobs import artifacts, files, governed, outputs, profiles, records, rereads, reviews, scoring, verification
 
-QUERIES: dict = {f.__name__: f for module in (scoring, outputs, verification, governed, reviews, artifacts, profiles, records, files) for f in module.QUERIES}
-ORACLE: dict[str, str] = {**scoring.ORACLE, **outputs.ORACLE, **verification.ORACLE, **governed.ORACLE, **reviews.ORACLE, **artifacts.ORACLE, **profiles.ORACLE, **records.ORACLE, **files.ORACLE}
+QUERIES: dict = {f.__name__: f for module in (scoring, outputs, verification, governed, reviews, artifacts, profiles, records, files, rereads) for f in module.QUERIES}
+ORACLE: dict[str, str] = {**scoring.ORACLE, **outputs.ORACLE, **verification.ORACLE, **governed.ORACLE, **reviews.ORACLE, **artifacts.ORACLE, **profiles.ORACLE, **records.ORACLE, **files.ORACLE, **rereads.ORACLE}
