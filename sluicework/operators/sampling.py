@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluicework.functions.text import selection_key
+from sluicework.scratch import cut
 
 
 def hash_sample(df: DataFrame, count: int, seed: int, source: Column, row_id: Column) -> DataFrame:
@@ -37,6 +38,31 @@ def first_wins(df: DataFrame, digest: Column, near: Column, order: str) -> DataF
     return rows.join(firsts, F.col("_near").eqNullSafe(F.col("_key"))).withColumn("reason", reason).drop("_near", "_digest", "_key", "_first")
 
 
+def accept_until(df: DataFrame, failed: Column, digest: Column, near: Column, order: str, count: int) -> DataFrame:
+    """The rows that a run in order of ``order`` looks at until it has accepted ``count``, with ``reason``: that of ``failed`` if
+    not null, else accepted, exact_duplicate or near_duplicate as in ``first_wins``. Fewer than ``count`` are an error.
+
+    ``order`` must tell rows apart. Where the run ends follows from a prefix count over ranges: accepted rows are counted by
+    range, one number each, then places are counted within the one range where the sum passes ``count``. Neither rows nor places
+    of the rest are gathered anywhere.
+    """
+    if count < 1:
+        raise ValueError("count must be at least 1")
+    rows = cut(df.withColumn("reason", failed))
+    good = first_wins(rows.filter(F.col("reason").isNull()).drop("reason"), digest, near, order)
+    marked = cut(good.unionByName(rows.filter(F.col("reason").isNotNull())))
+    accepted = marked.filter("reason = 'accepted'").select(order)
+    ranged = cut(accepted.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    passes = sizes.withColumn("before", before).filter((F.col("before") < count) & (F.col("before") + F.col("n") >= count))
+    inside = ranged.join(F.broadcast(passes), "_range").withColumn("_place", F.col("before") + F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    last = inside.filter(F.col("_place") == count).select(F.col(order).alias("_last"))
+    if last.isEmpty():
+        raise ValueError(f"fewer than {count} rows were accepted")
+    return marked.join(F.broadcast(last), F.col(order) <= F.col("_last")).drop("_last")
+
+
 def balanced_schedule(spark: SparkSession, seed: int, ambiguous_each: int = 40, resolvable_each: int = 80) -> DataFrame:
     """(place, kind, position, label) of generated records: each uncertainty position for ambiguous ones, each pair of a
     position and a person label for resolvable ones, in the order of their selection keys."""
