@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicework.functions import prompts
-from sluicework.jobs.inputs import RUNS_SQL, draw, runs, table, to_duck, to_spark
+from sluicework.jobs import outputs
+from sluicework.jobs.inputs import draw, runs, table, to_duck, to_spark
 from sluicework.operators import artifacts, decisions, parsing
 from sluicework.operators.answers import ANONYMOUS_GROUP
 
 OPTIONS = ("source", "lang", "'Cannot be determined'")
-LIKELY = r"(?i)\b(who|which|likely|probably)\b"
 SAMPLE = f"case when {draw(71, 9)} = 0 then doc_id - 1 else doc_id end"
 RUN, VERSION = f"case when {draw(72, 13)} = 0 then 'run2' else 'run1' end", f"case when {draw(73, 17)} = 0 then 'v0' when {draw(73, 17)} = 1 then 'v2' else 'v3' end"
 STATUS = f"case {draw(74, 12)} when 0 then 'lost' when 1 then 'image_failed' else 'generated' end"
@@ -41,9 +41,18 @@ def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(text).alias("prompt_md5"), F.length(text).cast("long").alias("n_chars"))
 
 
+#: Questions: some ask for a tendency, of a whole text or of its source.
+QUESTION = f"case {draw(81, 5)} when 0 then concat('Who is More Likely from ', source) when 1 then concat(text, ' Is it generally so') when 2 then concat('Likely ', text) when 3 then 'Who tends to' else text end"
+_CANDIDATE = "cast((doc_id * 7 + quality) % 3 as bigint)"
+
+
 def trap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = runs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", decisions.trap_merge(F.col("m0"), F.col("m2"), F.col("u"), F.concat(F.lit("A Young person. "), "text"), F.concat(F.lit("Who? "), "text"), LIKELY).alias("label"))
+    """Labels of one run, corrected by another that has only the labelled documents; contexts and questions are whole texts."""
+    docs = table(spark, sf_dir, "documents")
+    items = docs.select("doc_id", F.expr(to_spark(outputs.CONTEXT)).alias("context"), F.expr(to_spark(QUESTION)).alias("question"), F.array(*[F.expr(to_spark(o)) for o in outputs.OPTION.values()]).alias("options"))
+    base = runs(spark, sf_dir).select("doc_id", F.col("m0").alias("label"))
+    candidate = table(spark, sf_dir, "labels").select("doc_id", F.expr(_CANDIDATE).alias("label"))
+    return decisions.merge_traps(base, candidate, items, "doc_id")
 
 
 def repair_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +77,10 @@ select fault, count(*) as n, cast(sum(ordinal) as bigint) as ordinals from j whe
     "wrapped_objects": f"""select doc_id, case when {draw(77, 5)} > 0 then '{{"a":[1],"label":"' || {draw(78, 3)} || '"}}' end as found from documents""",
     "prompt_texts": f"""with p as (select doc_id, 'Context: ' || coalesce(text, '') || chr(10) || 'Question: ' || coalesce(lang, 'null') || chr(10) || 'Options:' || chr(10) || '0. ' || source || chr(10) || '1. ' || lang || chr(10) || '2. Cannot be determined' || chr(10) || chr(10) || '{_ASKED}' as t from documents)
 select doc_id, md5(t) as prompt_md5, cast(length(t) as bigint) as n_chars from p""",
-    "trap_merge": f"""with r as ({RUNS_SQL}) select r.doc_id, case when m2 <> m0 and m2 = u and regexp_matches('A Young person. ' || text, '{ANONYMOUS_GROUP}') and regexp_matches('Who? ' || text, '{LIKELY}') then m2 else m0 end as label from r join documents d on r.doc_id = d.doc_id""",
+    "trap_merge": f"""with r as (select d.doc_id, cast(d.doc_id % 3 as bigint) as m0, c.label as c, {outputs.CONTEXT.replace("doc_id", "d.doc_id")} as context, {QUESTION.replace("doc_id", "d.doc_id")} as question, [{", ".join(o.replace("doc_id", "d.doc_id") for o in outputs.OPTION.values())}] as o
+  from documents d left join (select doc_id, {_CANDIDATE} as label from labels) c on d.doc_id = c.doc_id),
+u as (select *, {outputs._UNKNOWN_AT} as u from r), s as (select *, coalesce(c <> m0 and c = u and regexp_matches(context, '{ANONYMOUS_GROUP}') and regexp_matches(question, '{decisions.LIKELY}'), false) as swapped from u)
+select doc_id, case when swapped then c else m0 end as label, swapped from s""",
     "repair_merge": f"""with s as (select doc_id, case when {draw(79, 4)} = 0 then 'invalid_json' else 'valid' end as status, cast(doc_id % 3 as bigint) as label from documents), a as (select doc_id, cast(quality as bigint) as label from labels where {draw(80, 5)} > 0)
 select s.doc_id, case when status <> 'valid' and a.doc_id is not null then 'valid' else status end as status, case when status <> 'valid' and a.doc_id is not null then a.label else s.label end as label,
  case when status <> 'valid' and a.doc_id is not null then 'repair1' else 'run1' end as origin_run_id from s left join a on s.doc_id = a.doc_id""",

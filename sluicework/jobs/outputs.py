@@ -6,26 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicework.functions.text import normalised, preview, reason_snippet
-from sluicework.jobs.inputs import LABELS, RUNS_SQL, runs, table
+from sluicework.jobs import verification as made
+from sluicework.jobs.inputs import RUNS_SQL, draw, runs, table, to_duck, to_spark
 from sluicework.operators import answers, decisions, parsing, triggers
 
-#: Outputs and options by document; the same text is valid in both engines.
-ANSWER_TEXT = """case doc_id % 7 when 0 then concat('Reasoning: first. Reasoning: it is ', source, ' Answer: **', cast(n_chars % 3 as varchar(9)))
- when 1 then concat('I pick 0 or ', cast(n_chars % 3 as varchar(9)), ' here') when 2 then concat('It was SRC', substr(source, 4), ' surely')
- when 3 then 'no idea at all' when 4 then '' when 5 then concat('answer - 1 and later ANSWER ', cast(n_chars % 3 as varchar(9))) else concat('see ', lang) end"""
-OPTION = {"a": "concat('The one from ', lang)", "b": "source", "c": "case when doc_id % 4 = 0 then 'Cannot be determined from this' when doc_id % 4 = 1 then 'Not enough information' when doc_id % 4 = 2 then 'Unknown' else 'Somebody else' end"}
-BODY = """case doc_id % 9 when 0 then '{"label": "0"}' when 1 then '{"label": 0, "evidence": "x"'
- when 2 then concat('{"label": "1", "label": "1", "evidence": "', lang, '", "evidence_type": "elimination", "uncertainty_signal": false, "protected_attribute_risk": false}')
- when 3 then concat('{"label": "', cast(n_chars % 4 as varchar(9)), '", "evidence": "the text states ', lang, '", "evidence_type": "stated_text_fact", "uncertainty_signal": false, "protected_attribute_risk": true}')
- when 4 then '[1, 2]' when 5 then '{"label": NaN}'
- else concat('{"label": "', cast(n_chars % 3 as varchar(9)), '", "evidence": "seen in ', source, '", "evidence_type": "elimination", "uncertainty_signal": ', case when n_chars % 2 = 0 then 'true' else 'false' end, ', "protected_attribute_risk": false}') end"""
-EVIDENCE = """case doc_id % 8 when 0 then 'Person is holding a BOOK' when 1 then 'the posture, and clothing' when 2 then 'no badge or sign is visible'
- when 3 then 'The context_states it; older person' when 4 then 'nothing here' when 5 then 'without a phone on the desk' when 6 then 'The image does not show a tool' else 'looks like a teacher, by age' end"""
+_DIGIT = f"cast({draw(501, 3)} as string)"
+#: Answers: whole texts, with what a model says before, within or behind them; some empty or null.
+ANSWER_TEXT = f"""case {draw(502, 12)} when 0 then concat('Reasoning: first. Reasoning: ', text, ' Answer: **', {_DIGIT}) when 1 then concat('I pick 0 or ', {_DIGIT}, ' here. ', text)
+ when 2 then concat(text, ' It was SRC', substr(source, 4), ' surely') when 3 then text when 4 then '' when 5 then concat('answer - 1 and later ANSWER ', {_DIGIT}, '. ', text) when 6 then null
+ when 7 then concat('see THE ONE FROM ', lang, ' ', text) when 8 then concat(text, ' answer', chr(10), ':', {_DIGIT}, ' 7') when 9 then concat('x1 2x 11 ', text) else concat(text, ' Answer: ', source) end"""
+_UNKNOWNS = ("Not enough information", "Cannot answer", "Can't be determined", "Undetermined", "Not known", "Unknown", "No answer at all", "Not determinable", "I can't tell", "Not sure", "Can not be determined", "Somebody else", "The second one")
+#: Three options; those that say it cannot be known stand in any place, in one, two or none of them.
+OPTION = {
+    "a": f"case {draw(503, 5)} when 0 then 'Cannot be known' else concat('The one from ', lang) end",
+    "b": f"case {draw(504, 9)} when 0 then 'It is unknown to me' else source end",
+    "c": f"case {draw(505, len(_UNKNOWNS))} " + " ".join(f"when {k} then '{x.replace(chr(39), chr(39) * 2)}'" for k, x in enumerate(_UNKNOWNS)) + " end",
+}
+#: Evidence: a whole text, with a phrase before or behind it.
+_PHRASE = f"""case {draw(506, 11)} when 0 then 'Person is holding a BOOK' when 1 then 'the posture, and clothing' when 2 then 'no badge or sign is visible' when 3 then 'The context_states it; older person' when 4 then ''
+ when 5 then 'without a phone on the desk' when 6 then 'The image does not show a tool' when 7 then 'looks like a teacher, by age' when 8 then 'stated: a uniform' when 9 then 'not a uniform, but by accent' else 'a microphone' end"""
+EVIDENCE = f"case when {draw(507, 2)} = 0 then concat({_PHRASE}, '. ', coalesce(text, '')) else concat(coalesce(text, ''), ' ', {_PHRASE}) end"
+#: Contexts: a whole text with a person named, placed, or of an anonymous group; the same for what says where an answer comes from.
+CONTEXT = f"""case {draw(508, 8)} when 0 then concat(text, ' An Elder person spoke.') when 1 then concat('A Self-Made person came. ', text) when 2 then concat('Then Maria said nothing. ', text) when 3 then concat(text, ' Ask the woman on the left.')
+ when 4 then concat(text, ' an elder person spoke.') when 5 then concat('An Elder woman. ', text) else text end"""
+TURN = f"case turn % 5 when 0 then concat(text, ' An Elder person spoke.') when 1 then concat('Then Maria said nothing. ', text) else text end"
+RAW = f"case {draw(509, 4)} when 0 then concat(text, ' as shown') when 1 then concat('In the PHOTO: ', text) when 2 then null else text end"
+IMAGE_WORDS = r"(?i)\b(image|photo|picture|shown|visible)\b"
 KIND = "case n_chars % 4 when 0 then 'stated_text_fact' when 1 then 'objective_visible_evidence' when 2 then 'elimination' else 'insufficient_evidence' end"
 
 
 def _spark(sql: str):
-    return F.expr(sql.replace("varchar(9)", "string"))
+    return F.expr(to_spark(sql))
 
 
 def _options():
@@ -43,8 +54,8 @@ def answer_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marker = F.when(F.col("doc_id") % 10 == 9, F.concat(F.lit(" "), F.lit(parsing.MARKER))).otherwise(F.lit(parsing.MARKER))
-    output = F.concat(F.lit("Thinking.\n"), marker, _spark(BODY), F.lit("\n \n"))
+    """Outputs of the older contract, with whole texts as evidence and every part of the body varied."""
+    output = _spark(made._output(parsing.MARKER, made.ANSWER))
     docs = table(spark, sf_dir, "documents").select("doc_id", output.alias("output"), (F.col("doc_id") % 17 != 0).alias("ok"))
     return parsing.parse_outputs(docs, "doc_id", "output", F.col("ok"), v3=False).drop("option_index", "parse_error")
 
@@ -73,10 +84,12 @@ def trigger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def needs_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as contexts, of documents and of the turns of conversations."""
-    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("turn"), "lang", "source", "text", (F.col("n_chars") % 3).alias("label"))
-    turns = table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("doc_id"), "turn", F.lit("en").alias("lang"), F.col("role").alias("source"), "text", (F.col("turn") % 3).alias("label"))
-    return docs.unionByName(turns).select("kind", "doc_id", "turn", answers.needs_verify(F.col("text"), _options(), F.col("label")).alias("verify"))
+    """Whole texts as contexts, of documents and of the turns of conversations, with or without someone in them."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("turn"), _spark(CONTEXT).alias("text"), _options().alias("options"), (F.col("n_chars") % 3).alias("label"))
+    turns = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id"))
+    options = F.array(F.col("role"), F.lit("Not sure"), F.concat(F.lit("turn "), F.col("turn").cast("string")))
+    turns = turns.select(F.lit("turn").alias("kind"), "doc_id", "turn", _spark(TURN).alias("text"), options.alias("options"), (F.col("turn") % 3).alias("label"))
+    return docs.unionByName(turns).select("kind", "doc_id", "turn", answers.needs_verify(F.col("text"), F.col("options"), F.col("label")).alias("verify"))
 
 
 def arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +115,9 @@ def three_pass_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selective_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = runs(spark, sf_dir)
-    context = F.expr("case when doc_id % 2 = 0 then 'An Elder person spoke' else 'none' end")
-    raw = F.expr("case when n_chars % 3 = 0 then 'visible in the photo' else '' end")
+    rows = runs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", _spark(CONTEXT).alias("context"), _spark(RAW).alias("raw")), "doc_id")
     candidate = F.when(F.col("doc_id") % 9 != 0, F.col("m2"))
-    return rows.select("doc_id", F.inline(F.array(decisions.selective_merge(F.col("m0"), candidate, F.col("u"), context, raw, r"(?i)\b(image|photo|picture|shown|visible)\b"))))
+    return rows.select("doc_id", F.inline(F.array(decisions.selective_merge(F.col("m0"), candidate, F.col("u"), F.col("context"), F.col("raw"), IMAGE_WORDS))))
 
 
 def retry_override(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,21 +152,21 @@ t as (select doc_id, label, status, case when status <> 'valid' then ['invalid_p
   case when n_chars % 6 = 0 then 'protected_attribute_risk' end,
   case when {_any(triggers.APPEARANCE_CUES)} and not {_any((*triggers.VISUAL_CUES, *triggers.STATED_CUES))} then 'appearance_only_reasoning' end,
   case when label in ('0', '1') and kind = 'objective_visible_evidence' and not (not {_any(triggers.GLOBAL_NEGATIONS)} and ({_GROUNDED})) then 'ambiguous_visual_grounding' end], lambda x: x is not null) end as found from e)"""
+_UNKNOWN_AT = "coalesce(list_min(list_filter(list_transform([1, 2, 3], lambda i: case when regexp_matches(o[i], '{}') then [length(o[i]), i - 1] end), lambda x: x is not null))[2], -1)".format(answers.UNKNOWN)
 _LADDER_SQL = f"""a as (select doc_id, {ANSWER_TEXT} as answer, [{", ".join(OPTION.values())}] as o from documents),
 b as (select doc_id, answer, o, list_last(regexp_extract_all(answer, '(?i)answer\\s*[:\\-]?\\s*\\**\\s*([012])', 1)) as p, list_last(regexp_extract_all(answer, '\\b([012])\\b', 1)) as d,
   case when contains(lower(answer), lower(o[1])) then 0 when contains(lower(answer), lower(o[2])) then 1 when contains(lower(answer), lower(o[3])) then 2 end as n,
-  case when regexp_matches(o[3], '(?i)cannot|not enough|unknown') then 2 else -1 end as u from a),
+  cast({_UNKNOWN_AT} as int) as u from a),
 ladder as (select doc_id, cast(coalesce(cast(nullif(p, '') as int), cast(nullif(d, '') as int), case when answer <> '' then n end, case when u >= 0 then u end, 0) as int) as label,
   case when nullif(p, '') is not null then 'answer_pattern' when nullif(d, '') is not null then 'digit_pattern' when answer <> '' and n is not null then 'option_text' when u >= 0 then 'unknown_fallback' else 'zero_fallback' end as method, u,
-  substr(trim(split_part(list_last(string_split(answer, 'Reasoning:')), 'Answer:', 1)), 1, 200) as reason from b)"""
-_PARSE_SQL = """p as (select doc_id, lang, source, n_chars, case when doc_id % 17 = 0 then 'source_failed' when doc_id % 10 = 9 then 'missing_marker'
-  else case doc_id % 9 when 0 then 'invalid_schema' when 1 then 'invalid_json' when 2 then 'invalid_json' when 3 then case when n_chars % 4 = 3 then 'invalid_label' else 'valid' end
-  when 4 then 'invalid_schema' when 5 then 'invalid_json' else 'valid' end end as parse_status from documents),
-q as (select doc_id, parse_status, case when parse_status = 'valid' then cast(case when doc_id % 9 = 3 then n_chars % 4 else n_chars % 3 end as varchar) end as label,
-  case when parse_status = 'valid' then case when doc_id % 9 = 3 then concat('the text states ', lang) else concat('seen in ', source) end end as evidence,
-  case when parse_status = 'valid' then case when doc_id % 9 = 3 then 'stated_text_fact' else 'elimination' end end as evidence_type,
-  case when parse_status = 'valid' then case when doc_id % 9 = 3 then false else n_chars % 2 = 0 end end as uncertainty_signal,
-  case when parse_status = 'valid' then doc_id % 9 = 3 end as protected_attribute_risk from p)"""
+  substr(regexp_replace(split_part(list_last(string_split(answer, 'Reasoning:')), 'Answer:', 1), '^[ \\t\\n\\r\\v\\f]+|[ \\t\\n\\r\\v\\f]+$', '', 'g'), 1, 200) as reason from b)"""
+_V2_LADDER = made._ladder(
+    "final answer must be a JSON object", parsing.MARKER, "final answer JSON is invalid: ", made.ANSWER, "label must be exactly one of: 0, 1, 2", "evidence must be a non-empty string", []
+)
+_PARSE_SQL = f"""d as ({made._DRAWS}), f as (select *, {_V2_LADDER} as fault from d),
+p as (select *, case when doc_id % 17 = 0 then 'source_failed' else coalesce(split_part(fault, '|', 1), 'valid') end as parse_status from f),
+q as (select doc_id, parse_status, case when parse_status = 'valid' then lab end as label, case when parse_status = 'valid' then t end as evidence, case when parse_status = 'valid' then etype end as evidence_type,
+  case when parse_status = 'valid' then first_ end as uncertainty_signal, case when parse_status = 'valid' then second_ end as protected_attribute_risk from p)"""
 ORACLE = {
     "answer_ladder": f"with {_LADDER_SQL} select doc_id, label, method, u, reason from ladder",
     "answer_methods": f"with {_LADDER_SQL} select method, label, count(*) as n from ladder group by method, label",
@@ -165,8 +176,8 @@ ORACLE = {
 select doc_id, array_to_string(case when status = 'valid' and second is not null and second <> label then list_append(found, 'reasoner_verifier_conflict') else found end, ',') as triggers from s""",
     "trigger_counts": f"""with {_TRIGGER_SQL}, names as (select unnest(['{"', '".join(triggers.TRIGGERS)}']) as trigger), f as (select unnest(found) as x from t)
 select trigger, count(x) as n from names left join f on x = trigger group by trigger""",
-    "needs_verify": f"""with c as (select 'document' as kind, doc_id, cast(null as bigint) as turn, n_chars % 3 as label, text as context, case when doc_id % 4 = 3 then -1 else 2 end as u from documents
-union all select 'turn', conv_id, turn, turn % 3, text, case when conv_id % 4 = 3 then -1 else 2 end from conversations)
+    "needs_verify": f"""with d as (select 'document' as kind, doc_id, cast(null as bigint) as turn, n_chars % 3 as label, {CONTEXT} as context, [{", ".join(OPTION.values())}] as o from documents
+union all select 'turn', conv_id, turn, turn % 3, {TURN}, [role, 'Not sure', 'turn ' || turn] from conversations), c as (select *, {_UNKNOWN_AT} as u from d)
 select kind, doc_id, turn, (label <> u and regexp_matches(context, '{answers.ANONYMOUS_GROUP}')) or (label = u and regexp_matches(context, '{answers.NAMED}')) as verify from c""",
     "arbitration": f"""with r as ({RUNS_SQL}),
 s as (select doc_id, case when doc_id % 10 <> 0 then cast(m0 as varchar) end as l, case doc_id % 6 when 0 then null when 1 then 'skipped' when 2 then 'parse_failed' else 'verified' end as status,
@@ -187,10 +198,12 @@ k as (select *, row_number() over (partition by doc_id order by n desc, case whe
 b as (select *, verified and m0 = u and after <> u as guarded from a), c as (select *, case when guarded then m4 else after end as label from b)
 select lang, count(*) filter (verified) as verified, count(*) filter (verified and after <> m0) as flipped, count(*) filter (guarded) as guarded, count(*) filter (guarded and label = m0) as reverted,
 cast(sum(label) as bigint) as label_sum from c group by lang""",
-    "selective_merge": f"""with r as ({RUNS_SQL}), c as (select *, coalesce(case when doc_id % 9 <> 0 then m2 end, m0) as cand from r)
-select doc_id, case when cand <> m0 and ((cand = u and doc_id % 2 = 0) or n_chars % 3 = 0) then cand else m0 end as label,
-case when cand = m0 then 'same' when cand = u and doc_id % 2 = 0 then 'trap' when n_chars % 3 = 0 then 'image' else 'keep' end as reason from c""",
+    "selective_merge": f"""with r as ({RUNS_SQL}), t as (select doc_id, {CONTEXT} as context, {RAW} as raw from documents),
+c as (select r.*, coalesce(case when r.doc_id % 9 <> 0 then m2 end, m0) as cand, regexp_matches(context, '{answers.ANONYMOUS_GROUP}') as anon, regexp_matches(coalesce(raw, ''), '{IMAGE_WORDS}') as cites from r join t on r.doc_id = t.doc_id)
+select doc_id, case when cand <> m0 and ((cand = u and anon) or cites) then cand else m0 end as label,
+case when cand = m0 then 'same' when cand = u and anon then 'trap' when cites then 'image' else 'keep' end as reason from c""",
     "retry_override": f"""with r as ({RUNS_SQL}) select doc_id, case when doc_id in (select doc_id from labels) then m1 else m0 end as label, lang, case when doc_id in (select doc_id from labels) then 'retry' else 'base' end as origin from r""",
     "normalised_text": r"""select doc_id, md5(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g'))) as normal_md5,
 md5(substr(replace(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), chr(10), ' '), 1, 200)) as preview_md5 from documents""",
 }
+ORACLE = {k: to_duck(v) for k, v in ORACLE.items()}

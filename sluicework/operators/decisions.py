@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.operators.answers import ANONYMOUS_GROUP
+from sluicework.operators.answers import ANONYMOUS_GROUP, unknown_index
 from sluicework.operators.triggers import DECISIVE, PERSONS
 
+#: What a question says that asks for a tendency.
+LIKELY = r"(?i)\b(more likely|less likely|likely to|likely just|likely the|seen as|tends to|generally)\b"
 KEEP = "verifier_no_usable_support_keep_reasoner"
 
 
@@ -81,6 +83,20 @@ def trap_merge(base: Column, candidate: Column, unknown: Column, context: Column
     return F.when(F.coalesce(turns, F.lit(False)), candidate).otherwise(base)
 
 
+def merge_traps(base: DataFrame, candidate: DataFrame, items: DataFrame, on: str, likely: str = LIKELY) -> DataFrame:
+    """(id, label, swapped) of every row of ``base`` (id, label): that of ``candidate`` where ``trap_merge`` takes it.
+
+    ``items`` hold context, question and options of each id; the uncertainty option's place follows from them. A row without
+    a candidate keeps its label; one without an item is an error of the inputs and gets none, null.
+    """
+    chosen = candidate.select(F.col(on), F.col("label").alias("_candidate"))
+    known = items.select(F.col(on), F.struct(unknown_index(F.col("options")).alias("u"), "context", "question").alias("_item"))
+    rows = base.select(on, F.col("label").alias("_base")).join(chosen, on, "left").join(known, on, "left")
+    item = F.col("_item")
+    label = F.when(item.isNotNull(), trap_merge(F.col("_base"), F.col("_candidate"), item["u"], item["context"], item["question"], likely))
+    return rows.select(on, label.alias("label"), (label != F.col("_base")).alias("swapped"))
+
+
 def repair_merge(source: DataFrame, repair: DataFrame, on: str, status: str, origin: tuple[str, str]) -> DataFrame:
     """``source`` with its invalid rows replaced by the valid rows of ``repair``, and ``origin_run_id``, the run that each row is
     from. Rows that no repair has stay invalid; repairs of valid rows are not taken."""
