@@ -22,7 +22,7 @@ def test_entry_gives_rows(spark):
     [
         ("needs_verify", "verify", 2), ("trap_merge", "swapped", 2), ("selective_merge", "reason", 4), ("answer_ladder", "method", 5), ("answer_ladder", "u", 4), ("parse_outputs", "parse_status", 6),
         ("risk_triggers", "triggers", 20), ("image_scan", "status", 4), ("image_structure", "fault", 13), ("csv_defects", "code", 3), ("image_paths", "code", 5), ("answer_lists", "error", 8),
-        ("record_faults", "codes", 60), ("box_texts", "outcome", 6), ("candidate_gates", "rejections", 40), ("acquisition", "reason", 4), ("bucket_pairs", "n_both", 10),
+        ("record_faults", "codes", 60), ("box_texts", "outcome", 6), ("candidate_gates", "rejections", 40), ("acquisition", "reason", 3), ("bucket_pairs", "n_both", 10),
     ],
 )
 def test_queries_have_rows_of_every_kind(spark, tiny, name, column, kinds):
