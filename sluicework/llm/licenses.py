@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator, Mapping
 from itertools import takewhile
 from math import ceil
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,24 +27,16 @@ TEMPLATES = {
     " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
     " see the license for the specific language governing permissions and limitations under the license",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-full": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
-    " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
-    " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
-    " this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
-    "cc-by": "licensed under cc by 4 0",
-    "cc-by-nc": "licensed under cc by nc 4 0",
-    "cc-by-nc-long": "licensed under a creative commons attribution noncommercial 4 0 international license",
-    "cc-by-nc-nd": "licensed under cc by nc nd 4 0",
-    "cc-by-nc-sa": "licensed under cc by nc sa 4 0",
-    "cc-by-nd": "licensed under cc by nd 4 0",
-    "cc-by-sa": "licensed under cc by sa 4 0",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
-    "gpl-3": "this work is licensed under the gnu general public license version 3",
-    "gpl-3-full": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
-    " this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    "gpl-2": "licensed under the gnu general public license version 2",
+    "gpl-2-long": "this work is licensed under the gnu general public license version 2",
+    "gpl-3": "licensed under the gnu general public license version 3",
+    "gpl-3-long": "this work is licensed under the gnu general public license version 3",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "isc-full": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
     " the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "lgpl-2-1": "licensed under the gnu lesser general public license version 2 1",
+    "lgpl-3": "licensed under the gnu lesser general public license version 3",
     "mit": "released under the mit license",
     "mit-long": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mit-full": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
@@ -53,14 +46,70 @@ TEMPLATES = {
     "proprietary": "proprietary and confidential unauthorized copying of this file via any medium is strictly prohibited",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
-#: A template of fewer distinct tokens must be held with all of them: one word less may be the name of the license.
-SHORT = 10
+_BSD_CLAUSES = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+    " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_NAMES = " neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = " this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+TEMPLATES |= {"bsd-2-full": _BSD_CLAUSES + _BSD_END, "bsd-3-full": _BSD_CLAUSES + _BSD_NAMES + _BSD_END}
+#: The file header of the GNU licenses, which differ in a name and a version.
+_GNU = (
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu {name}general public license as published by the free software foundation either version {version} of the license or at your option any later version"
+    " this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name}general public license for more details"
+)
+_GNU_NAMES = {"agpl-3": ("affero ", "3"), "gpl-2": ("", "2"), "gpl-3": ("", "3"), "lgpl-2-1": ("lesser ", "2 1"), "lgpl-3": ("lesser ", "3")}
+TEMPLATES |= {f"{k}-full": _GNU.format(name=name, version=version) for k, (name, version) in _GNU_NAMES.items()}
+#: What Creative Commons licenses add to attribution, in short and in full.
+_CC = {"": "", "nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike", "nc nd": "noncommercial noderivatives", "nc sa": "noncommercial sharealike"}
+
+
+def _cc_label(short: str) -> str:
+    return "-".join(["cc", "by", *short.split()])
+
+
+TEMPLATES |= {_cc_label(k): " ".join(["licensed under cc by", *k.split(), "4 0"]) for k in _CC}
+TEMPLATES |= {f"{_cc_label(k)}-long": " ".join(["licensed under a creative commons attribution", *full.split(), "4 0 international license"]) for k, full in _CC.items()}
 
 
 def label_of(name: str) -> str:
     return name.removesuffix("-long").removesuffix("-full")
 
 
+class Telling(NamedTuple):
+    """What tells a template from its neighbours: ``must`` be in the passage; words within two of a ``rival``, or of a rival pair
+    of consecutive words, don't belong to it, nor does it reach over a ``divider``."""
+
+    must: frozenset[str] = frozenset()
+    rivals: frozenset[str] = frozenset()
+    dividers: frozenset[str] = frozenset()
+    pairs: frozenset[tuple[str, str]] = frozenset()
+
+
+def _telling() -> dict[str, Telling]:
+    found = {"bsd-2-full": Telling(rivals=frozenset({"neither", "endorse"})), "bsd-3-full": Telling(frozenset({"neither", "endorse", "promote"}))}
+    found |= {k: Telling(frozenset(w.split())) for k, w in {"apache-2": "apache 2", "apache-2-full": "apache 2", "mpl-2": "mozilla 2", "mit": "mit"}.items()}
+    names, versions = {"affero", "lesser", "library"}, {"1", "2", "3"}
+    for label, (name, version) in _GNU_NAMES.items():
+        own, number = set(name.split()), set(version.split())
+        for k in TEMPLATES:
+            if label_of(k) == label:
+                found[k] = Telling(frozenset({"gnu"} | own | number), frozenset(names - own), frozenset(versions - number), frozenset({("gnu", "general")} if own else ()))
+    short, full = {"nc", "nd", "sa"}, {"noncommercial", "noderivatives", "sharealike"}
+    for k, words in _CC.items():
+        found[_cc_label(k)] = Telling(frozenset(k.split()), frozenset(short - set(k.split())))
+        found[f"{_cc_label(k)}-long"] = Telling(frozenset({"creative", "commons", "attribution", *words.split()}), frozenset(full - set(words.split())))
+    return found
+
+
+#: A template of fewer distinct tokens must be held with all of them: one word less may be the name of the license.
+SHORT = 10
+TELLING = _telling()
+#: Words on either side of a rival that no passage takes.
+BESIDE = 2
+
+
 def tokens_needed(n: int, threshold: float) -> int:
     """How many of a template's ``n`` distinct tokens a block must hold."""
     return n if n < SHORT else ceil(threshold * n - 1e-9)
@@ -82,10 +131,12 @@ class TemplateIndex:
     them if they are fewer than ``SHORT``. Two sets with that overlap share one of the template's first n - overlap + 1 tokens
     in the global order, so only these are indexed (prefix filter). A text with fewer distinct tokens of the template than
     the overlap can't qualify (length filter). Around prefix tokens, places bound the overlap of every window: unless so many
-    tokens of the template stand within one window's length, none is walked (positional filter).
+    tokens of the template stand within one window's length, none is walked (positional filter). Beside the share, a passage must
+    hold the words that tell the template from its neighbours, and none of theirs (``Telling``).
     """
 
-    def __init__(self, templates: Mapping[str, str], counts: Mapping[str, int], threshold: float) -> None:
+    def __init__(self, templates: Mapping[str, str], counts: Mapping[str, int], threshold: float, telling: Mapping[str, Telling] = TELLING) -> None:
+        self.telling = {label: telling.get(label, Telling()) for label in templates}
         self.prefix: dict[str, list[tuple[str, int]]] = {}
         self.tokens: dict[str, frozenset[str]] = {}
         self.need: dict[str, int] = {}
@@ -114,6 +165,10 @@ class TemplateIndex:
                 size, need = len(self.tokens[label]), self.need[label]
                 if label in tried or len(block) < need:
                     continue
+                must, rivals, dividers, _ = self.telling[label]
+                if not must <= block or block & rivals or block & dividers:
+                    tried.add(label)
+                    continue
                 if (overlap := len(self.tokens[label] & block)) >= need:
                     yield label, overlap / size, size
                 tried.add(label)
@@ -128,7 +183,7 @@ class TemplateIndex:
         """
         distinct = set(words)
         labels = {label for token in self.keys & distinct for label, _ in self.prefix[token]}
-        labels = {x for x in labels if len(self.tokens[x] & distinct) >= self.need[x]}
+        labels = {x for x in labels if len(self.tokens[x] & distinct) >= self.need[x] and self.telling[x].must <= distinct}
         if not labels:
             return []
         near: dict[str, list[tuple[int, int]]] = {x: [] for x in labels}
@@ -142,7 +197,7 @@ class TemplateIndex:
         found = []
         for label in sorted(labels):
             tokens = self.tokens[label]
-            for a, b in near[label]:
+            for a, b in self._stretches(label, words, near[label]):
                 places = [i for i in range(a, b) if words[i] in tokens]
                 if not any(z - y < self.span[label] for y, z in zip(places, places[self.need[label] - 1 :])):
                     continue
@@ -156,10 +211,26 @@ class TemplateIndex:
             out.append((at, n, label, c, not beaten))
         return out
 
+    def _stretches(self, label: str, words: list[str], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """The spans without what rivals and dividers take from a template."""
+        _, rivals, dividers, pairs = self.telling[label]
+        for a, b in spans:
+            at = a
+            for i in range(max(0, a - BESIDE - 1), min(len(words), b + BESIDE)) if rivals or dividers else ():
+                pair = bool(pairs) and tuple(words[i : i + 2]) in pairs
+                reach = BESIDE if pair or words[i] in rivals else 0 if words[i] in dividers else -1
+                if reach < 0:
+                    continue
+                if i - reach > at:
+                    yield at, min(b, i - reach)
+                at = max(at, i + pair + reach + 1)
+            if at < b:
+                yield at, b
+
     def _windows(self, label: str, words: list[str], places: list[int]) -> Iterator[tuple[int, int, float]]:
         """Passages of one template among the given places of its tokens, in one walk: a passage stands once no better one
         can overlap it. Better ones replace it a bounded number of times, so only a bounded stretch is walked again."""
-        size, need, span = len(self.tokens[label]), self.need[label], self.span[label]
+        size, need, span, must = len(self.tokens[label]), self.need[label], self.span[label], self.telling[label].must
         start = 0
         while start < len(places):
             best = first = None
@@ -174,7 +245,7 @@ class TemplateIndex:
                     lo += 1
                 if best and lo > best[3]:
                     break
-                if len(held) >= need and (best is None or (len(held), places[lo] - places[k]) > best[:2]):
+                if len(held) >= need and (best is None or (len(held), places[lo] - places[k]) > best[:2]) and all(w in held for w in must):
                     best = (len(held), places[lo] - places[k], lo, k)
                     first = lo if first is None else first
             if best is None:

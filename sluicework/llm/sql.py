@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express, by name."""
 
-from sluicework.llm.licenses import PHRASES, TEMPLATES, label_of, tokens_needed
+from sluicework.llm.licenses import PHRASES, TELLING, TEMPLATES, Telling, label_of, tokens_needed
 from sluicework.llm.quality import BOILERPLATE, DIVIDERS, SYMBOLS
 from sluicework.llm.secrets import BASE, OPAQUE
 
@@ -33,7 +33,15 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_TEMPLATES = ", ".join(f"('{label_of(k)}', list_distinct(string_split('{v}', ' ')), {tokens_needed(len(set(v.split())), 0.8)})" for k, v in TEMPLATES.items())
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]::varchar[]"
+
+
+_TEMPLATES = ", ".join(
+    f"('{label_of(k)}', list_distinct(string_split('{v}', ' ')), {tokens_needed(len(set(v.split())), 0.8)}, {_list(TELLING.get(k, Telling()).must)}, {_list(TELLING.get(k, Telling()).rivals | TELLING.get(k, Telling()).dividers)})" for k, v in TEMPLATES.items()
+)
 _PHRASES = ", ".join(f"('{v}', string_split('{k}', ' '))" for k, v in PHRASES.items())
 
 op8_license_scan = f"""
@@ -45,8 +53,8 @@ places as (select r, i, label from spots join phrases on words[i + 1] = p[1] and
 base as (select r, count(*) as n, min(i) as f, max(i) as l, string_agg(distinct label, ',' order by label) as labels from places group by r),
 lines as (select r, unnest(string_split(t, chr(10))) as x, unnest(range(len(string_split(t, chr(10))))) as k from d),
 blocks as (select r, k, list_distinct(regexp_extract_all(x, '{_TOKEN}')) as b from lines),
-templates(label, s, need) as (values {_TEMPLATES}),
-held as (select r, k, label, len(s) as size, len(list_intersect(b, s)) as both_ from blocks join templates on len(b) >= need and len(list_intersect(b, s)) >= need),
+templates(label, s, need, must, others) as (values {_TEMPLATES}),
+held as (select r, k, label, len(s) as size, len(list_intersect(b, s)) as both_ from blocks join templates on len(b) >= need and len(list_intersect(b, s)) >= need and list_has_all(b, must) and not list_has_any(b, others)),
 ranked as (select *, cast(both_ as double) / size as c, rank() over (partition by r, k order by cast(both_ as double) / size desc, size desc) as best from held),
 method as (select r, max(c) as c from ranked group by r),
 every as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from places union all select r, label from ranked where best = 1) group by r)

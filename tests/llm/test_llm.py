@@ -486,7 +486,8 @@ def test_license_join_equals_brute_force():
     for _ in range(3000):
         label = rng.choice(list(sets))
         block = {w for w in sets[label] if rng.random() < 0.85} | set(rng.choice(vocabulary, 4).tolist())
-        want = {(k, len(s & block) / len(s)) for k, s in sets.items() if len(s & block) >= licenses.tokens_needed(len(s), 0.8)}
+        told = {k: licenses.TELLING.get(k, licenses.Telling()) for k in sets}
+        want = {(k, len(s & block) / len(s)) for k, s in sets.items() if len(s & block) >= licenses.tokens_needed(len(s), 0.8) and told[k].must <= block and not block & (told[k].rivals | told[k].dividers)}
         assert {(k, c) for k, c, _ in index.matches(block)} == want
 
 
@@ -534,20 +535,69 @@ def test_license_windows_equal_brute_force():
         got = index.passages(words)
         best = {}
         for label, text in licenses.TEMPLATES.items():
-            tokens, span = set(text.split()), -(-len(text.split()) * 10 // 8)
-            most = max(len(tokens & set(words[i : i + span])) for i in range(max(1, len(words))))
-            if most >= licenses.tokens_needed(len(tokens), 0.8):
+            tokens, span, need = set(text.split()), -(-len(text.split()) * 10 // 8), licenses.tokens_needed(len(set(text.split())), 0.8)
+            must, rivals, dividers, pairs = licenses.TELLING.get(label, licenses.Telling())
+            taken = {k for k, w in enumerate(words) if w in dividers} | {k for k, w in enumerate(words) for j in range(-2, 3) if w in rivals or 0 <= k + j < len(words) and words[k + j] in rivals}
+            taken |= {k for k in range(len(words)) for j in range(-3, 3) if 0 <= k + j and tuple(words[k + j : k + j + 2]) in pairs}
+
+            def fits(stretch):
+                held = tokens & set(stretch)
+                return len(held) if len(held) >= need and must <= held else 0
+
+            def windows(lo, hi):
+                """All windows between words that the template may not take."""
+                for i in range(lo, hi):
+                    end = next((k for k in range(i, hi) if k in taken), hi)
+                    yield words[i : min(end, i + span)]
+
+            most = max((fits(w) for w in windows(0, len(words))), default=0)
+            if most:
                 best[label] = most / len(tokens)
             mine = sorted((a, n) for a, n, x, _, _ in got if x == label)
-            assert all(a + n <= b for (a, n), (b, _) in zip(mine, mine[1:])) and all(n <= span for _, n in mine)
-            free, at = [], 0
+            assert all(a + n <= b for (a, n), (b, _) in zip(mine, mine[1:])) and all(n <= span and not taken & set(range(a, a + n)) for a, n in mine)
+            at = 0
             for a, n in [*mine, (len(words), 0)]:
-                free.append(words[at:a])
+                assert not any(fits(w) for w in windows(at, a))
                 at = a + n
-            assert not any(len(tokens & set(x[i : i + span])) >= licenses.tokens_needed(len(tokens), 0.8) for x in free for i in range(len(x)))
         assert {x: max(c for _, _, y, c, _ in got if y == x) for _, _, x, _, _ in got} == best
 
 
+CC_NAMES = {"cc-by": "Attribution", "cc-by-nc": "Attribution-NonCommercial", "cc-by-nd": "Attribution-NoDerivatives", "cc-by-sa": "Attribution-ShareAlike", "cc-by-nc-nd": "Attribution-NonCommercial-NoDerivatives", "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike"}
+GNU_TEXTS = {"agpl-3": ("GNU Affero General Public License", "3"), "gpl-2": ("GNU General Public License", "2"), "gpl-3": ("GNU General Public License", "3"), "lgpl-2-1": ("GNU Lesser General Public License", "2.1"), "lgpl-3": ("GNU Lesser General Public License", "3")}
+
+
+def neighbours():
+    """Sentences and headers of licenses that differ in a word, by their only right label."""
+    for label, name in CC_NAMES.items():
+        yield label, f"This work is licensed under a Creative Commons {name} 4.0 International License."
+        yield label, f"Licensed under {label.upper().replace('CC-', 'CC ')} 4.0"
+    for label, (name, version) in GNU_TEXTS.items():
+        yield label, f"This work is licensed under the {name}, version {version}."
+        yield label, f"It is licensed under the {name} version {version} or later"
+        yield label, (
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.\n\n"
+            f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+        )
+    for label in ("bsd-2", "bsd-3"):
+        yield label, licenses.TEMPLATES[f"{label}-full"]
+
+
+def test_neighbouring_licenses_never_take_each_others_label():
+    index = licenses.TemplateIndex(licenses.TEMPLATES, {}, 0.8)
+
+    def labels(text):
+        found = {licenses.label_of(x) for _, _, x, _, best in index.passages(licenses.words_of(text)) if best}
+        return found - {"bsd"} if found & {"bsd-2", "bsd-3"} else found  # a first clause alone is of either
+
+    cases = list(neighbours())
+    for label, text in cases:
+        assert labels(text) == {label}, text
+    for (one, a), (other, b) in combinations(cases, 2):  # both in one text, in either order
+        if one != other:
+            assert labels(f"{a}\n\nThe rest of it is another matter altogether.\n\n{b}") == {one, other}, (a, b)
+            assert labels(f"{b}\n\nThe rest of it is another matter altogether.\n\n{a}") == {one, other}, (a, b)
+
+
 def test_license_odd(spark, odd, none):
     got = {r.doc_id: r for r in licenses.license_scan(odd).collect()}
     assert got[1].n_words == got[2].n_words == 0 and got[5].n_words == 20_000 and not got[5].places
