@@ -98,9 +98,9 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     are left out. Tokens that always stand together are one item, and a rule is a combination of at most ``max_items`` items:
     with all their tokens, so that any number of shared segments is one item. FP-growth proposes combinations that stand
     with their label in ``min_support`` of the URLs, and in ``min_urls`` of them; the labels of all URLs with a proposed
-    combination give its confidence. Pruned are rules below ``min_confidence``; those whose items hold fewer items of a rule
-    of the same verdict that is as confident; and allow rules that are no surer exception to a block rule on some of their
-    items, since URLs without a block rule are allowed anyway. The number of rules depends on the support, not on the rows.
+    combination give its confidence. Pruned are rules below ``min_confidence``, and those whose items hold fewer items of a rule
+    of the same verdict that is as confident. Rules of both verdicts stay, so that the surest rule that fits a URL decides it.
+    The number of rules depends on the support, not on the rows.
     Without labelled URLs there is no rule.
     """
     spark = labelled.sparkSession
@@ -130,13 +130,9 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     # a rule has few items, so that all its proper parts can be looked up
     parts = F.aggregate("tokens", F.array(F.array().cast("array<string>")), lambda acc, x: F.concat(acc, F.transform(acc, lambda a: F.concat(a, F.array(x)))))
     narrow = rules.select("rule_id", "verdict", "confidence", F.explode(F.filter(parts, lambda a: (F.size(a) > 0) & (F.size(a) < F.size("tokens")))).alias("part"))
-    wide = rules.select(F.col("tokens").alias("part"), F.col("verdict").alias("w_verdict"), F.col("confidence").alias("w_confidence"))
-    related = narrow.join(wide, "part").groupBy("rule_id").agg(
-        F.bool_or((F.col("verdict") == F.col("w_verdict")) & (F.col("w_confidence") >= F.col("confidence"))).alias("beaten"),
-        F.bool_or((F.col("w_verdict") == "block") & (F.col("w_confidence") < F.col("confidence"))).alias("surer"),
-    )
-    stays = ~F.coalesce("beaten", F.lit(False)) & ((F.col("verdict") == "block") | F.coalesce("surer", F.lit(False)))
-    kept = rules.join(related, "rule_id", "left").filter(stays).select("rule_id", "verdict", "confidence", "support", F.explode("tokens").alias("item"))
+    wide = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("least"))
+    beaten = narrow.join(wide, ["part", "verdict"]).filter(F.col("least") >= F.col("confidence")).select("rule_id").distinct()
+    kept = rules.join(beaten, "rule_id", "left_anti").select("rule_id", "verdict", "confidence", "support", F.explode("tokens").alias("item"))
     spelt = kept.join(items.select("item", "tokens"), "item").groupBy("rule_id", "verdict", "confidence", "support").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
     return spelt.select("tokens", "verdict", "confidence", "support", "rule_id")
 

@@ -345,6 +345,19 @@ def test_mined_url_rules(spark):
     assert all((r.verdict == "block") == (r.page_id % 4 == 0) for r in got)
 
 
+def test_mined_rules_decide_pages_of_both_kinds(spark):
+    """Planted: bad paths on otherwise good hosts, and a good section of a bad host; nothing but mined rules can tell."""
+    rows = []
+    for i in range(600):
+        host, section = f"h{i % 7}", f"p{i % 5}"
+        bad = host == "h3" and section != "p2" or section == "p4" and host != "h1"
+        rows.append((i, f"https://{host}.example.org/{section}/{i}", bad))
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = urls.judge_urls(df.select("page_id", "url"), df.filter("page_id % 2 = 0").select("page_id", "bad")).collect()
+    assert {r.page_id: r.verdict == "block" for r in got} == {i: bad for i, _, bad in rows}
+    assert all(r.mined_rule is not None for r in got) and len({r.mined_rule for r in got}) > 5
+
+
 def test_match_equals_brute_force(spark, tiny):
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
     read = pages.select(F.col("page_id").alias("url_key"), urls.url_tokens(urls.url_host(F.col("url")), urls.url_path(F.col("url"))).alias("tokens"))
@@ -378,7 +391,7 @@ def brute_rules(rows, needed, confidence, most):
     kept = set()
     for (c, v), p in found.items():
         below = [(w, q) for (d, w), q in found.items() if set(d) < set(c)]
-        if not any(w == v and q >= p for w, q in below) and (v == "block" or any(w == "block" and q < p for w, q in below)):
+        if not any(w == v and q >= p for w, q in below):
             kept.add((tuple(sorted(t for x in c for t in item[x])), v, round(p, 9)))
     return kept
 
