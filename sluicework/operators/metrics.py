@@ -64,19 +64,19 @@ def macro_label_recall(rows: DataFrame, expected: str, labels: Sequence[int] = (
 def nearest_rank(df: DataFrame, group: str, value: str, share: float, accuracy: int = 10_000) -> DataFrame:
     """(group, n, value at place ceil(share * n) in ascending order), exactly, without sorting any group as a whole.
 
-    An approximate quantile sketch brackets the place. Rows are counted by value, and only the distinct values within the
-    bracket are ranked by a running sum, so that a value that fills much of a group is one row. Null values are left out.
+    An approximate quantile sketch brackets the place, in one row a group. Of all other rows only those within the bracket are
+    counted by value, those below it by group alone, both before anything moves; a running sum then ranks a group's counted
+    values. A value that fills much of a group is one row. Null values are left out; a null group is a group.
     """
     rows = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
     slack = 3 / accuracy
     ends = F.percentile_approx("v", [max(0.0, share - slack), min(1.0, share + slack)], accuracy)
-    bounds = rows.groupBy("g").agg(F.count("*").alias("n"), ends.alias("e")).select("g", "n", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
-    placed = rows.groupBy("g", "v").agg(F.count("*").alias("c")).join(bounds, "g")
-    below = placed.groupBy("g").agg(F.sum(F.when(F.col("v") < F.col("lo"), F.col("c")).otherwise(0)).alias("below"))
-    upto = F.sum("c").over(Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = placed.filter("v between lo and hi").withColumn("r", upto)
-    place = F.ceil(F.lit(share).cast("decimal(10,6)") * F.col("n")) - F.col("below")
-    return ranked.join(below, "g").filter((F.col("r") >= place) & (F.col("r") - F.col("c") < place)).select(F.col("g").alias(group), "n", F.col("v").alias("value"))
+    bounds = rows.groupBy(F.col("g").alias("of")).agg(F.count("*").alias("n"), ends.alias("e")).select("of", "n", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+    near = rows.join(bounds, F.col("g").eqNullSafe(F.col("of"))).filter("v <= hi")
+    counted = near.groupBy("g", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))  # null: below
+    upto = F.sum("c").over(Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.ceil(F.lit(share).cast("decimal(10,6)") * F.col("n"))
+    return counted.withColumn("r", upto).filter((F.col("r") >= place) & (F.col("r") - F.col("c") < place)).select(F.col("g").alias(group), "n", F.col("v").alias("value"))
 
 
 def accuracy_by_subset(rows: DataFrame, subsets: str, names: Sequence[str]) -> DataFrame:

@@ -13,27 +13,43 @@ from pyspark.sql.window import Window
 from sluicework.scratch import cut
 
 
+#: Rows of a group that one task may number.
+GROUP_ROWS = 1_000_000
+
+
 def with_ordinal(df: DataFrame, first: int = 1) -> DataFrame:
-    """``df`` with ``ordinal``: the place of each row in the order of its files and of the rows within them.
+    """``df`` with ``ordinal``: the place of each row in the order of its files and of the rows within them. A column of that name is
+    replaced; no other name can clash.
 
     Rows are numbered within their partition and written with their numbers, so that the input is evaluated once, whatever
     order it might have the next time; partitions are then offset by the counts before them, one for each.
     """
-    marked = cut(df.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftrightunsigned("_at", 33))
-    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))
-    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + first
-    return marked.join(F.broadcast(offsets), "_part").withColumn("ordinal", place).drop("_at", "_part", "_before")
+    kept = [c for c in df.columns if c != "ordinal"]
+    marked = cut(df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.monotonically_increasing_id().alias("at"))).withColumn("part", F.shiftrightunsigned("at", 33))
+    counts = marked.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("part", before.alias("before"))
+    place = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + first
+    return marked.join(F.broadcast(offsets), "part").select("row.*", place.alias("ordinal"))
 
 
 def in_order(df: DataFrame, group: str, *order: str) -> DataFrame:
-    """``df`` with ``place``: the place of each row within its group, from 1. Rows are dealt in ranges of group and order, so
-    that a group of very many rows is spread over tasks."""
-    ranged = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    placed = with_ordinal(ranged)
-    firsts = placed.groupBy(F.col(group).alias("_group")).agg(F.min("ordinal").alias("_first"))
-    return placed.join(firsts, F.col(group).eqNullSafe(F.col("_group"))).withColumn("place", F.col("ordinal") - F.col("_first") + 1).drop("_group", "_first", "ordinal")
+    """``df`` with ``place``: the place of each row within its group, from 1; a null group is one.
+
+    Groups are counted first. Those of up to ``GROUP_ROWS`` rows are numbered within one task each; the rows of larger ones
+    are dealt in ranges of group and order, so that a group of very many rows is spread over tasks.
+    """
+    small = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")
+    large = df.groupBy(F.col(group).alias("large")).agg(F.count("*").alias("rows")).filter(F.col("rows") > GROUP_ROWS).select("large")
+    large = cut(large)  # as many as the rows make room for
+    if large.isEmpty():
+        return df.withColumn("place", small)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(group).alias("of"))
+    same, keys = F.col("of").eqNullSafe(F.col("large")), ["of", *[f"row.{c}" for c in order]]
+    placed = with_ordinal(rows.join(large, same, "left_semi").repartitionByRange(*keys).sortWithinPartitions(*keys))
+    firsts = placed.groupBy(F.col("of").alias("group")).agg(F.min("ordinal").alias("first"))
+    spread = placed.join(firsts, F.col("of").eqNullSafe(F.col("group"))).select("row.*", (F.col("ordinal") - F.col("first") + 1).alias("place"))
+    return spread.unionByName(rows.join(large, same, "left_anti").select("row.*").withColumn("place", small))
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from sluicework.jobs import publish
 from sluicework.sources import tables
 from sluicework.streaming.arrivals import append_to, parsed_stream
@@ -70,3 +71,16 @@ def test_stream_parses_each_id_once(spark, tmp_path):
     query.awaitTermination(60)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.sample_id, r.parse_status) for r in rows) == [(0, "missing_marker"), (1, "valid"), (2, "valid")]
+
+
+def test_places_of_large_and_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(tables, "GROUP_ROWS", 20)
+    rows = [(None if k % 3 == 0 else k % 40, k * 7 % 301, "x") for k in range(300)]
+    df = spark.createDataFrame(rows, "g long, t long, first string").withColumns({c: F.lit("y") for c in ("row", "at", "part", "before", "of", "n", "group", "large")}).repartition(6)
+    got = tables.in_order(df, "g", "t").collect()
+    groups = {}
+    for g, t, _ in rows:
+        groups.setdefault(g, []).append(t)
+    want = sorted((str(g), t, k + 1) for g, ts in groups.items() for k, t in enumerate(sorted(ts)))
+    assert sorted((str(r.g), r.t, r.place) for r in got) == want and set(got[0].asDict()) == {*df.columns, "place"}
+    assert tables.in_order(df.limit(0), "g", "t").count() == 0
