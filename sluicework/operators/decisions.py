@@ -107,6 +107,19 @@ def repair_merge(source: DataFrame, repair: DataFrame, on: str, status: str, ori
     return joined.select(on, *rest, F.when(taken, origin[1]).otherwise(origin[0]).alias("origin_run_id"))
 
 
+def only_invalid(source: DataFrame, repair: DataFrame, on: str, status: str, row_id) -> list[str]:
+    """Why one row may not be repaired: it must be the only invalid one of its run, and the repair one valid row of that id.
+    At most two ids of each side reach the driver."""
+    bad = [r[0] for r in source.filter(~F.col(status).eqNullSafe(F.lit("valid"))).select(on).limit(2).collect()]
+    fixes = [(r[0], r[1]) for r in repair.select(on, status).limit(2).collect()]
+    faults = []
+    if bad != [row_id]:
+        faults.append(f"expected only {row_id} invalid; got {bad}{' and perhaps more' if len(bad) == 2 else ''}")
+    if fixes != [(row_id, "valid")]:
+        faults.append("repair run must contain one valid parsed row")
+    return faults
+
+
 def retry_override(base: DataFrame, retries: DataFrame, on: str) -> DataFrame:
     """``base`` with the columns of ``retries`` in place of its own wherever a retry has the id; ``origin`` tells which."""
     given = retries.withColumn("_retry", F.lit(True))

@@ -118,3 +118,20 @@ def run_summary(rows: DataFrame, status: str, seconds: str, project_to: int = 85
         F.count_if(generated & (F.col(status) != "valid")).alias("parse_invalid"),
         F.sum(seconds).alias("seconds"),
     ).withColumn("projected", ratio(F.col("seconds"), F.col("n")) * project_to)
+
+
+def prediction_faults(predictions: DataFrame, row_id: str, label: str, seconds: str) -> DataFrame:
+    """(id, message) of every prediction that breaks the contract of evaluation, both rules: a label of 0, 1 or 2; seconds that
+    are there, a number, and not negative."""
+    good = F.coalesce(F.col(label).isin(0, 1, 2), F.lit(False))
+    time = F.coalesce((F.col(seconds) >= 0) & ~F.isnan(F.col(seconds).cast("double")), F.lit(False))
+    name = F.col(row_id).cast("string")
+    found = F.array_compact(F.array(F.when(~good, F.concat(name, F.lit(": predicted_label must be 0, 1, or 2"))), F.when(~time, F.concat(name, F.lit(": elapsed_seconds must be non-negative")))))
+    return predictions.select(row_id, F.explode(found).alias("message"))
+
+
+def subset_errors(rows: DataFrame, subsets: str, hit: str, names: Sequence[str]) -> DataFrame:
+    """(name, errors): wrong rows of each named subset (``subsets`` is an array), 0 where it has none."""
+    wrong = rows.filter(~F.coalesce(F.col(hit).cast("boolean"), F.lit(False))).select(F.explode(F.array_distinct(subsets)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    dimension = rows.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    return dimension.join(wrong, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("errors"))

@@ -94,3 +94,39 @@ def review_history(joined: DataFrame) -> DataFrame:
     second = event(2, "adjudication", final["adjudicator_id"], final["decision"], final["decision"] == "adjudicated", final["final_label"], final["final_subsets"])
     events = F.when(final.isNotNull() & (review["decision"] == "adjudication_required"), F.array(first, second)).otherwise(F.array(first))
     return joined.filter(review.isNotNull()).select("sample_id", F.inline(events))
+
+
+def review_report(records: DataFrame, decisions: DataFrame, adjudications: DataFrame, on: str, expected: int, coverage: DataFrame) -> DataFrame:
+    """One row on a round of reviews: how many records, decisions, adjudications, reviewed, adjudicated, rejected, disputes, records
+    without a decision, retained and unresolved ones; violations in order, each once; whether there is none.
+
+    ``decisions`` hold the id and decision (reviewed, rejected, adjudication_required), ``adjudications`` the id and decision
+    (accept, reject), one row an id; ids that ``records`` lack do not count as reviews of any. ``coverage`` are further
+    violations (ord, message), a bounded list. Counts are partial sums over one join; nothing is gathered but the messages.
+    """
+    said, last = decisions.select(F.col(on), F.col("decision").alias("_said")), adjudications.select(F.col(on), F.col("decision").alias("_last"))
+    rows = records.select(on).join(said, on, "left").join(last, on, "left")
+    dispute = F.coalesce(F.col("_said") == "adjudication_required", F.lit(False))
+    settled = dispute & F.col("_last").isNotNull()
+    kept = (F.col("_said") == "reviewed", settled & (F.col("_last") == "accept"))
+    counts = rows.agg(
+        F.count("*").alias("input_records"),
+        F.count("_said").alias("decisions"),
+        F.count_if(kept[0]).alias("reviewed"),
+        F.count_if(kept[1]).alias("adjudicated"),
+        F.count_if((F.col("_said") == "rejected") | (settled & (F.col("_last") == "reject"))).alias("rejected"),
+        F.count_if(dispute).alias("disputes"),
+        F.count_if(dispute & ~settled).alias("open_disputes"),
+    )
+    more = adjudications.agg(F.count("*").alias("adjudications"))
+    listed = coverage.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "message"))), lambda v: v["message"]).alias("_coverage"))  # a bounded list
+    one = counts.join(F.broadcast(more), F.lit(True)).join(F.broadcast(listed), F.lit(True))  # one row each
+    missing = F.col("input_records") - F.col("decisions")
+    own = F.array_compact(F.array(
+        F.when(F.col("input_records") != expected, F.lit(f"review input must contain exactly {expected} records")),
+        F.when(missing != 0, F.lit(f"all {expected} input records require a terminal review decision")),
+        F.when(F.col("open_disputes") > 0, F.concat(F.col("open_disputes").cast("string"), F.lit(" disputes require adjudication"))),
+    ))
+    violations = F.array_distinct(F.concat(own, "_coverage"))
+    names = ("input_records", "decisions", "adjudications", "reviewed", "adjudicated", "rejected", "disputes")
+    return one.select(*names, missing.alias("missing_decisions"), (F.col("reviewed") + F.col("adjudicated")).alias("retained"), (missing + F.col("open_disputes")).alias("unresolved"), violations.alias("violations"), (F.size(violations) == 0).alias("promotion_ready"))
