@@ -22,44 +22,54 @@ from sluicework.llm.tokens import WORD_AND_MARKS, TextMemo, byte_chunks, in_runs
 _PLACE = 40
 _AT = (1 << _PLACE) - 1
 #: Chunks that a worker remembers, in each of two generations.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 300_000
+#: Characters of text that a worker looks at together.
+RUN_CHARS = 1_000_000
 
 
 class Merges(NamedTuple):
     """A byte-level vocabulary, ready for merging: ``first[b]`` is the id of byte b, ``at_first`` the rank of every pair of
     bytes or -1, by 256 * left + right; ``rank`` knows mergeable pairs of ids as left * size + right; ``made[rank]`` is the id
-    that a merge makes; ``bytes_of[id]`` is what an id stands for."""
+    that a merge makes."""
 
     size: int
     first: list[int]
     at_first: list[int]
     rank: dict[int, int]
     made: list[int]
-    bytes_of: dict[int, bytes]
+
+
+def _file(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
 
 @lru_cache(maxsize=4)
 def load_merges(path: str) -> Merges:
     """The merges of a tokenizer file. A vocabulary that lacks a byte or a merge's result, or a model that is more than
     merges (dropout, prefixes, whole words first), is an error."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+    model = _file(path)["model"]
     vocab = model["vocab"]
     if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
         raise ValueError(f"not a plain byte-level BPE: {path}")
-    letters = byte_letters()
-    bytes_of = {i: _bytes(t, letters) for t, i in vocab.items()}
-    bytes_of |= {i: _bytes(t.content, letters) for i, t in load_tokenizer(path).get_added_tokens_decoder().items()}
     first = [0] * 256
-    for letter, b in letters.items():
+    for letter, b in byte_letters().items():
         first[b] = vocab[letter]
-    size = max(bytes_of) + 1
+    size = max(vocab.values()) + 1
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     rank: dict[int, int] = {}
     for k, (a, b) in enumerate(pairs):
         rank[vocab[a] * size + vocab[b]] = k
     at_first = [rank.get(a * size + b, -1) for a in first for b in first]
-    return Merges(size, first, at_first, rank, [vocab[a + b] for a, b in pairs], bytes_of)
+    return Merges(size, first, at_first, rank, [vocab[a + b] for a, b in pairs])
+
+
+@lru_cache(maxsize=4)
+def load_strings(path: str) -> dict[int, bytes]:
+    """What each id of a tokenizer file stands for, added tokens included. Decoding needs no more than this."""
+    found, letters = _file(path), byte_letters()
+    strings = {i: _bytes(t, letters) for t, i in found["model"]["vocab"].items()}
+    return strings | {t["id"]: _bytes(t["content"], letters) for t in found.get("added_tokens") or ()}
 
 
 def _bytes(token: str, letters: dict[str, int]) -> bytes:
@@ -74,7 +84,7 @@ def merge(data: bytes, merges: Merges) -> list[int]:
     has come up; an entry is stale, and skipped, unless the pair at its place still has that rank. n bytes take O(n log n) time
     and O(n) memory.
     """
-    size, first, at_first, ranks, made, _ = merges
+    size, first, at_first, ranks, made = merges
     symbol = [first[b] for b in data]
     n = len(symbol)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -138,7 +148,7 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
 def decode_ids(path: str, ids: bytes) -> str:
     """The text of ids: their strings one after the other, read as UTF-8, with a mark for what is not. Ids that the
     vocabulary does not have stand for nothing."""
-    strings = load_merges(path).bytes_of
+    strings = load_strings(path)
     return b"".join([strings.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode(errors="replace")
 
 
@@ -155,7 +165,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for run in in_runs(batch.column(1).to_pylist()):
+            for run in in_runs(batch.column(1).to_pylist(), RUN_CHARS):
                 raw = encode_texts(tokenizer_path, run)
                 names, sizes = batch.column(0).slice(at, len(raw)), pa.array([len(x) // 4 for x in raw], pa.int64())
                 yield pa.RecordBatch.from_arrays([names, sizes, pa.array(raw, pa.binary())], names=[id_col, "n_tokens", "ids"])
