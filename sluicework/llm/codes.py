@@ -39,15 +39,18 @@ class Cells:
         step = max(1, STEP_NUMBERS // (4 * entries))
         for at in range(0, len(cells), step):
             grid = np.frombuffer(b"".join(cells[at : at + step]), "<i8").reshape(-1, width)
-            near, far = np.zeros((2, len(grid), entries), np.int64)
+            widest = (int(abs(grid).max()) + 2) * self.side + int(abs(self.book).max())
+            kind = np.int32 if width * widest**2 < 1 << 31 else np.int64
+            near, far = np.zeros((2, len(grid), entries), kind)
             for k in range(width):
                 levels, back = np.unique(grid[:, k], return_inverse=True)
                 low = self.book[:, k] - levels[:, None] * self.side
                 high = low - (self.side - 1)
-                near += (np.maximum(0, np.maximum(high, -low)) ** 2)[back]
-                far += (np.maximum(abs(low), abs(high)) ** 2)[back]
+                near += (np.maximum(0, np.maximum(high, -low)) ** 2).astype(kind)[back]
+                far += (np.maximum(abs(low), abs(high)) ** 2).astype(kind)[back]
             kept = near <= far.min(1)[:, None]
-            found += [np.flatnonzero(row).astype(np.uint8).tobytes() for row in kept]
+            numbers, ends = np.nonzero(kept)[1].astype(np.uint8).tobytes(), np.cumsum(kept.sum(1)).tolist()
+            found += [numbers[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return found
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
