@@ -22,9 +22,9 @@ from sluicework.llm.tokens import WORD_AND_MARKS, TextMemo, byte_chunks, in_runs
 _PLACE = 40
 _AT = (1 << _PLACE) - 1
 #: Chunks that a worker remembers, in each of two generations.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 600_000
 #: Characters of text that a worker looks at together.
-RUN_CHARS = 1_000_000
+RUN_CHARS = 2_000_000
 
 
 class Merges(NamedTuple):
