@@ -78,6 +78,15 @@ def test_every_fault_of_a_line(spark, images):
     assert records.record_faults(df.limit(0), images, "/root").count() == 0
 
 
+def test_forbidden_provenance_needs_both_fields(spark, images):
+    """A marker in one of two fields is no fault where the other is missing: that breaks the first rule only."""
+    marked = GOOD | {"source_uri_or_note": "from the LEADERBOARD"}
+    lines = [{k: v for k, v in marked.items() if k != "image_ref"}, {k: v for k, v in GOOD.items() if k != "source_uri_or_note"} | {"image_ref": "test.csv"}, marked]
+    df = spark.createDataFrame([(k, json.dumps(x)) for k, x in enumerate(lines)], "ordinal long, line string")
+    got = {r.ordinal: [f.code for f in r.faults] for r in records.record_faults(df, images, "/root").collect()}
+    assert got == {0: ["missing"], 1: ["missing", "image_missing"], 2: ["forbidden"]}
+
+
 def test_answer_lists(spark):
     cases = [
         ('["a ", "\\u00a0b", "c"]', ["a", "b", "c"], None),
