@@ -66,14 +66,15 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def _image(text: str, damage: str) -> bytes:
-    """An image whose pixels are a text, damaged in some way."""
+    """An image whose pixels are a text, damaged in some way. Pixels that are not packed begin with two bytes that are no header
+    of zlib's, so that none of a text's can make one of them."""
     data = text.encode()
     if damage.startswith(("gif", "webp", "jpeg", "text")):
         whole = {"gif": b"GIF89a" + data + b"........;", "webp": b"RIFF" + (len(data) + 16).to_bytes(4, "little") + b"WEBP" + data + b"." * 12, "jpeg": b"\xff\xd8\xff" + data + b"...\xff\xd9", "text": b"text" + data}[damage.removesuffix("_cut")]
         return whole[:-1] if damage.endswith("_cut") else whole
     head = _chunk(b"IHDR", (0 if damage == "size_0" else 7).to_bytes(4, "big") + b"\0\0\0\1\x08\0\0\0\0")
     packed = zlib.compress(data, 1)
-    packed = {"not_packed": b"?" + data, "half_packed": packed[:-4]}.get(damage, packed)
+    packed = {"not_packed": b"??" + data, "half_packed": packed[:-4]}.get(damage, packed)
     middle = _chunk(b"IDAT", packed[: len(packed) // 2]) + _chunk(b"tEXt", b"x") + _chunk(b"IDAT", packed[len(packed) // 2 :])
     end = {"no_end": b"", "end_data": _chunk(b"IEND", b"x")}.get(damage, _chunk(b"IEND", b""))
     found = b"\x89PNG\r\n\x1a\n" + head * (2 if damage == "two_heads" else 1) + middle + end + (b"x" if damage == "behind" else b"")

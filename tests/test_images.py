@@ -42,3 +42,9 @@ def test_every_damage_is_told(spark):
         assert images.structure_fault(_image("x" * 40, "none")[:cut])
     df = spark.createDataFrame([(1, None), (2, b""), (2, b""), (None, b"GIF89a........;")], "id int, content binary")
     assert sorted((str(r.id), r.fault) for r in images.structure_faults(df, "id", "content").collect() if r.fault) == [("2", "image decode failed: unsupported image container")] * 2
+
+
+def test_pixels_that_are_not_packed_have_one_fault_whatever_their_text():
+    """One byte before a text is a header of zlib's with one text in 31."""
+    found = {images.structure_fault(_image(chr(c) + "a text of pixels", "not_packed")) for c in range(1, 1000)} | {images.structure_fault(_image("", "not_packed"))}
+    assert found == {"image decode failed: invalid PNG pixel data: Error -3 while decompressing data: incorrect header check"}
