@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.token_counts import byte_letters
-from sluicework.llm.tokens import WORD_AND_MARKS, TextMemo, byte_chunks, in_runs, load_tokenizer, special_strings
+from sluicework.llm.tokens import WORD_AND_MARKS, TextMemo, byte_chunks, byte_letters, in_runs, load_tokenizer, special_strings
 
 #: Bits of a queue entry that hold the place; the rank stands above them.
 _PLACE = 40

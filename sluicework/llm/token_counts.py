@@ -9,14 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.tokens import TextMemo, encode_all, in_runs, load_tokenizer, word_chunks
-
-
-def byte_letters() -> dict[str, int]:
-    """The letter that byte-level vocabularies write for each byte: printable Latin-1 as itself, the rest from 256 up."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = (b for b in range(256) if b not in printable)
-    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+from sluicework.llm.tokens import TextMemo, byte_letters, encode_all, in_runs, load_tokenizer, word_chunks
 
 
 @lru_cache(maxsize=4)

@@ -170,6 +170,19 @@ def test_ids_of_hard_texts(text):
         assert np.frombuffer(own(path, [text])[0], "<u4").tolist() == library(path).encode(text, add_special_tokens=False).ids
 
 
+def test_model_words_encode_as_the_library_does():
+    """Words of proven letters go to the model alone, new chunks cost one look each."""
+    path = queries.BYTE_TOKENIZER
+    words = [f"{space}{word}" for space in ("", " ") for word in ("a", "the", "Straße", "œuvre", "ÿÖ", "antidisestablishmentarianism", "x" * 300, "endoftext")]
+    assert tokens.model_words(path, words, 2) == [np.array(ids, "<u2").tobytes() for ids in tokens.encode_all(path, words)]
+    assert tokens.model_words(queries.WORD_TOKENIZER, words, 2) is None
+    looked: list = []
+    memo = tokens.ChunkMemo(lambda chunks: looked.extend(chunks) or [np.array([len(c)]) for c in chunks], limit=3)
+    for lists in ([["a", "bb", "a"], []], [["bb", "ccc", "a"]], [["dddd"] * 3, ["bb", "ccc"]], [["a", "dddd"]]):
+        assert [[int(v[0]) for v in values] for values in memo.values(lists)] == [[len(c) for c in chunks] for chunks in lists]
+    assert sorted(looked) == ["a", "bb", "ccc", "dddd"]  # the old generation is asked before the tokenizer
+
+
 def test_chunks_come_back_from_the_old_generation():
     memo = tokens.ChunkMemo(lambda chunks: [c.upper() for c in chunks], limit=4)
     for lists in ([["a", "b", "c"]], [["d", "e", "a"]], [["a", "b"], ["x", "y", "z", "w", "a"]], [[]], [["b", "b"]]):
