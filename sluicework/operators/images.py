@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicework.functions.batches import pieces
+
 #: The bytes that image files begin with, as hex patterns of the first twelve.
 MAGIC = {"jpeg": "^FFD8FF", "png": "^89504E470D0A1A0A", "gif": "^47494638(37|39)61", "webp": "^52494646.{8}57454250"}
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -118,7 +120,7 @@ def structure_faults(images: DataFrame, row_id: str, content: str) -> DataFrame:
     kind = images.schema[row_id].dataType.simpleString()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             faults = [None if x is None else structure_fault(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(faults, pa.string())], names=[row_id, "fault"])
 

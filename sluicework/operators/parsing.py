@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicework.functions.batches import pieces
 from sluicework.functions.text import strip
 
 #: Fixed values of the output contract.
@@ -79,7 +80,7 @@ def decoded_json(rows: DataFrame, row_id: str, body: Column) -> DataFrame:
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             errors, kinds, texts = [], [], []
             for text in batch.column(1).to_pylist():
                 error, found = strict_object(text) if text is not None else (None, None)
@@ -233,7 +234,7 @@ def first_object(rows: DataFrame, row_id: str, output: str) -> DataFrame:
         return None
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(search, batch.column(1).to_pylist())), pa.string())], names=[row_id, "found"])
 
     kind = rows.schema[row_id].dataType.simpleString()

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicework.functions.batches import pieces
 from sluicework.operators.parsing import strict_object
 
 _ITEM = pa.struct([("kind", pa.string()), ("text", pa.string())])
@@ -60,7 +61,7 @@ def typed_json(rows: DataFrame, row_id: str, body: Column, strict: bool = False)
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             errors, reasons, roots, fields = [], [], [], []
             for text in batch.column(1).to_pylist():
                 error = reason = found = None

@@ -4,9 +4,11 @@ import hashlib
 import json
 import posixpath
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sluicework.functions import paths
+from sluicework.functions.batches import pieces
 from sluicework.operators import records, rules, typed
 from sluicework.operators.images import image_format
 
@@ -78,6 +80,14 @@ def test_every_fault_of_a_line(spark, images):
     assert records.record_faults(df.limit(0), images, "/root").count() == 0
 
 
+def test_batches_come_in_pieces_of_bounded_size():
+    texts = ["a" * n for n in (3, 0, 9, 40, 1, 1)] + [None, "é" * 4, None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(x, pa.string())], names=["id", "t"]) for x in (texts, [], texts[:1])]
+    got = [piece.column(1).to_pylist() for piece in pieces(batches, 10)]
+    assert [t for piece in got for t in piece] == texts + texts[:1]
+    assert all(len(piece) == 1 or sum(len((t or "").encode()) for t in piece) <= 10 for piece in got) and len(got) == 5
+
+
 def test_forbidden_provenance_needs_both_fields(spark, images):
     """A marker in one of two fields is no fault where the other is missing: that breaks the first rule only."""
     marked = GOOD | {"source_uri_or_note": "from the LEADERBOARD"}
