@@ -18,8 +18,11 @@ def words(text: Column) -> Column:
 
 def phrases(word_list: Column, n: int) -> Column:
     """Every run of ``n`` consecutive words, as one string; repeated ones as often as they stand there."""
-    starts = F.when(F.size(word_list) >= n, F.sequence(F.lit(1), F.size(word_list) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.array_join(F.slice(word_list, k, n), " "))
+    found = word_list
+    for k in range(1, n):
+        left = F.size(word_list) - k
+        found = F.zip_with(F.slice(found, F.lit(1), left), F.slice(word_list, F.lit(k + 1), left), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(word_list) >= n, found).otherwise(F.array().cast("array<string>"))
 
 
 def prefix(word_list: Column, n: int) -> Column:
@@ -36,11 +39,8 @@ def top_values(rows: DataFrame, group: str, facets: Mapping[str, Column], k: int
     group is a group. Repeated rows count each.
     """
 
-    def marked(name: str, values: Column) -> Column:
-        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
-
-    named = F.flatten(F.array(*[marked(name, values) for name, values in facets.items()]))
-    counted = rows.select(F.col(group), F.explode(named).alias("v")).select("v.facet", group, "v.value").filter(F.col("value").isNotNull())
+    named = F.array(*[F.struct(F.lit(name).alias("facet"), values.alias("values")) for name, values in facets.items()])
+    counted = rows.select(F.col(group), F.inline(named)).select("facet", group, F.explode("values").alias("value")).filter(F.col("value").isNotNull())
     counted = counted.groupBy("facet", group, "value").agg(F.count("*").alias("n"))
     order = Window.partitionBy("facet", group).orderBy(F.desc("n"), "value")
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("facet", group, "rank", "value", "n")
