@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicework.functions.batches import pieces
 from sluicework.jobs.inputs import draw, table, to_duck, to_spark
 from sluicework.operators import images
 from sluicework.scratch import Scratch
@@ -16,20 +17,24 @@ from sluicework.sources.tables import read_files
 
 HEADER = ("doc_id", "text", "lang")
 _SHAPE = draw(201, 16)
+#: Documents of the files that are written side by side, all sources together.
+FILE_DOCUMENTS = 10_000
 
 
 def csv_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as CSV records, quotes and line ends within their texts, some with a field too few or too many, a
-    blank record behind them, or text behind a quote; a file for each source. Each defect names the document it is found at
+    blank record behind them, or text behind a quote; files for each source, of some thousands of documents each. Each defect names the document it is found at
     or behind."""
     quoted = F.concat(F.lit('"'), F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", " "), F.lit('"'), F.lit('""')), F.lit('"'))
     shape = F.expr(to_spark(_SHAPE))
     end = F.when(shape == 0, "").when(shape == 1, ",x,y").when(shape == 2, ",x\n").when(shape == 3, "x,y").otherwise(F.concat(F.lit(","), F.coalesce("lang", F.lit(""))))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.concat(F.col("doc_id").cast("string"), F.lit(","), quoted, end).alias("value"))
-    heads = docs.select("source").distinct().select(F.lit(-1).cast("long").alias("doc_id"), "source", F.lit(",".join(HEADER)).alias("value"))
+    given = table(spark, sf_dir, "documents")
+    n_parts = -(-given.count() // FILE_DOCUMENTS) or 1
+    docs = given.select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).alias("part"), F.concat(F.col("doc_id").cast("string"), F.lit(","), quoted, end).alias("value"))
+    heads = docs.select("source", "part").distinct().select(F.lit(-1).cast("long").alias("doc_id"), "source", "part", F.lit(",".join(HEADER)).alias("value"))
     scratch = Scratch(spark, "csv")
-    rows = docs.unionByName(heads).repartition("source").sortWithinPartitions("source", "doc_id")
-    rows.select("source", "value").write.partitionBy("source").text(scratch.path("files"))
+    rows = docs.unionByName(heads).repartition(n_parts, "source", "part").sortWithinPartitions("source", "part", "doc_id")
+    rows.select("source", "part", "value").write.partitionBy("source", "part").text(scratch.path("files"))
     scan = csv_scan.scan_csv(spark, scratch.path("files"))
     faults = csv_scan.record_faults(scan, HEADER).unionByName(csv_scan.header_faults(scan, HEADER))
     ids = scan.select("file", "number", F.get("fields", F.lit(0)).alias("id"))
@@ -87,7 +92,7 @@ def image_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as pixels of images, every other one damaged."""
 
     def draw_images(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             made = [_image(t or "", DAMAGE[k] if k < len(DAMAGE) else "none") for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["doc_id", "content"])
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from sluicework.functions.text import strip
 from sluicework.operators.rules import all_faults
@@ -26,6 +27,19 @@ def _end(line: Column, begins: str) -> Column:
     return F.struct((~line.rlike(whole) & line.rlike(open_)).alias("open"), (~line.rlike(whole) & ~line.rlike(open_)).alias("broken"))
 
 
+def _states(rows: DataFrame, order: WindowSpec) -> DataFrame:
+    """``rows`` that map a state (open or not) to another, as ``out.open`` and ``in.open``, with what is known of the state before
+    each: the one behind the last row that ends alike in both cases (``known``, null if there is none), and whether the rows
+    behind that one swap it (``odd``)."""
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    constant, swaps = F.col("out.open") == F.col("in.open"), F.col("out.open") & ~F.col("in.open")
+    counted = rows.withColumn("swapped", F.sum(swaps.cast("long")).over(upto))
+    last = F.last(F.when(constant, F.struct(F.col("out.open").alias("open"), "swapped")), ignorenulls=True).over(before)
+    counted = counted.withColumn("last", last).withColumn("earlier", F.coalesce(F.lag("swapped").over(order), F.lit(0)))
+    odd = (F.col("earlier") - F.coalesce("last.swapped", F.lit(0))) % 2 == 1
+    return counted.withColumns({"known": F.col("last.open"), "odd": odd}).drop("swapped", "last", "earlier")
+
+
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     """(file, number, text, fields, broken, valid): the logical records of every CSV file, blank ones included, from 1.
 
@@ -33,21 +47,30 @@ def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     quote or quotes are still open at the end (``broken``), and whether it is UTF-8 (``valid``). A blank record has no fields. Records may
     run over lines: each line maps the state it begins in, outside or inside quotes, to the state it ends in; states
     before a line follow from the last line that ends alike in both cases and the number of those behind it that swap
-    them, which are running aggregates over a file. So a file is scanned by one task, as with any reader of records that run
-    over lines; files are scanned side by side. An empty file has no records.
+    them, which are running aggregates over a block of a file. A block, too, maps the state it begins in to the one it
+    ends in and to the number of records that begin in it: one row a block, added up along each file and joined back. So no
+    task holds more than a block, however long a file is. An empty file has no records.
     """
     raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value"))
     line = raw.withColumn("line", F.regexp_replace(F.make_valid_utf8("value"), "\r$", "")).withColumn("valid", F.is_valid_utf8("value"))
     ends = line.withColumns({"out": _end(F.col("line"), "outside"), "in": _end(F.col("line"), "inside")})
-    constant, swaps = F.col("out.open") == F.col("in.open"), F.col("out.open") & ~F.col("in.open")
-    by_file = Window.partitionBy("file").orderBy("block", "at")
-    upto, before = by_file.rowsBetween(Window.unboundedPreceding, 0), by_file.rowsBetween(Window.unboundedPreceding, -1)
-    counted = ends.withColumn("swapped", F.sum(swaps.cast("long")).over(upto))
-    last = F.last(F.when(constant, F.struct(F.col("out.open").alias("open"), "swapped")), ignorenulls=True).over(before)
-    counted = counted.withColumn("last", last).withColumn("earlier", F.coalesce(F.lag("swapped").over(by_file), F.lit(0)))
-    odd = (F.col("earlier") - F.coalesce("last.swapped", F.lit(0))) % 2 == 1
-    inside = F.coalesce("last.open", F.lit(False)) != odd
-    stated = counted.withColumn("inside", inside).withColumn("number", F.sum((~F.col("inside")).cast("long")).over(upto))
+    stated = _states(ends, Window.partitionBy("file", "block").orderBy("at"))
+    # whether a line is inside quotes, by the state that its block begins in
+    inside = {False: F.coalesce("known", F.lit(False)) != F.col("odd"), True: F.coalesce("known", F.lit(True)) != F.col("odd")}
+    last = {begins: F.max_by(F.when(inside[begins], F.col("in.open")).otherwise(F.col("out.open")), "at") for begins in inside}
+    blocks = stated.groupBy("file", "block").agg(
+        F.struct(last[False].alias("open")).alias("out"), F.struct(last[True].alias("open")).alias("in"),
+        F.count_if(~inside[False]).alias("starts_out"), F.count_if(~inside[True]).alias("starts_in"),
+    )
+    along = Window.partitionBy("file").orderBy("block")
+    blocks = _states(blocks, along).withColumn("begins", F.coalesce("known", F.lit(False)) != F.col("odd"))
+    starts = F.when(F.col("begins"), F.col("starts_in")).otherwise(F.col("starts_out"))
+    earlier = F.coalesce(F.sum(starts).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "begins", earlier.alias("earlier"))
+    stated = stated.join(F.broadcast(blocks), (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))  # one row a block
+    stated = stated.withColumn("inside", F.coalesce("known", "begins") != F.col("odd"))
+    upto = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    stated = stated.withColumn("number", F.col("earlier") + F.sum((~F.col("inside")).cast("long")).over(upto))
     end = F.when(F.col("inside"), F.col("in")).otherwise(F.col("out"))
     lines = F.array_sort(F.collect_list(F.struct("block", "at", "line")))
     records = stated.withColumn("end", end).groupBy("file", "number").agg(

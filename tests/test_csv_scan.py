@@ -3,6 +3,7 @@
 import csv
 import io
 import random
+import re
 
 from pyspark.sql import functions as F
 from sluicework.sources import csv_scan
@@ -32,6 +33,23 @@ def test_records_are_those_of_the_csv_module(spark, tmp_path):
         assert len(got[name]) == len(want) and not any(r.broken for r in got[name].values())
 
 
+def test_a_file_is_scanned_block_by_block(spark, tmp_path):
+    """Records, numbers and quotes are the same however a file falls into blocks, and no step gathers a whole file's lines."""
+    rng = random.Random(7)
+    text = "a,b\n" + "".join(rng.choice(['1,"x\ny"\n', '2,"\n\n""\n"\n', "3,4\n", "\n", '5,"a"b\n', '6,"' + "z\n" * 30 + '"\n']) for _ in range(150)) + '7,"open\n8\n'
+    files = put(tmp_path, one=text, two='x"y\n' * 20)
+    whole = sorted(tuple(r) for r in csv_scan.scan_csv(spark, files).collect())
+    try:
+        for size in ("16", "100", "1000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            scan = csv_scan.scan_csv(spark, files)
+            assert sorted(tuple(r) for r in scan.collect()) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(whole) > 150 and "hashpartitioning(file#" in (plan := scan._jdf.queryExecution().toString())
+    assert re.search(r"hashpartitioning\(file#\d+L?, block#", plan)
+
+
 def test_defects_are_kept_and_told(spark, tmp_path):
     files = put(tmp_path, bad='a,b\n1,2\n\n1\n1,2,3\n"x"y,2\n3,"4\n5\n', empty="", head="a,b\n", other="b,a\n1,2\n", bytes=b"a,b\n\xff,2\n")
     scan = csv_scan.scan_csv(spark, files)
