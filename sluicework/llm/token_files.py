@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sluicework.functions.batches import pieces
 from sluicework.llm.tokens import byte_ids, id_width, in_runs
 from sluicework.scratch import Scratch
 
@@ -27,29 +28,61 @@ from sluicework.scratch import Scratch
 LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3).astype(np.uint8) + 1
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit or 16-bit ranks."""
+#: Bytes of ids, or of their data, that a task codes together.
+PIECE_BYTES = 1 << 20
+
+
+def _cut(flat: bytes, ends: np.ndarray) -> list[bytes]:
+    at = ends.tolist()
+    return [flat[a:b] for a, b in zip([0, *at], at)]
+
+
+def encode_lists(ranks: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of each of several lists of unsigned 32-bit or 16-bit ranks, which stand one after the other."""
     n, top = len(ranks), int(ranks.max(initial=0))
-    codes = np.zeros(-(-n // 4) * 4, np.uint8)
+    codes = np.zeros(n, np.uint8)
     for limit in (0xFF, 0xFFFF, 0xFFFFFF):
         if top > limit:
-            codes[:n] += ranks > limit
-    four = codes.view("<u4")  # two bits of each of its bytes, moved together
+            codes += ranks > limit
+    ends, fours = np.cumsum(sizes), np.cumsum(-(-sizes // 4))
+    padded = np.zeros(4 * int(fours[-1]) if len(fours) else 0, np.uint8)
+    for to, a, b in zip([0, *(4 * fours).tolist()], (ends - sizes).tolist(), ends.tolist()):
+        padded[to : to + b - a] = codes[a:b]
+    four = padded.view("<u4")  # two bits of each of its bytes, moved together
     control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8)
     width = 2 if top <= 0xFFFF else 4
     raw = ranks.astype(f"<u{width}", copy=False).view(np.uint8).reshape(n, width)
-    return control.tobytes(), raw[np.arange(width, dtype=np.uint8) <= codes[:n, None]].tobytes()
+    data = raw[np.arange(width, dtype=np.uint8) <= codes[:, None]]
+    more = np.append(0, np.cumsum(codes, dtype=np.int64))
+    return _cut(control.tobytes(), fours), _cut(data.tobytes(), ends + more[ends])
 
 
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ranks again: a table gives four lengths for each control byte, and with them the bytes' places."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+def decode_lists(control: list[bytes], data: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The ranks of all lists again: a table gives four lengths for each control byte, and with them the bytes' places."""
+    lengths = LENGTHS[np.frombuffer(b"".join(control), np.uint8)].reshape(-1)
+    starts = 4 * np.cumsum([0, *map(len, control)])
+    lengths = np.concatenate([lengths[:0], *(lengths[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist()))])
     width = 2 if lengths.max(initial=1) <= 2 else 4
-    raw = np.zeros((n, width), np.uint8)
-    raw[np.arange(width, dtype=np.uint8) < lengths[:, None]] = np.frombuffer(data, np.uint8)
+    raw = np.zeros((len(lengths), width), np.uint8)
+    raw[np.arange(width, dtype=np.uint8) < lengths[:, None]] = np.frombuffer(b"".join(data), np.uint8)
     return raw.reshape(-1).view(f"<u{width}")
 
 
+def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control and data bytes of one list."""
+    (control,), (data,) = encode_lists(ranks, np.array([len(ranks)]))
+    return control, data
+
+
+def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The ranks of one list."""
+    return decode_lists([control], [data], np.array([n]))
+
+
+def _values(batch: pa.RecordBatch, column: str) -> list[bytes]:
+    return batch.column(column).to_numpy(zero_copy_only=False).tolist()
+
+
 def _tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, width: int) -> DataFrame:
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
@@ -71,8 +104,8 @@ def _tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str,
 def _frequencies(tokenised: DataFrame, width: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            new = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{width}"))
+        for batch in pieces(batches, PIECE_BYTES, 0):
+            new = np.bincount(np.frombuffer(b"".join(_values(batch, "raw")), f"<u{width}"))
             total = np.pad(total, (0, max(0, len(new) - len(total))))
             total[: len(new)] += new
         ids = np.flatnonzero(total)
@@ -102,19 +135,20 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, id_col: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         within = 0
-        for batch in batches:
+        for batch in pieces(batches, PIECE_BYTES, at_raw):
             sizes = batch.column("n_tokens").to_numpy()
             starts = within + np.cumsum(sizes) - sizes
             within += int(sizes.sum())
-            coded = [encode_ranks(table.value[np.frombuffer(raw, f"<u{width}")]) for raw in batch.column("raw").to_pylist()]
+            control, data = encode_lists(table.value[np.frombuffer(b"".join(_values(batch, "raw")), f"<u{width}")], sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("shard"), batch.column(id_col), pa.array(starts, pa.int64()), batch.column("n_tokens"), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                [batch.column("shard"), batch.column(id_col), pa.array(starts, pa.int64()), batch.column("n_tokens"), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
                 names=["shard", id_col, "within", "n_tokens", "control", "data"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     ordered = tokenised.withColumn("sum", F.crc32("raw")).repartitionByRange(id_col).sortWithinPartitions(id_col, "sum", "n_tokens")
     ordered = ordered.withColumn("shard", F.spark_partition_id())
+    at_raw = ordered.columns.index("raw")
     ordered.mapInArrow(encode, f"shard int, `{id_col}` {kind}, within long, n_tokens long, control binary, data binary").write.option("compression", "none").parquet(f"{path}/ids")
     scratch.drop()
     sizes = spark.read.parquet(f"{path}/ids").groupBy("shard").agg(F.sum("n_tokens").alias("n"))
@@ -128,11 +162,13 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     pairs = spark.read.parquet(f"{path}/ranks").select("rank", "id").orderBy("rank").collect()  # the vocabulary's size at most
     table = spark.sparkContext.broadcast(np.array([r["id"] for r in pairs], "<u4"))
     ids = spark.read.parquet(f"{path}/ids")
+    at_data = ids.columns.index("data")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_tokens")), strict=True)
-            raw = [table.value[decode_ranks(*row)].tobytes() for row in rows]
+        for batch in pieces(batches, PIECE_BYTES, at_data):
+            sizes = batch.column("n_tokens").to_numpy()
+            ids = table.value[decode_lists(_values(batch, "control"), _values(batch, "data"), sizes)]
+            raw = _cut(ids.tobytes(), 4 * np.cumsum(sizes))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("shard", id_col, "within", "n_tokens")] + [pa.array(raw, pa.binary())], names=["shard", id_col, "within", "n_tokens", "ids"])
 
     kind = ids.schema[id_col].dataType.simpleString()

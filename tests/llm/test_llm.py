@@ -183,6 +183,26 @@ def test_model_words_encode_as_the_library_does():
     assert sorted(looked) == ["a", "bb", "ccc", "dddd"]  # the old generation is asked before the tokenizer
 
 
+def test_a_run_of_texts_looks_up_each_distinct_chunk_once():
+    """New words go to the model many at a time, with the punctuation behind them, and their ids are those of the library."""
+    path, shared = queries.BYTE_TOKENIZER, tokens._memo(queries.BYTE_TOKENIZER, True, 2)
+    words = [f"{space}{word}{marks}" for space in ("", " ") for word in ("a", "Straße", "œuvre", "x" * 300) for marks in ("", "!", "'", "$$$", "_-", "<|>")]
+    parts = [c.replace("!", "\r!").replace("'", "\r'") for c in words if c[-1] in "!'"]
+    assert [np.frombuffer(b, "<u2").tolist() for b in tokens.model_words(path, parts, 2)] == tokens.encode_all(path, [c.replace("\r", "") for c in parts])
+    assert [np.frombuffer(b, "<u2").tolist() for b in tokens._encoder(path, True, 2)([*words, "a1", ""])] == tokens.encode_all(path, [*words, "a1", ""])
+    many = [f"w{'abcdefghij'[k % 10] * (k // 10 + 1)}" for k in range(2 * tokens._WORDS_TOGETHER + 1)]
+    assert [np.frombuffer(b, "<u2").tolist() for b in tokens.model_words(path, many, 2)] == tokens.encode_all(path, many)
+    asked: list = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(shared.parts, "of_distinct", lambda chunks, real=shared.parts.of_distinct: asked.extend(chunks) or real(chunks))
+        texts = ["so it is. so it was", "", "a  b", "it is so, it was so", "x<|endoftext|>y", "\n"]
+        assert [np.frombuffer(b, "<u2").tolist() for b in tokens.byte_ids(path, texts, 2)] == [library(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(asked) == ["", "\n", " is", " it", " so", " was", ",", ".", "it", "so"]
+    memo = tokens.ChunkMemo(lambda chunks: [c.upper() for c in chunks], limit=4)
+    for chunks in (["a", "b", "c"], ["d", "e", "a"], ["a", "b", "x"], ["y", "z", "w", "q", "a"], [], ["b", "a"]):
+        assert memo.of_distinct(chunks) == [c.upper() for c in chunks]
+
+
 def test_chunks_come_back_from_the_old_generation():
     memo = tokens.ChunkMemo(lambda chunks: [c.upper() for c in chunks], limit=4)
     for lists in ([["a", "b", "c"]], [["d", "e", "a"]], [["a", "b"], ["x", "y", "z", "w", "a"]], [[]], [["b", "b"]]):
@@ -258,6 +278,15 @@ def test_rank_coding_round_trip(ranks):
     assert len(control) == -(-len(ranks) // 4)
 
 
+def test_lists_are_coded_together():
+    """The lists of many documents at once give the bytes of each alone."""
+    for lists in ([], [[]], [[5], [], [256, 3, 70_000], [0] * 4, [1, 2**32 - 1]], [[300, 2, 1, 0, 9], [7], []]):
+        sizes, flat = np.array([len(x) for x in lists], np.int64), np.array([r for x in lists for r in x], "<u4")
+        control, data = token_files.encode_lists(flat, sizes)
+        assert list(zip(control, data, strict=True)) == [token_files.encode_ranks(np.array(x, "<u4")) for x in lists]
+        assert token_files.decode_lists(control, data, sizes).tolist() == flat.tolist()
+
+
 # secrets
 
 
