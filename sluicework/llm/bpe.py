@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluicework.llm.tokens import WORD_AND_MARKS, TextMemo, byte_chunks, byte_letters, in_runs, load_tokenizer, special_strings
+from sluicework.llm.tokens import WORD_AND_MARKS, TextMemo, byte_letters, in_runs, load_tokenizer, remembered_ids, special_strings
 
 #: Bits of a queue entry that hold the place; the rank stands above them.
 _PLACE = 40
 _AT = (1 << _PLACE) - 1
 #: Chunks that a worker remembers, in each of two generations.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 400_000
 #: Characters of text that a worker looks at together.
 RUN_CHARS = 2_000_000
 
@@ -130,9 +130,7 @@ def _memo(path: str) -> TextMemo:
             return merge(chunk.encode(), merges)
         return [i for word, _ in split(chunk) for i in merge(bytes(letters[c] for c in word), merges)]
 
-    memo = TextMemo(lambda chunks: [array("I", ids(c)).tobytes() for c in chunks], b"".join, False)
-    memo.parts.limit = memo.chunks.limit = MEMO_CHUNKS
-    return memo
+    return TextMemo(lambda chunks: [array("I", ids(c)).tobytes() for c in chunks], b"".join, False, MEMO_CHUNKS)
 
 
 assert array("I").itemsize == 4 and sys.byteorder == "little"  # ids are written as they lie in memory
@@ -140,8 +138,7 @@ assert array("I").itemsize == 4 and sys.byteorder == "little"  # ids are written
 
 def encode_texts(path: str, texts: list[str]) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
-    specials = special_strings(path)
-    return [b"".join(x) for x in _memo(path).values([byte_chunks(t, specials) for t in texts])]
+    return remembered_ids(_memo(path), special_strings(path), texts, 4)
 
 
 def decode_ids(path: str, ids: bytes) -> str:
@@ -151,6 +148,24 @@ def decode_ids(path: str, ids: bytes) -> str:
     return b"".join([strings.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode(errors="replace")
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = 0
+        for run in in_runs(batch.column(1).to_pylist(), RUN_CHARS):
+            raw = encode_texts(path, run)
+            names, sizes = batch.column(0).slice(at, len(raw)), pa.array([len(x) // 4 for x in raw], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, sizes, pa.array(raw, pa.binary())], names=[batch.schema.names[0], "n_tokens", "ids"])
+            at += len(raw)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = [decode_ids(path, raw or b"") for raw in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, n_tokens and ids (binary, little-endian unsigned 32-bit) of every whole text of a byte-level BPE tokenizer,
     without added special tokens; special strings in a text are taken out first, as the tokenizer does by default.
@@ -160,28 +175,25 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     chunks and the longest pre-token.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for run in in_runs(batch.column(1).to_pylist(), RUN_CHARS):
-                raw = encode_texts(tokenizer_path, run)
-                names, sizes = batch.column(0).slice(at, len(raw)), pa.array([len(x) // 4 for x in raw], pa.int64())
-                yield pa.RecordBatch.from_arrays([names, sizes, pa.array(raw, pa.binary())], names=[id_col, "n_tokens", "ids"])
-                at += len(raw)
-
-    return docs.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, n_tokens long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: _encoded(batches, tokenizer_path), f"`{id_col}` {kind}, n_tokens long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``encode_documents`` with the text of their ids. Null ids are no ids: an empty text. One narrow pass."""
     kind = encoded.schema[id_col].dataType.simpleString()
+    rows = encoded.select(F.col(f"`{id_col}`"), "n_tokens", "ids")
+    return rows.mapInArrow(lambda batches: _decoded(batches, tokenizer_path), f"`{id_col}` {kind}, n_tokens long, ids binary, text string")
+
+
+def round_trip_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``decode_documents`` gives of ``encode_documents``, in one pass.
+
+    As two passes, each task holds two Python workers. Spark deals workers to passes as they come, so in time all of them
+    would have the chunks of encoding in memory, twice as many as there are tasks.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [decode_ids(tokenizer_path, raw or b"") for raw in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[id_col, "n_tokens", "ids", "text"])
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(_encoded(batches, tokenizer_path), tokenizer_path)
 
-    return encoded.select(F.col(f"`{id_col}`"), "n_tokens", "ids").mapInArrow(decode, f"`{id_col}` {kind}, n_tokens long, ids binary, text string")
+    return docs.select(id_col, text_col).mapInArrow(both, f"`{id_col}` {kind}, n_tokens long, ids binary, text string")

@@ -22,6 +22,9 @@ import pyarrow.compute as pc
 #: Chunks that a task remembers, and characters of text that it looks at together; both bound its memory.
 MEMO_CHUNKS = 700_000
 RUN_CHARS = 4_000_000
+#: Characters of the remembered chunks of texts on average, at most; chunks longer than LONG_CHUNK are not remembered.
+CHUNK_CHARS = 12
+LONG_CHUNK = 1_000
 
 
 @lru_cache(maxsize=4)
@@ -137,49 +140,51 @@ class _Known(dict):
 
 class ChunkMemo:
     """Chunk to value, for a whole worker, of bounded size in two generations: a full one becomes the old one, whose entries
-    come back on use."""
+    come back on use. With ``most_chars``, for chunks of any length, their characters are counted as well."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = MEMO_CHUNKS) -> None:
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = MEMO_CHUNKS, most_chars: int | None = None) -> None:
+        self.encode, self.limit, self.most_chars = encode, limit, most_chars
         self.young, self.old = _Known(), _Known()
+        self.chars = 0
+
+    def _values_of(self, missing: list[str]) -> list:
+        """The values of distinct chunks that the young generation lacks, which then has them, but for long ones."""
+        found = list(map(self.old.get, missing))
+        new = [k for k, v in enumerate(found) if v is None]
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            for k, value in zip(some, self.encode([missing[k] for k in some]), strict=True):
+                found[k] = value
+        kept, chars = dict(zip(missing, found, strict=True)), 0
+        if self.most_chars is not None:
+            kept = {c: v for c, v in kept.items() if len(c) <= LONG_CHUNK}
+            chars = sum(map(len, kept))
+        if len(self.young) + len(kept) > self.limit or self.most_chars is not None and self.chars + chars > self.most_chars:
+            self.old, self.young, self.chars = self.young, _Known(), 0
+        self.young.update(kept)
+        self.chars += chars
+        return found
 
     def values(self, lists: Sequence[Sequence[str]]) -> list[list]:
         """The values of every chunk of ``lists``."""
         known = self.young
         found = [list(map(known.__getitem__, chunks)) for chunks in lists]
-        missing, old = set(known.lacking), self.old
-        known.lacking.clear()
-        if not missing:
+        if not known.lacking:
             return found
-        if len(known) + len(missing) > self.limit:
-            self.old, self.young = known, _Known()
-        back = [c for c in missing if c in old]
-        self.young.update((c, old[c]) for c in back)
-        new = list(missing.difference(back))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.young.update(zip(some, self.encode(some), strict=True))
+        missing = list(set(known.lacking))
+        known.lacking.clear()
+        value = dict(zip(missing, self._values_of(missing), strict=True))
         for values, chunks in zip(found, lists, strict=True):
             for at in [k for k, v in enumerate(values) if v is None]:
-                values[at] = self.young[chunks[at]]
+                values[at] = value[chunks[at]]
         return found
 
     def of_distinct(self, chunks: list[str]) -> list:
         """The values of chunks that differ from each other."""
         found = list(map(self.young.get, chunks))
         lacking = [k for k, v in enumerate(found) if v is None]
-        if len(self.young) + len(lacking) > self.limit:
-            self.old, self.young = self.young, _Known()
-        old, new = self.old.get, []
-        for k in lacking:
-            found[k] = old(chunks[k])
-            if found[k] is None:
-                new.append(k)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for k, value in zip(some, self.encode([chunks[k] for k in some]), strict=True):
-                found[k] = value
-        self.young.update((chunks[k], found[k]) for k in lacking)
+        for k, value in zip(lacking, self._values_of([chunks[k] for k in lacking]), strict=True):
+            found[k] = value
         return found
 
 
@@ -298,11 +303,12 @@ def _encoder(path: str, spaced: bool, width: int) -> Callable[[list[str]], list[
 
 
 class TextMemo:
-    """Values of the chunks of whole texts. Final chunks, and the parts of the others, share one memory."""
+    """Values of the chunks of whole texts. Final chunks, and the parts of the others, share one memory; those others have a
+    smaller one, as their parts are remembered."""
 
-    def __init__(self, encode: Callable[[list[str]], list], add: Callable[[list], object], lower: bool) -> None:
-        self.parts = ChunkMemo(encode)
-        self.chunks = ChunkMemo(lambda chunks: [add(v) for v in self.parts.values(parted(chunks, lower))])
+    def __init__(self, encode: Callable[[list[str]], list], add: Callable[[list], object], lower: bool, limit: int = MEMO_CHUNKS) -> None:
+        self.parts = ChunkMemo(encode, limit, CHUNK_CHARS * limit)
+        self.chunks = ChunkMemo(lambda chunks: [add(v) for v in self.parts.values(parted(chunks, lower))], limit // 4, CHUNK_CHARS * limit // 4)
 
     def values(self, texts: list[tuple[bool, list[str]]]) -> list[list]:
         ready, others = [[chunks for final, chunks in texts if final is kind] for kind in (True, False)]
@@ -353,7 +359,11 @@ def _joined_ids(memo: ChunkMemo, cuts: list[str], width: int) -> list[bytes]:
 
 def byte_ids(path: str, texts: list[str], width: int = 4) -> list[bytes]:
     """The same for a byte-level tokenizer."""
-    specials, memo = special_strings(path), _memo(path, True, width)
+    return remembered_ids(_memo(path, True, width), special_strings(path), texts, width)
+
+
+def remembered_ids(memo: TextMemo, specials: re.Pattern | None, texts: list[str], width: int) -> list[bytes]:
+    """Ids of each text by a memory that has byte-level chunks as unsigned integers of ``width`` bytes."""
     with _without_cycle_search():
         cuts = [_byte_cut(t, specials) for t in texts]
         plain = iter(_joined_ids(memo.parts, [c for c in cuts if c is not None], width))

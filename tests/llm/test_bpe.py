@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from sluicework.llm import bpe, queries
+from sluicework.llm import bpe, queries, tokens
 from tokenizers import Tokenizer
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -94,3 +94,30 @@ def test_query_and_odd_tables(spark, tiny, library):
     assert sorted((str(r.doc_id), r.text) for r in back) == sorted((str(i), t or "") for i, t in odd)
     assert all(r.n_tokens * 4 == len(r.ids) and bytes(r.ids) == want(library, r.text)[0] for r in back)
     assert bpe.encode_documents(df.limit(0), BYTE).count() == 0
+
+
+def test_round_trip_is_one_pass(spark, tiny):
+    """As two passes, a task holds two workers, and both come to hold the remembered chunks."""
+    plan = queries.op13_bpe_round_trip(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    odd = [(1, None), (2, ""), (None, "a b"), (3, "x" * 3_000), (3, "x" * 3_000), (4, " \n\t <|endoftext|>\x00"), (5, "日本 " * 300)]
+    df = spark.createDataFrame(odd, "`a b` long, text string").withColumns({c: F.lit(1) for c in ("ids", "n_tokens")})
+    both = bpe.round_trip_documents(df, BYTE, "a b")
+    steps = bpe.decode_documents(bpe.encode_documents(df, BYTE, "a b"), BYTE, "a b")
+    assert both.schema == steps.schema and sorted(map(str, both.collect())) == sorted(map(str, steps.collect()))
+    assert bpe.round_trip_documents(df.limit(0), BYTE, "a b").count() == 0
+
+
+def test_remembered_chunks_are_bounded_in_characters(library):
+    """Whole texts without a blank are chunks, too."""
+    memo = tokens.TextMemo(lambda chunks: [c.encode() for c in chunks], b"".join, False, 2_000)
+    for k in range(0, 300, 3):
+        texts = [(final, [f"{n}\u4e00" + "\u65e5" * size for size in (0, 90, 990, 5_000)]) for n in range(k, k + 3) for final in (True, False)]
+        assert [b"".join(v) for v in memo.values(texts)] == ["".join(c).encode() for _, c in texts]
+        for part, limit in ((memo.parts, 2_000), (memo.chunks, 500)):
+            for held in (part.young, part.old):
+                assert len(held) <= limit and sum(map(len, held)) <= tokens.CHUNK_CHARS * limit
+    texts = ["日" * 2_000, "a  b", "日" * 2_000, "a b"]
+    assert bpe.encode_texts(BYTE, texts) == [want(library, t)[0] for t in texts]
+    shared = bpe._memo(BYTE)
+    assert shared.chunks.limit < shared.parts.limit == bpe.MEMO_CHUNKS and "日" * 2_000 not in shared.parts.young
